@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .unicode import utf16_length
 
@@ -15,7 +16,14 @@ _LINE = re.compile(r"[^\r\n]*(\r\n|\n|\r|$)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.S)
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*)|[ \t]*)", re.S)
 
-SECTION = "array<struct<line_no:int,level:int,heading:string,start:int,stop:int,eol:string>>"
+SECTION = T.ArrayType(
+    T.StructType(
+        [T.StructField(n, T.IntegerType()) for n in ("line_no", "level")]
+        + [T.StructField("heading", T.StringType())]
+        + [T.StructField(n, T.IntegerType()) for n in ("start", "stop")]
+        + [T.StructField("eol", T.StringType())]
+    )
+)
 
 
 def scan_headings(text: str) -> list[dict]:
@@ -70,7 +78,7 @@ def _sections(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: scan_headings(t) if t else [])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _insert(texts: pd.Series, headings: pd.Series, additions: pd.Series) -> pd.Series:
     return pd.Series(
         [insert_under(t, h, a) if t and h and a is not None else None for t, h, a in zip(texts, headings, additions)],

@@ -8,11 +8,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
@@ -22,7 +23,7 @@ def _strip_marks(text: str) -> str:
     return "".join(c for c in parts if unicodedata.category(c) != "Mn").lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(values: pd.Series) -> pd.Series:
     return values.map(_strip_marks, na_action="ignore")
 
@@ -65,7 +66,7 @@ def path_key(path: Column) -> Column:
 _SUPPLEMENTARY = "[\\x{10000}-\\x{10FFFF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _utf16_slice(text: pd.Series, offset: pd.Series, length: pd.Series) -> pd.Series:
     def cut(value, start, size):
         if value is None or start is None or pd.isna(start):

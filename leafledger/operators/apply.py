@@ -14,8 +14,9 @@ ever holds or walks an unbounded group, and the result is the same.
 from __future__ import annotations
 
 import hashlib
+from collections import namedtuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +41,9 @@ OUTCOME = (
     "live_delta int, current_rev long, current_hash string, current_deleted boolean, current_renamed_to string, "
     "existing_path string"
 )
-_OUT = [part.split()[0] for part in OUTCOME.split(", ")]
+_FIELDS = [tuple(part.split()) for part in OUTCOME.split(", ")]
+_ARROW_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW = pa.schema([(name, _ARROW_TYPES[kind]) for name, kind in _FIELDS])
 
 
 def _with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -238,13 +241,16 @@ class _Component:
         }
 
 
-def _fold(live_limit):
+def _fold(live_limit, columns):
+    """Streams sorted rows; a component's state lives only while its rows pass."""
+    Row = namedtuple("Row", columns)
+
     def run(batches):
         owner = component = None
-        for frame in batches:
-            frame = frame.astype(object).where(frame.notna(), None)
+        for batch in batches:
             out = []
-            for row in frame.itertuples(index=False):
+            values = ([None] * len(c) if c.null_count == len(c) else c.to_pylist() for c in batch.columns)
+            for row in map(Row._make, zip(*values)):
                 if (row.vault_id, row.component) != owner:
                     owner = (row.vault_id, row.component)
                     component = _Component(live_limit if row.counted else None)
@@ -257,7 +263,7 @@ def _fold(live_limit):
                 else:
                     out.append(component.step(row))
             if out:
-                yield pd.DataFrame(out).reindex(columns=_OUT).astype(object)
+                yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     return run
 
@@ -283,7 +289,7 @@ def apply_ops(
     log = log.withColumns(
         {
             "path_key": path_key(F.col("path")),
-            "to_key": path_key(F.col("to_path")),
+            "to_key": path_key(F.col("to_path")) if "to_path" in ops.columns else F.lit(None).cast("string"),
             "expect": F.coalesce("expect", F.when(F.col("expected_rev") > 0, "match").when(F.col("op") == "put", "absent").otherwise("none")),
             "kind": F.coalesce("kind", F.lit("text")),
             "key_ok": key_window(F.col("op_key"), now_ms) if now_ms is not None else F.lit(True),
@@ -306,19 +312,20 @@ def apply_ops(
     decided = log.filter(F.col("reason").isNotNull()).select(
         "vault_id", F.lit(None).cast("string").alias("component"), "arrival", F.lit(False).alias("accepted"), "reason",
         F.col("replay_status").alias("status"), "replay_of",
-        *[F.lit(None).cast(t).alias(c) for c, t in (p.split() for p in OUTCOME.split(", ")[7:14])],
-        F.lit(0).alias("live_delta"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (p.split() for p in OUTCOME.split(", ")[15:])],
+        *[F.lit(0 if c == "live_delta" else None).cast(t).alias(c) for c, t in _FIELDS[7:]],
     )
     todo = log.filter(F.col("reason").isNull()).drop("replay_of", "replay_status")
-    outcomes = _run_components(todo, files, revisions, live_limit, max_group_ops)
+    linked = "to_path" in ops.columns or "op_key" in ops.columns
+    outcomes = _run_components(todo, files, revisions, live_limit, max_group_ops, linked)
+    if receipts is None and "reason" not in ops.columns:
+        return outcomes.drop("component")
     return outcomes.unionByName(decided).drop("component")
 
 
-def _run_components(todo, files, revisions, live_limit, max_group_ops):
-    edges = _key_edges(todo)
+def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
+    edges = _key_edges(todo) if linked else None
     crowded = _crowded_vaults(todo, files, live_limit).withColumn("counted", F.lit(True))
-    labels = None if edges.isEmpty() else cut_lineage(label_components(edges))
+    labels = None if edges is None or edges.isEmpty() else cut_lineage(label_components(edges))
 
     def place(df, key):
         """Attach component and the capacity flag by path key."""
@@ -428,10 +435,12 @@ def _carry(done, ranked, start, rows):
 
 def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int) -> DataFrame:
     everything = rows if state is None else rows.unionByName(state)
+    # A fixed partition count: the fold is CPU work, so small inputs must not be coalesced to one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        everything.repartition("vault_id", "component")
+        everything.repartition(tasks, "vault_id", "component")
         .sortWithinPartitions("vault_id", "component", "role", "arrival")
-        .mapInPandas(_fold(live_limit), OUTCOME)
+        .mapInArrow(_fold(live_limit, everything.columns), OUTCOME)
     )
 
 

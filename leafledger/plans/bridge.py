@@ -194,11 +194,9 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = VIEWS[name]
     used = [t for t in _needs(sql) if t in VIEWS or t in GIVEN]
-    text = _dialect(sql, "spark")
+    text = _dialect(sql, "spark").replace("{", "{{").replace("}", "}}")
     for t in used:
         text = re.sub(rf"\b((?:FROM|JOIN)\s+){t}\b", rf"\1{{{t}}}", text, flags=re.I)
-    if '{"seq"' in text:
-        text = text.replace('{"seq"', '{{"seq"').replace("'}'", "'}}'")
     return spark.sql(text, **{t: spark_table(spark, sf_dir, t) for t in used})
 
 

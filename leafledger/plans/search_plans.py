@@ -1,3 +1,68 @@
+"""Registered queries: literal search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import search as S
+from .bridge import EPOCH
 from .catalog import Area
 
 AREA = Area()
+
+_STEPS = {
+    "indexed": """SELECT vault_id, path, rev, content, strip_accents(lower(content)) AS f FROM notes WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'""",
+    "totals": "SELECT vault_id, count(*) AS n, avg(greatest(length(f) - 2, 0)) AS mean FROM indexed GROUP BY vault_id",
+    "asked": "SELECT vault_id, query_id, strip_accents(lower(query)) AS q FROM snippets",
+    "hits": """SELECT a.vault_id, a.query_id, a.q, i.path, i.rev, i.content, i.f, greatest(length(i.f) - 2, 0) AS dl,
+  len(list_filter(range(1, length(i.f) - length(a.q) + 2), lambda k: substr(i.f, k, length(a.q)) = a.q)) AS tf
+FROM asked a JOIN indexed i ON a.vault_id = i.vault_id AND contains(i.f, a.q)""",
+    "freq": "SELECT vault_id, query_id, count(*) AS df FROM hits GROUP BY vault_id, query_id",
+    "scored": """SELECT h.*, round(-(greatest(ln((t.n - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / t.mean))), 6) AS score
+FROM hits h JOIN totals t ON h.vault_id = t.vault_id JOIN freq d ON h.vault_id = d.vault_id AND h.query_id = d.query_id""",
+    "placed": """SELECT *, CASE WHEN length(content) = length(f) THEN strpos(f, q) ELSE 1 END AS at_,
+  row_number() OVER (PARTITION BY vault_id, query_id ORDER BY score, encode(path)) AS rank FROM scored""",
+    "cut": "SELECT *, greatest(at_ - (66 - length(q)) // 2, 1) AS s FROM placed",
+}
+_SQL = f"""SELECT vault_id, query_id, CAST(rank AS INT) AS rank, path, concat('"{EPOCH}.', CAST(rev AS STRING), '"') AS etag, score,
+  concat(CASE WHEN s > 1 THEN '…' ELSE '' END, substr(content, s, 66), CASE WHEN s + 66 <= length(content) THEN '…' ELSE '' END) AS snippet
+FROM cut WHERE rank <= 20"""
+
+
+@AREA.add("f5_f6_f7_o4_search_notes", "snippets", "notes", steps=_STEPS, sql=_SQL)
+def _search(queries, notes):
+    return S.search_notes(queries, notes, EPOCH)
+
+
+@AREA.add("j1_search_by_postings", "snippets", "notes", steps=_STEPS, sql=_SQL)
+def _search_index(queries, notes):
+    return S.search_notes(queries, notes, EPOCH, postings=S.build_postings(S.indexed_notes(notes)))
+
+
+@AREA.add(
+    "a2_p19_search_coverage", "notes",
+    sql="""SELECT vault_id, count(*) FILTER (NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md') AS indexed_files,
+  count(*) FILTER (NOT deleted AND kind = 'blob' AND size > 1000000 AND lower(path) LIKE '%.md') AS unindexed_large_files FROM notes GROUP BY vault_id""",
+)
+def _coverage(notes):
+    return S.search_coverage(notes)
+
+
+@AREA.add(
+    "t26_update_postings", "notes",
+    steps={
+        "after_": "SELECT vault_id, path, CASE WHEN substr(hash,1,1) = '3' THEN concat(content, ' changed') ELSE content END AS content, deleted OR substr(hash,1,1) = '4' AS deleted, kind FROM notes",
+        "folded": "SELECT vault_id, path, strip_accents(lower(content)) AS f FROM after_ WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'",
+    },
+    sql="""SELECT vault_id, path, CAST(count(DISTINCT gram) AS BIGINT) AS grams, CAST(count(*) AS BIGINT) AS tf FROM (
+  SELECT vault_id, path, unnest(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) AS gram FROM folded) t GROUP BY vault_id, path""",
+)
+def _update(notes):
+    first = F.substring("hash", 1, 1)
+    changed = notes.filter(first.isin("3", "4"))
+    after = notes.withColumns(
+        {"content": F.when(first == "3", F.concat("content", F.lit(" changed"))).otherwise(F.col("content")),
+         "deleted": F.col("deleted") | (first == "4")}
+    )
+    postings = S.update_postings(S.build_postings(S.indexed_notes(notes)), changed, after)
+    return postings.groupBy("vault_id", "path").agg(F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("tf"))
