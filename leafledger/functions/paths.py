@@ -155,12 +155,13 @@ def _file_name(path: Column) -> Column:
 
 
 def conflict_name(
-    path: Column, device: Column, rev: Column, at_ms: Column, policy: ScopePolicy = DEFAULT_POLICY
+    path: Column, device: Column | str, rev: Column, at_ms: Column, policy: ScopePolicy = DEFAULT_POLICY
 ) -> Column:
     """``<stem> (conflict <device> <YYYY-MM-DD HHmm> r<rev>)<ext>`` beside the original.
 
     Settings paths are flattened into one visible folder and get a supported extension.
     """
+    device = F.lit(device) if isinstance(device, str) else device
     settings = F.lower(path).startswith(K.SETTINGS_DIR + "/")
     flat = F.replace(F.regexp_replace(path, r"^[^/]*/", ""), F.lit("/"), F.lit(" — "))
     name = F.when(settings, flat).otherwise(_file_name(path))
@@ -186,15 +187,11 @@ def recovery_name(conflict: Column, content_hash: Column) -> Column:
     ext = F.substring(name, F.char_length(stem) + 1, F.char_length(name))
     suffix = F.concat(F.lit(" (recovery "), F.left(content_hash, F.lit(16)), F.lit(")"))
     room = F.lit(K.PATH_BYTES) - F.octet_length(F.concat(folder, suffix, ext))
-    chars = F.filter(
-        F.sequence(F.lit(0), F.char_length(stem)),
-        lambda n: F.octet_length(F.substring(stem, F.lit(1), n)) <= room,
-    )
-    kept = F.array_max(chars)
-    return F.when(
-        (room >= 1) & (kept > 0),
-        F.concat(folder, F.substring(stem, F.lit(1), kept), suffix, ext),
-    )
+    raw = F.encode(stem, "UTF-8")
+    # The cut may split one character: of the last four lengths, the longest valid one is it.
+    fits = [F.try_validate_utf8(F.substring(raw, F.lit(1), (room - k).cast("int")).cast("string")) for k in range(4)]
+    kept = F.when(F.octet_length(stem) <= room, stem).otherwise(F.coalesce(*fits))
+    return F.when((room >= 1) & (F.char_length(kept) > 0), F.concat(folder, kept, suffix, ext))
 
 
 def ancestors(path: Column) -> Column:

@@ -34,12 +34,14 @@ def search_coverage(files: DataFrame) -> DataFrame:
     )
 
 
+# A zero-width match at every character captures the three that follow; the first part
+# skips the second half of a surrogate pair, so each character starts one gram.
+_GRAM = "(?s)(?![\\uDC00-\\uDFFF])(?=(...))"
+
+
 def grams(text: Column) -> Column:
-    """Every three-character window of folded text, in order."""
-    return F.when(
-        F.char_length(text) >= 3,
-        F.transform(F.sequence(F.lit(1), F.char_length(text) - 2), lambda i: F.substring(text, i, F.lit(3))),
-    ).otherwise(F.array().cast("array<string>"))
+    """Every three-character window of folded text, in order, in one linear pass."""
+    return F.regexp_extract_all(text, F.lit(_GRAM), F.lit(1))
 
 
 def build_postings(notes: DataFrame) -> DataFrame:
@@ -76,7 +78,8 @@ def valid_queries(queries: DataFrame) -> DataFrame:
 
 def _direct_matches(queries, notes, listed):
     """One pass over the notes for a small, already counted set of queries."""
-    asked = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("vault_id", "query_id", "phrase", "result_limit")]) for r in listed])
+    kinds = {c: queries.schema[c].dataType for c in ("vault_id", "query_id", "phrase", "result_limit")}
+    asked = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in listed])
     hit = F.filter(asked, lambda q: (q["vault_id"] == F.col("vault_id")) & F.contains(F.col("folded"), q["phrase"]))
     return notes.withColumn("q", F.explode(hit)).select(
         "vault_id", "path", "rev", "content", "folded", "q.query_id", "q.phrase", "q.result_limit"

@@ -173,7 +173,7 @@ def _fold(documents):
     "f4_build_postings", "notes",
     steps={"folded": "SELECT vault_id, path, strip_accents(lower(content)) AS f FROM notes WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'"},
     sql="""SELECT vault_id, gram, CAST(count(DISTINCT path) AS BIGINT) AS notes, CAST(count(*) AS BIGINT) AS occurrences FROM (
-  SELECT vault_id, path, unnest(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) AS gram FROM folded) t GROUP BY vault_id, gram""",
+  SELECT vault_id, path, unnest(list_concat(regexp_extract_all(f, '(?s)...'), regexp_extract_all(substr(f, 2), '(?s)...'), regexp_extract_all(substr(f, 3), '(?s)...'))) AS gram FROM folded) t GROUP BY vault_id, gram""",
 )
 def _postings(notes):
     postings = build_postings(indexed_notes(notes))

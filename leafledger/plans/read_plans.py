@@ -122,9 +122,9 @@ def _targets(notes):
 
 @AREA.add(
     "j8_path_collisions", "notes",
-    steps={"both": "SELECT vault_id, path, deleted FROM notes UNION ALL SELECT vault_id, upper(path), deleted FROM notes WHERE substr(hash,1,1) = '5'"},
-    sql="""SELECT vault_id, lower(path) AS path_key, path FROM both WHERE NOT deleted AND (vault_id, lower(path)) IN (
-  SELECT (vault_id, lower(path)) FROM both WHERE NOT deleted GROUP BY vault_id, lower(path) HAVING count(DISTINCT path) > 1)""".replace(
+    steps={"pairs": "SELECT vault_id, path, deleted FROM notes UNION ALL SELECT vault_id, upper(path), deleted FROM notes WHERE substr(hash,1,1) = '5'"},
+    sql="""SELECT vault_id, lower(path) AS path_key, path FROM pairs WHERE NOT deleted AND (vault_id, lower(path)) IN (
+  SELECT (vault_id, lower(path)) FROM pairs WHERE NOT deleted GROUP BY vault_id, lower(path) HAVING count(DISTINCT path) > 1)""".replace(
         "(vault_id, lower(path)) IN (\n  SELECT (vault_id, lower(path))", "concat(vault_id, '|', lower(path)) IN (\n  SELECT concat(vault_id, '|', lower(path))"
     ),
 )

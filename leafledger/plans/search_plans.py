@@ -13,10 +13,11 @@ AREA = Area()
 _STEPS = {
     "indexed": """SELECT vault_id, path, rev, content, strip_accents(lower(content)) AS f FROM notes WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'""",
     "totals": "SELECT vault_id, count(*) AS n, avg(greatest(length(f) - 2, 0)) AS mean FROM indexed GROUP BY vault_id",
-    "asked": "SELECT vault_id, query_id, strip_accents(lower(query)) AS q FROM snippets",
+    "terms": "SELECT vault_id, query_id, strip_accents(lower(query)) AS q FROM snippets",
     "hits": """SELECT a.vault_id, a.query_id, a.q, i.path, i.rev, i.content, i.f, greatest(length(i.f) - 2, 0) AS dl,
-  len(list_filter(range(1, length(i.f) - length(a.q) + 2), lambda k: substr(i.f, k, length(a.q)) = a.q)) AS tf
-FROM asked a JOIN indexed i ON a.vault_id = i.vault_id AND contains(i.f, a.q)""",
+  CASE WHEN len(list_filter(range(1, length(a.q)), lambda k: left(a.q, k) = right(a.q, k))) = 0 THEN (length(i.f) - length(replace(i.f, a.q, ''))) // length(a.q)
+    ELSE len(list_filter(range(1, length(i.f) - length(a.q) + 2), lambda k: substr(i.f, k, length(a.q)) = a.q)) END AS tf
+FROM terms a JOIN indexed i ON a.vault_id = i.vault_id AND contains(i.f, a.q)""",
     "freq": "SELECT vault_id, query_id, count(*) AS df FROM hits GROUP BY vault_id, query_id",
     "scored": """SELECT h.*, round(-(greatest(ln((t.n - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / t.mean))), 6) AS score
 FROM hits h JOIN totals t ON h.vault_id = t.vault_id JOIN freq d ON h.vault_id = d.vault_id AND h.query_id = d.query_id""",
@@ -55,7 +56,7 @@ def _coverage(notes):
         "folded": "SELECT vault_id, path, strip_accents(lower(content)) AS f FROM after_ WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'",
     },
     sql="""SELECT vault_id, path, CAST(count(DISTINCT gram) AS BIGINT) AS grams, CAST(count(*) AS BIGINT) AS tf FROM (
-  SELECT vault_id, path, unnest(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) AS gram FROM folded) t GROUP BY vault_id, path""",
+  SELECT vault_id, path, unnest(list_concat(regexp_extract_all(f, '(?s)...'), regexp_extract_all(substr(f, 2), '(?s)...'), regexp_extract_all(substr(f, 3), '(?s)...'))) AS gram FROM folded) t GROUP BY vault_id, path""",
 )
 def _update(notes):
     first = F.substring("hash", 1, 1)

@@ -95,3 +95,25 @@ def arrival_rank(
         .withColumn(out, (F.row_number().over(inside) + F.col("_offset")).cast("long"))
         .drop("_slot", "_offset")
     )
+
+
+def neighbour(
+    df: DataFrame, keys: list[str], arrival: str, value: Column, out: str, forward: bool, width: int = 1_000_000
+) -> DataFrame:
+    """``value`` of the next (or previous) row per key in arrival order.
+
+    Works inside arrival ranges of ``width``; the edge row of every range is taken from a
+    small per-range aggregate, so one hot key is never one window task.
+    """
+    slotted = df.withColumns({"_slot": F.floor(F.col(arrival) / F.lit(width)).cast("long"), "_value": value})
+    pick = F.min_by if forward else F.max_by
+    edges = slotted.groupBy(*keys, "_slot").agg(pick("_value", arrival).alias("_edge"))
+    step = F.lead if forward else F.lag
+    edges = edges.select(*keys, "_slot", step("_edge").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_beyond"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy(arrival)
+    near = slotted.withColumns(
+        {"_near": step("_value").over(inside), "_has": step(F.lit(True)).over(inside)}
+    )
+    return near.join(edges, [*keys, "_slot"]).withColumn(
+        out, F.when(F.col("_has"), F.col("_near")).otherwise(F.col("_beyond"))
+    ).drop("_slot", "_value", "_near", "_has", "_beyond")
