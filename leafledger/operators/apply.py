@@ -54,6 +54,15 @@ def _with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
 # ---- components -----------------------------------------------------------
 
 
+def _is_settled(pairs: DataFrame) -> bool:
+    """True if every node points to at most one root and no root points anywhere."""
+    ends = pairs.select("vault_id", F.col("hi").alias("node"), F.lit(1).alias("h"), F.lit(0).alias("l")).unionByName(
+        pairs.select("vault_id", F.col("lo").alias("node"), F.lit(0).alias("h"), F.lit(1).alias("l"))
+    )
+    nodes = ends.groupBy("vault_id", "node").agg(F.sum("h").alias("h"), F.max("l").alias("l"))
+    return nodes.filter((F.col("h") > 1) | ((F.col("h") > 0) & (F.col("l") > 0))).isEmpty()
+
+
 def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(vault_id, src, dst) → (vault_id, node, component): smallest node of each component.
 
@@ -65,8 +74,9 @@ def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         .filter("hi <> lo")
         .distinct()
     )
-    state = None
     for _ in range(max_rounds):
+        if _is_settled(pairs):
+            break
         both = pairs.select("vault_id", F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select("vault_id", F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -81,10 +91,6 @@ def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             joined.select("vault_id", "hi", F.col("m").alias("lo"))
         )
         pairs = cut_lineage(small.filter("hi <> lo").distinct())
-        mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("vault_id", "hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == state:
-            break
-        state = mark
     else:
         raise RuntimeError("component labelling did not settle")
     members = pairs.select("vault_id", F.col("hi").alias("node"), F.col("lo").alias("component"))
@@ -237,7 +243,7 @@ class _Component:
         return base | {
             "accepted": True, "status": status, "rev": revs[-1], "from_rev": revs[0] if len(revs) > 1 else None,
             "hash": digest, "size": size, "kind": kind, "deleted": deleted, "live_delta": len(self.live) - before,
-            "new_content": content if o.op in ("append", "restore") else None,
+            "new_content": content if o.op in ("append", "restore", "rename") else None,
         }
 
 
@@ -339,11 +345,11 @@ def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
         return placed.withColumn("component", F.when(F.col("counted"), F.lit("")).otherwise(own))
 
     placed = place(todo, "path_key")
-    text_groups = placed.filter(F.col("op") == "append").select("vault_id", "component", F.lit(True).alias("_text")).distinct()
+    text_groups = placed.filter(F.col("op").isin("append", "rename")).select("vault_id", "component", F.lit(True).alias("_text")).distinct()
     past_groups = placed.filter(F.col("op") == "restore").select("vault_id", "component", F.lit(True).alias("_past")).distinct()
     flags = text_groups.join(past_groups, ["vault_id", "component"], "full_outer")
     flags = broadcast_if_small(flags)
-    # Text travels only where an append or a restore of this component needs it.
+    # Text travels only where an append, rename or restore of this component needs it.
     placed = (
         placed.join(flags, ["vault_id", "component"], "left")
         .withColumn("keep_past", F.coalesce("_past", F.lit(False)))
@@ -437,8 +443,10 @@ def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int) -> Dat
     everything = rows if state is None else rows.unionByName(state)
     # A fixed partition count: the fold is CPU work, so small inputs must not be coalesced to one task.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The partitioning key is an expression of its own: a planner that believes the union already
+    # keeps its inputs' partitioning could otherwise leave the exchange out.
     return (
-        everything.repartition(tasks, "vault_id", "component")
+        everything.repartition(tasks, F.xxhash64("vault_id", "component"))
         .sortWithinPartitions("vault_id", "component", "role", "arrival")
         .mapInArrow(_fold(live_limit, everything.columns), OUTCOME)
     )

@@ -191,7 +191,6 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a projection of given tables, as a lazy DataFrame."""
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = VIEWS[name]
     used = [t for t in _needs(sql) if t in VIEWS or t in GIVEN]
     text = _dialect(sql, "spark").replace("{", "{{").replace("}", "}}")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
 from .bridge import duckdb_with, spark_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,7 @@ class Area:
     def add(self, name: str, *tables: str, sql: str | None = None, steps: dict[str, str] | None = None):
         def register(build):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                spark.conf.set("spark.sql.session.timeZone", "UTC")
+                prepare(spark)
                 return build(*[spark_table(spark, sf_dir, t) for t in tables])
 
             self.queries[name] = run

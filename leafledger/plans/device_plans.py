@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import device as D
+from ..streaming.jobs import debounce_events
 from .bridge import EPOCH, VIEWS
 from .catalog import Area
 
@@ -439,3 +440,20 @@ def _status(customer, queue, feed):
     none = feed.limit(0)
     out = D.device_status(devices, queue, none, feed.filter("op = 'delete'"), none, heads)
     return out.select("device_id", "vault_id", "status", "open_ops", "attention_items")
+
+
+def _burst_sql(gap: int) -> str:
+    return f"""SELECT device_id, vault_id, min(at_ms) AS first_at, max(at_ms) AS last_at, count(*) AS events, max(at_ms) + {gap} AS flush_at FROM (
+  SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY device_id, vault_id ORDER BY arrival) AS burst FROM (
+    SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY device_id, vault_id ORDER BY arrival) AS gap FROM local_events) a) b
+GROUP BY device_id, vault_id, burst"""
+
+
+@AREA.add("t12_debounce_events", "local_events", sql=_burst_sql(2_000))
+def _debounce(events):
+    return debounce_events(events)
+
+
+@AREA.add("t12_debounce_ten_minutes", "local_events", sql=_burst_sql(600_000))
+def _debounce_long(events):
+    return debounce_events(events, 600_000)

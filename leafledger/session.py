@@ -12,6 +12,19 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the operators rely on: UTC, adaptive plans, and no partitioning taken
+    over from a union's inputs (with adaptive local reads that has dropped needed shuffles)."""
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.unionOutputPartitioning": "false",
+    }.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared ``spark.checkpoint.dir``; a local one only in local mode."""
     jsc = spark.sparkContext._jsc.sc()
