@@ -457,7 +457,8 @@ def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int) -> Dat
 
 def assign_seq(outcomes: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """Gap-free ``seq`` per vault over accepted rows in arrival order, after ``head.head_seq``."""
-    ranked = arrival_rank(outcomes.filter("accepted"), ["vault_id"], "arrival", "seq")
+    # Ranking reads its input twice; written down once, the fold is not run again for it.
+    ranked = arrival_rank(cut_lineage(outcomes.filter("accepted")), ["vault_id"], "arrival", "seq")
     if head is None:
         return ranked
     return (

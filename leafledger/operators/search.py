@@ -14,15 +14,16 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions.identity import format_etag
 from ..functions.unicode import fold
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, spread
 
-DIRECT_QUERIES = 64
+DIRECT_QUERIES = 256
 
 
 def indexed_notes(files: DataFrame) -> DataFrame:
     """Live inline Markdown with its folded text."""
     scope = ~F.col("deleted") & (F.col("kind") == "text") & (F.lower(F.right("path", F.lit(3))) == ".md")
-    return files.filter(scope).select("vault_id", "path", "rev", "content", fold(F.col("content")).alias("folded"))
+    notes = spread(files.filter(scope).select("vault_id", "path", "rev", "content"))
+    return notes.withColumn("folded", fold(F.col("content")))
 
 
 def search_coverage(files: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def literal_match(queries: DataFrame, notes: DataFrame, postings: DataFrame | No
     """Notes that contain a query's phrase. Uses the stored index when given."""
     good = queries.filter(F.col("reason").isNull())
     if postings is None:
-        listed = good.limit(DIRECT_QUERIES + 1).collect()  # at most 65 short rows
+        listed = good.limit(DIRECT_QUERIES + 1).collect()  # at most 257 short rows
         if 0 < len(listed) <= DIRECT_QUERIES:
             return _direct_matches(good, notes, listed)
         postings = build_postings(notes)

@@ -51,6 +51,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if int(str(size)) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input enough tasks.
+
+    Only an input below one full split per core is moved; a large one already has more
+    splits than cores and is returned as it is, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * 128 * 1024 * 1024 else df
+
+
 def prefix_scan(
     df: DataFrame,
     keys: list[str],
