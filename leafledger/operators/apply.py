@@ -308,13 +308,15 @@ def apply_ops(
                                F.col("status").alias("_status"), F.col("arrival").alias("_arrival"))
         found = F.col("_fp").isNotNull() & F.col("reason").isNull()
         same = F.col("_fp").eqNullSafe(F.col("fingerprint"))
-        log = (
-            log.join(kept, ["vault_id", "client_id", "op_key"], "left")
+        keyed = (
+            log.filter(F.col("op_key").isNotNull()).join(kept, ["vault_id", "client_id", "op_key"], "left")
             .withColumn("replay_of", F.when(found & same, F.col("_arrival")))
             .withColumn("replay_status", F.when(found & same, F.col("_status")))
             .withColumn("reason", F.coalesce("reason", F.when(found, F.when(same, "replayed").otherwise("idempotency_mismatch"))))
             .drop("_fp", "_status", "_arrival")
         )
+        # Operations without a key skip the lookup instead of meeting in one NULL join key.
+        log = keyed.unionByName(log.filter(F.col("op_key").isNull()))
     decided = log.filter(F.col("reason").isNotNull()).select(
         "vault_id", F.lit(None).cast("string").alias("component"), "arrival", F.lit(False).alias("accepted"), "reason",
         F.col("replay_status").alias("status"), "replay_of",
@@ -526,13 +528,10 @@ def dedupe_ops(ops: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
             "vault_id", "client_id", "op_key", F.coalesce("_old", "first_arrival").alias("first_arrival"),
             F.coalesce("_old_fp", "_fp").alias("_fp"),
         )
-    return (
-        ops.join(seen, ["vault_id", "client_id", "op_key"], "left")
-        .withColumn(
-            "outcome",
-            F.when(F.col("op_key").isNull() | (F.col("arrival") == F.col("first_arrival")), "new")
-            .when(F.col("_fp") == F.col("fingerprint"), "replayed")
-            .otherwise("idempotency_mismatch"),
-        )
-        .drop("_fp")
+    judged = keyed.join(seen, ["vault_id", "client_id", "op_key"]).withColumn(
+        "outcome",
+        F.when(F.col("arrival") == F.col("first_arrival"), "new").when(F.col("_fp") == F.col("fingerprint"), "replayed")
+        .otherwise("idempotency_mismatch"),
     )
+    free = ops.filter(F.col("op_key").isNull()).withColumns({"first_arrival": F.lit(None).cast("long"), "outcome": F.lit("new")})
+    return judged.drop("_fp").unionByName(free)

@@ -80,8 +80,7 @@ _COPY = ("copy_then_replace", "copy_then_trash", "keep_remote_copy")
 def plan_apply(changes: DataFrame, local: DataFrame, base: DataFrame, device_name: Column | str, policy=DEFAULT_POLICY) -> DataFrame:
     """Action, copy name and new base of every put or delete for its device.
 
-    A local path that differs only by case is found through its key, which is looked up
-    only for changes whose exact path is absent locally.
+    A local path that differs only by case is found through its key.
     """
     joined = changes.join(_local(local), KEYS, "left").join(_base(base), KEYS, "left")
     joined = joined.withColumn("path_key", path_key(F.col("path")))
@@ -371,10 +370,13 @@ def events_to_ops(events: DataFrame, local: DataFrame, base: DataFrame, device_o
     )
     landing = open_ops.select(*DEVICE, F.col("path").alias("to_path"), F.lit(True).alias("put_there")).distinct()
     at_target = _local(local, "t_", "to_path")
-    rows = (
-        events.join(_base(base), KEYS, "left").join(puts, KEYS, "left").join(_local(local), KEYS, "left")
-        .join(landing, [*DEVICE, "to_path"], "left").join(at_target, [*DEVICE, "to_path"], "left")
+    rows = events.join(_base(base), KEYS, "left").join(puts, KEYS, "left").join(_local(local), KEYS, "left")
+    # Only renames have a destination; the other events would all share one NULL join key.
+    moves = rows.filter("event = 'rename'").join(landing, [*DEVICE, "to_path"], "left").join(at_target, [*DEVICE, "to_path"], "left")
+    rest = rows.filter("event <> 'rename'").withColumns(
+        {"put_there": F.lit(None).cast("boolean"), "t_hash": F.lit(None).cast("string"), "t_size": F.lit(None).cast("long")}
     )
+    rows = moves.unionByName(rest)
     live = _is(~F.col("b_deleted"))
     write = F.col("event").isin("create", "modify")
     scope = enrollment_scope(F.col("path"), F.coalesce(F.when(write, F.col("l_size")), F.lit(0)), policy)

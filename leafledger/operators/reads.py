@@ -72,12 +72,6 @@ def history_page(
     return _page(rows, [F.col("rev")], limit + 1)
 
 
-def page_bounds(df: DataFrame, keys: list[str], position: str, size: int) -> DataFrame:
-    """First and last position of every page of ``size`` rows, given a 0-based ``position``."""
-    page = F.floor(F.col(position) / F.lit(size)).cast("long").alias("page")
-    return df.groupBy(*keys, page).agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-
-
 def list_notes(files: DataFrame, epoch: str, prefix: str | None = None, include_large: bool = False) -> DataFrame:
     """Live Markdown and Canvas files; large ones only on request."""
     return _listing(files, epoch, ("markdown", "canvas"), prefix, include_large)
