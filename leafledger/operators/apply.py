@@ -114,13 +114,22 @@ def _key_edges(ops: DataFrame) -> DataFrame:
     return renames.unionByName(shared).distinct()
 
 
-def _crowded_vaults(ops: DataFrame, files: DataFrame | None, live_limit: int) -> DataFrame:
-    """Vaults that could reach the live-file limit within this log; those fold as one component."""
-    growth = ops.filter("op <> 'delete'").groupBy("vault_id").agg(F.count(F.lit(1)).alias("n"))
-    if files is not None:
-        live = files.filter(~F.col("deleted")).groupBy("vault_id").agg(F.count(F.lit(1)).alias("n"))
-        growth = growth.unionByName(live)
-    return growth.groupBy("vault_id").agg(F.sum("n").alias("n")).filter(F.col("n") >= live_limit).select("vault_id")
+def _log_stats(todo: DataFrame, labels: DataFrame | None, files: DataFrame | None, live_limit: int) -> DataFrame:
+    """One row per vault: operations, largest component, and whether the live-file limit is
+    within reach of this log (``crowded``; such a vault folds as one component)."""
+    per_key = todo.groupBy("vault_id", "path_key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("op") != "delete").alias("growth")
+    )
+    group = F.col("path_key")
+    if labels is not None:
+        per_key = per_key.join(labels.select("vault_id", F.col("node").alias("path_key"), "component"), ["vault_id", "path_key"], "left")
+        group = F.coalesce("component", "path_key")
+    parts = per_key.groupBy("vault_id", group.alias("component")).agg(F.sum("n").alias("n"), F.sum("growth").alias("growth"))
+    vaults = parts.groupBy("vault_id").agg(F.sum("n").alias("ops"), F.max("n").alias("biggest"), F.sum("growth").alias("growth"))
+    if files is None:
+        return vaults.withColumn("crowded", F.col("growth") >= live_limit)
+    live = files.filter(~F.col("deleted")).groupBy("vault_id").agg(F.count(F.lit(1)).alias("live"))
+    return vaults.join(live, "vault_id", "left").withColumn("crowded", F.col("growth") + F.coalesce("live", F.lit(0)) >= live_limit)
 
 
 # ---- the fold -------------------------------------------------------------
@@ -332,12 +341,18 @@ def apply_ops(
 
 def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
     edges = _key_edges(todo) if linked else None
-    crowded = _crowded_vaults(todo, files, live_limit).withColumn("counted", F.lit(True))
     labels = None if edges is None or edges.isEmpty() else cut_lineage(label_components(edges))
+    stats = cut_lineage(_log_stats(todo, labels, files, live_limit))  # one row per vault
+    biggest = stats.agg(F.max(F.when(F.col("crowded"), F.col("ops")).otherwise(F.col("biggest")))).first()[0] or 0
+    crowded = stats.filter("crowded").select("vault_id", F.lit(True).alias("counted"))
+    none_crowded = crowded.isEmpty()
 
     def place(df, key):
         """Attach component and the capacity flag by path key."""
-        placed = df.join(broadcast_if_small(crowded), "vault_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+        if none_crowded:
+            placed = df.withColumn("counted", F.lit(False))
+        else:
+            placed = df.join(broadcast_if_small(crowded), "vault_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
         own = F.col(key)
         if labels is not None:
             placed = placed.join(
@@ -379,7 +394,6 @@ def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
     touched = placed.select("vault_id", "component").distinct()
     start = None if files is None else _state_rows(files, place, touched, narrow)
 
-    biggest = narrow.groupBy("vault_id", "component").count().agg(F.max("count")).first()[0] or 0
     if biggest <= max_group_ops:
         return _fold_once(narrow, start, live_limit)
 
