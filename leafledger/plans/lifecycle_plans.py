@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blobs as B
 from ..operators import exports as X
 from ..operators import lifecycle as L
 from ..operators import registry as R
@@ -324,3 +325,45 @@ def _stale(clients, grants, consents):
 )
 def _removable(clients, grants, revoked):
     return R.removable_clients(clients, grants, revoked)
+
+
+@AREA.add(
+    "s8_verify_blob_bytes", "pages",
+    sql="""SELECT concat('v', CAST(page_id % 3 AS STRING)) AS vault_id, SHA(html) AS hash, CASE WHEN page_id % 5 = 0 THEN 'blob_storage_unavailable'
+  WHEN page_id % 5 IN (1, 2) THEN 'blob_integrity_mismatch' END AS reason,
+  CASE WHEN page_id % 5 > 2 THEN SHA(html) END AS bytes_hash FROM pages""",
+)
+def _verify_blobs(pages):
+    """Every stored page: some lost, some altered, some with a wrong declared size."""
+    fifth = F.col("page_id") % 5
+    rows = pages.select(fifth.alias("k"), F.concat(F.lit("v"), F.col("page_id") % 3).alias("vault_id"), F.sha2("html", 256).alias("hash"),
+                        F.encode("html", "UTF-8").alias("raw"))
+    stored = rows.filter("k <> 0").select("vault_id", "hash", F.when(F.col("k") == 1, F.concat("raw", F.lit("!").cast("binary"))).otherwise(F.col("raw")).alias("content"))
+    size = F.octet_length("raw").cast("long") + F.when(F.col("k") == 2, 1).otherwise(0)
+    out = B.verify_blob_bytes(stored, rows.select("vault_id", "hash", size.alias("size")))
+    read = F.col("reason").isNull()
+    return out.select("vault_id", "hash", "reason", F.when(read, F.sha2("bytes", 256)).alias("bytes_hash"))
+
+
+@AREA.add(
+    "s11_ingest_blobs", "documents", "inventory",
+    steps={
+        "up": """SELECT concat('v', CAST(doc_id % 3 AS STRING)) AS vault_id, SHA(text) AS hash, CAST(BLEN(text) AS BIGINT) AS size, doc_id AS at_ms, doc_id % 10 = 4 AS bad FROM documents""",
+    },
+    sql="""SELECT 'new' AS part, u.vault_id, u.hash, min(u.size) AS size, min(u.at_ms) AS at_ms FROM up u ANTI JOIN inventory i ON u.vault_id = i.vault_id AND u.hash = i.hash
+WHERE NOT u.bad GROUP BY u.vault_id, u.hash
+UNION ALL SELECT 'blob_integrity_mismatch', vault_id, hash, size, at_ms FROM up WHERE bad""",
+)
+def _ingest(documents, inventory):
+    """Every document uploaded as a blob; one in ten declares a wrong hash."""
+    digest = F.sha2("text", 256)
+    uploads = documents.select(
+        F.concat(F.lit("v"), F.col("doc_id") % 3).alias("vault_id"), F.encode("text", "UTF-8").alias("content"), F.col("doc_id").alias("at_ms"),
+        F.when(F.col("doc_id") % 10 == 4, F.reverse(digest)).otherwise(digest).alias("declared_hash"),
+        F.octet_length("text").cast("long").alias("declared_size"),
+    )
+    fresh, rejected = B.ingest_blobs(uploads, inventory)
+    columns = ["vault_id", "hash", "size"]
+    return fresh.select(F.lit("new").alias("part"), *columns, F.col("first_ref_at").alias("at_ms")).unionByName(
+        rejected.select(F.col("reason").alias("part"), *columns, "at_ms")
+    )
