@@ -61,7 +61,7 @@ def write_files(files: DataFrame, root: str) -> None:
 
 
 def append_log(rows: DataFrame, root: str, name: str) -> None:
-    """Append rows of a log table; ``day`` partitions serve retention by whole folders."""
+    """Append rows of a log table."""
     checked(rows, name).write.mode("append").parquet(f"{root}/{name}")
 
 

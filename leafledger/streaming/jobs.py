@@ -12,7 +12,7 @@ from ..functions.identity import utc_day
 from ..operators import apply as A
 from ..operators import search as S
 from ..session import broadcast_if_small, cut_lineage, neighbour
-from .store import newest, read_before, write_batch
+from .store import newest, read_before, read_state, write_batch
 
 # ---- conditional apply -------------------------------------------------------
 
@@ -21,7 +21,8 @@ def apply_stream(ops: DataFrame, root: str, checkpoint: str, epoch: str, **limit
     """Applies each micro-batch of operations to the state left by the earlier ones.
 
     Writes ``outcomes``, ``revisions``, ``changes``, ``receipts`` and ``files`` (changed
-    rows only) per batch. State of untouched paths is filtered out by a semi-join before
+    rows only) per batch; a scheduled :func:`~leafledger.streaming.store.compact` of
+    ``files`` keeps the state short. State of untouched paths is filtered out by a semi-join before
     the fold; only narrow columns of it are read.
     """
 
@@ -33,7 +34,7 @@ def apply_stream(ops: DataFrame, root: str, checkpoint: str, epoch: str, **limit
 
 def apply_batch(batch: DataFrame, root: str, batch_id: int, epoch: str, **limits) -> None:
     spark = batch.sparkSession
-    files = read_before(spark, root, "files", batch_id)
+    files = read_state(spark, root, "files", batch_id)
     state = None if files is None else newest(files, ["vault_id", "path"])
     receipts = read_before(spark, root, "receipts", batch_id)
     revisions = read_before(spark, root, "revisions", batch_id)
@@ -71,7 +72,7 @@ def metrics_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     from ..operators.metrics import drop_late
 
     spark = batch.sparkSession
-    before = read_before(spark, root, "clients", batch_id)
+    before = read_state(spark, root, "clients", batch_id)
     old = None if before is None else newest(before, _CLIENT)
     rows = batch
     if old is not None:
@@ -133,7 +134,7 @@ def merge_partials(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Client rows of the daily metrics as of the last finished batch."""
-    rows = newest(read_before(spark, root, "clients", 2**62), _CLIENT)
+    rows = newest(read_state(spark, root, "clients", 2**62), _CLIENT)
     order = Window.partitionBy("vault_id", "day_start").orderBy("first_arrival")
     ranked = rows.withColumn("client_no", F.row_number().over(order)).filter(F.col("client_no") <= K.MAX_DAILY_CLIENTS)
     return ranked.select(

@@ -13,7 +13,7 @@ from leafledger.plans.bridge import EPOCH, spark_table
 from leafledger.schemas import SCHEMAS, SchemaMismatch
 from leafledger.sources import tables, trees
 from leafledger.streaming import jobs
-from leafledger.streaming.store import newest, read_before
+from leafledger.streaming.store import compact, newest, read_before, read_state
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,10 @@ def test_apply_stream_equals_batch(spark, folder):
     files = newest(read_before(spark, f"{folder}/state", "files", 2**62), ["vault_id", "path"])
     top = batch.groupBy("vault_id", "path").agg(F.max("rev").alias("rev"))
     assert files.select("vault_id", "path", "rev").exceptAll(top).isEmpty() and files.count() == top.count()
+    compact(spark, f"{folder}/state", "files", ["vault_id", "path"], 1)
+    again = newest(read_state(spark, f"{folder}/state", "files", 2**62), ["vault_id", "path"])
+    assert again.exceptAll(files.select(again.columns)).isEmpty() and again.count() == files.count()
+    assert read_state(spark, f"{folder}/state", "files", 2**62).filter("batch = 0").isEmpty()
 
 
 def test_postings_stream(spark, folder):
