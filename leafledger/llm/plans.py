@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from .common import table
 from .quality import quality_rules
+from .secret_scan import scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +33,9 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by base rules and the fitted model."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_secret_scans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
