@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from . import mixing, url_rules
 from .common import table
 from .quality import quality_rules
 from .secret_scan import scan_secrets
@@ -35,6 +36,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_url_filters", url_rules.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL held against the rules."""
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rule_frame(spark, url_rules.RULES))
+
+
+@query("op8_mixing", mixing.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the source weights."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query("op9_secret_scans")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text."""
