@@ -11,7 +11,11 @@ from ..session import prepare
 from . import mixing, url_rules
 from .common import table
 from .quality import quality_rules
+from .rans import ids_round_trip
 from .secret_scan import scan_secrets
+from .tier_packing import pack_documents
+
+TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabularies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,12 +40,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to files and read back."""
+    return ids_round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 @query("op3_url_filters", url_rules.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL held against the rules."""
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rule_frame(spark, url_rules.RULES))
 
 
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 @query("op8_mixing", mixing.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the source weights."""
