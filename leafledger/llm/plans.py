@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing, url_rules
+from . import mixing, spotsigs, url_rules
 from .common import table
 from .quality import quality_rules
 from .rans import ids_round_trip
@@ -52,6 +52,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rule_frame(spark, url_rules.RULES))
 
 
+@query("op5_fingerprints", spotsigs.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot signatures of every text and of its edited form."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
