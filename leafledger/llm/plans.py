@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from . import mixing, spotsigs, url_rules
 from .common import table
+from .language_cnn import identify_languages
 from .quality import quality_rules
 from .rans import ids_round_trip
 from .secret_scan import scan_secrets
@@ -74,3 +75,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text."""
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    return identify_languages(table(spark, sf_dir, "documents"))
