@@ -11,6 +11,7 @@ from ..session import prepare
 from . import mixing, spotsigs, url_rules
 from .common import table
 from .language_cnn import identify_languages
+from .ngram_join import join_ngrams
 from .quality import quality_rules
 from .rans import ids_round_trip
 from .secret_scan import scan_secrets
@@ -65,6 +66,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents."""
+    return join_ngrams(table(spark, sf_dir, "documents"))
+
+
 @query("op8_mixing", mixing.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the source weights."""
