@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from . import mixing, spotsigs, url_rules
 from .common import table
+from .gru_lm import score_documents
 from .language_cnn import identify_languages
 from .ngram_join import join_ngrams
 from .quality import quality_rules
@@ -54,6 +55,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rule_frame(spark, url_rules.RULES))
 
 
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole document."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op5_fingerprints", spotsigs.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot signatures of every text and of its edited form."""
