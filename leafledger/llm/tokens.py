@@ -16,11 +16,15 @@ import regex
 
 from .common import worker_cache
 
-CACHE = 400_000
+CACHE = 700_000
 # White space by Unicode, as the vocabularies' patterns see it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# Where a cut before each blank or line feed could part a run of white space.
+_RUNS = re.compile(f"[{_SPACE}][ \n]|\0")
 _PLAIN = re.compile("[ \n]?[!-~À-ÖØ-öø-ÿ]+")
+# The usual chunk: a word and at most one mark, cut the same way by both patterns.
+_WORD = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)")
 # How the two vocabularies cut a text into pieces.
 _WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,6 +64,16 @@ class Encoder:
 
     def _chunk(self, chunk) -> bytes:
         text = chunk.decode("utf-8", "replace") if isinstance(chunk, bytes) else chunk
+        usual = _WORD.fullmatch(text)
+        if usual:
+            lead, word, mark = usual.groups()
+            if self.word:
+                word = word.lower()
+            elif lead == " ":
+                word = " " + word
+            else:
+                return b"".join(self._piece(p) for p in (lead, word, mark) if p)
+            return self._piece(word) + self._piece(mark) if mark else self._piece(word)
         if not _PLAIN.fullmatch(text) or "<|" in text:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -76,8 +90,13 @@ class Encoder:
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        # The word vocabulary drops white space, so a cut at ASCII spaces alone is enough there.
-        chunks = text.split() if self.word else _CHUNKS.findall(text.decode("utf-8", "replace"))
+        if self.word:  # this vocabulary drops white space, so a cut at ASCII spaces is enough
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        whole = text.decode("utf-8", "replace")
+        if _RUNS.search(whole):
+            chunks = _CHUNKS.findall(whole)
+        else:
+            chunks = whole.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
