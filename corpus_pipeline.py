@@ -1,26 +1,71 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+Quality rules drop what they reject; of near copies the smallest id stays; secrets are masked in the text;
+sources are mixed to their targets by repeating or leaving out whole documents; what is left is packed.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafledger.llm.common import stored, table
-from leafledger.llm.quality import judge_quality, fit_quality
+from leafledger.llm.mixing import mix_sources
+from leafledger.llm.ngram_join import join_ngrams
+from leafledger.llm.plans import TOKENIZERS
+from leafledger.llm.quality import fit_quality, judge_quality
+from leafledger.llm.secret_scan import mask_secrets
+from leafledger.llm.tier_packing import pack_documents
 from leafledger.session import prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; fitted on the labelled ones among them."""
     prepare(spark)
     judged = judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=COLUMNS)
     return judged.filter("kept").selectExpr(*[f"_{c} AS {c}" for c in COLUMNS])
 
 
-STAGES = [("quality rules", _quality)]
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; rows without an id stay."""
+    prepare(spark)
+    others = join_ngrams(docs).filter("doc_id <> component_id").select("doc_id")
+    return docs.select(COLUMNS).join(others, "doc_id", "left_anti")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, secrets masked; ``n_chars`` is that of the new text."""
+    prepare(spark)
+    return mask_secrets(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one taken in part comes whole. Rows with equal ids share their copies."""
+    prepare(spark)
+    taken = mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).filter("taken > 0")
+    copies = taken.select(F.col("doc_id").alias("mixed_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = docs.select(COLUMNS)
+    rows = rows.join(copies, rows["doc_id"].eqNullSafe(copies["mixed_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences over all documents of the mix."""
+    return pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("n-gram Jaccard join", keep_one_copy),
+    ("secret scans", hide_secrets),
+    ("mixing sources", mix_to_targets),
+    ("packing", pack),
+]
 
-# The fitted quality model has no SQL form; the tests hold every stage against brute force.
+# The fitted quality model has no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
