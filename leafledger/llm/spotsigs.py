@@ -90,7 +90,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ghosts = last.select(
         F.col("slot").alias("own"), "last", F.coalesce(F.lead("slot").over(order), F.min("slot").over(ring)).alias("slot")
     )
-    tops = base.withColumnRenamed("slot", "own").join(ghosts, "own")
+    tops = base.withColumnRenamed("slot", "own").join(F.broadcast(ghosts), "own")  # at most one row per range
     tops = tops.filter(F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("slot").agg(F.max("text").alias("text"), F.max("doc_id").alias("doc_id"))
     rows = base.withColumn("ghost", F.lit(0)).unionByName(tops.select("doc_id", "text", "slot", F.lit(1).alias("ghost")))
     inside = Window.partitionBy("slot").orderBy(F.col("ghost").desc(), F.col("doc_id").asc_nulls_first(), "text")
