@@ -17,7 +17,7 @@ import hashlib
 from collections import namedtuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,7 +63,7 @@ def _is_settled(pairs: DataFrame) -> bool:
     return nodes.filter((F.col("h") > 1) | ((F.col("h") > 0) & (F.col("l") > 0))).isEmpty()
 
 
-def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def label_components(edges: DataFrame) -> DataFrame:
     """(vault_id, src, dst) → (vault_id, node, component): smallest node of each component.
 
     Alternating large-star and small-star joins; each round is two aggregations with
@@ -74,9 +74,7 @@ def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         .filter("hi <> lo")
         .distinct()
     )
-    for _ in range(max_rounds):
-        if _is_settled(pairs):
-            break
+    while not _is_settled(pairs):
         both = pairs.select("vault_id", F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select("vault_id", F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -91,8 +89,6 @@ def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             joined.select("vault_id", "hi", F.col("m").alias("lo"))
         )
         pairs = cut_lineage(small.filter("hi <> lo").distinct())
-    else:
-        raise RuntimeError("component labelling did not settle")
     members = pairs.select("vault_id", F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = members.select("vault_id", F.col("component").alias("node"), "component").distinct()
     return members.unionByName(roots)
@@ -114,11 +110,13 @@ def _key_edges(ops: DataFrame) -> DataFrame:
     return renames.unionByName(shared).distinct()
 
 
-def _log_stats(todo: DataFrame, labels: DataFrame | None, files: DataFrame | None, live_limit: int) -> DataFrame:
-    """One row per vault: operations, largest component, and whether the live-file limit is
-    within reach of this log (``crowded``; such a vault folds as one component)."""
+def _log_stats(todo: DataFrame, labels: DataFrame | None, files: DataFrame | None, live_limit: int | None) -> DataFrame:
+    """One row per vault: operations, largest component, and whether a live-file limit is
+    within reach of this log's paths (``crowded``; such a vault folds as one component)."""
+    # A path key adds one live file at most, and so does each target of its renames.
+    grows = F.max(F.col("op").isin("put", "restore").cast("long")) + F.count_distinct("to_key")
     per_key = todo.groupBy("vault_id", "path_key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("op") != "delete").alias("growth")
+        F.count(F.lit(1)).alias("n"), (F.lit(0) if live_limit is None else grows).cast("long").alias("growth")
     )
     group = F.col("path_key")
     if labels is not None:
@@ -126,6 +124,8 @@ def _log_stats(todo: DataFrame, labels: DataFrame | None, files: DataFrame | Non
         group = F.coalesce("component", "path_key")
     parts = per_key.groupBy("vault_id", group.alias("component")).agg(F.sum("n").alias("n"), F.sum("growth").alias("growth"))
     vaults = parts.groupBy("vault_id").agg(F.sum("n").alias("ops"), F.max("n").alias("biggest"), F.sum("growth").alias("growth"))
+    if live_limit is None:
+        return vaults.withColumn("crowded", F.lit(False))
     if files is None:
         return vaults.withColumn("crowded", F.col("growth") >= live_limit)
     live = files.filter(~F.col("deleted")).groupBy("vault_id").agg(F.count(F.lit(1)).alias("live"))
@@ -189,7 +189,7 @@ class _Component:
                 return "revision_pruned", None
             if source[0]:
                 return "invalid_request", None
-            if not cur[1] and not o.as_conflict_copy:
+            if cur is not None and not cur[1] and not o.as_conflict_copy:
                 return "path_occupied", None
             other = self.live.get(o.path_key)
             if other not in (None, o.path):
@@ -283,6 +283,19 @@ def _fold(live_limit, columns):
     return run
 
 
+def well_formed() -> Column:
+    """Each operation with the preconditions it may carry; only an append may come without one."""
+    op, expect = F.col("op"), F.col("expect")
+    allowed = (
+        (op.isin("delete", "rename", "restore") & (expect == "match"))
+        | ((op == "put") & expect.isin("absent", "match"))
+        | ((op == "append") & expect.isin("none", "match"))
+    )
+    exact = (expect != "match") | (F.col("expected_rev") > 0)
+    paths = F.col("path").isNotNull() & ((op == "rename") == F.col("to_path").isNotNull())
+    return F.coalesce(allowed & exact & paths, F.lit(False))
+
+
 def apply_ops(
     ops: DataFrame,
     files: DataFrame | None = None,
@@ -290,11 +303,14 @@ def apply_ops(
     revisions: DataFrame | None = None,
     *,
     now_ms: int | None = None,
-    live_limit: int = K.LIVE_FILE_LIMIT,
+    live_limit: int | None = None,
     max_group_ops: int = 2_000_000,
 ) -> DataFrame:
     """One outcome row per operation.
 
+    ``live_limit`` refuses what would pass that many live files per vault; it is off unless
+    given, and then a vault that could reach it with this log's new paths folds in one order.
+
     ``ops``: vault_id, arrival (unique integer per vault), op, path and the columns of
     ``_DEFAULTS``; ``reason`` from :func:`authorize_ops` goes first. ``files`` is the state
     before the log, ``receipts`` and ``revisions`` what is retained. Only accepted keyed
@@ -305,7 +321,12 @@ def apply_ops(
         {
             "path_key": path_key(F.col("path")),
             "to_key": path_key(F.col("to_path")) if "to_path" in ops.columns else F.lit(None).cast("string"),
-            "expect": F.coalesce("expect", F.when(F.col("expected_rev") > 0, "match").when(F.col("op") == "put", "absent").otherwise("none")),
+            "expect": F.coalesce(
+                "expect",
+                F.when(F.col("expected_rev") > 0, "match")
+                .when((F.col("op") == "put") & (F.col("expected_rev") == 0), "absent")
+                .when((F.col("op") == "append") & F.col("expected_rev").isNull(), "none"),
+            ),
             "kind": F.coalesce("kind", F.lit("text")),
             "key_ok": key_window(F.col("op_key"), now_ms) if now_ms is not None else F.lit(True),
             "replay_of": F.lit(None).cast("long"),
@@ -332,6 +353,7 @@ def apply_ops(
         *[F.lit(0 if c == "live_delta" else None).cast(t).alias(c) for c, t in _FIELDS[7:]],
     )
     todo = log.filter(F.col("reason").isNull()).drop("replay_of", "replay_status")
+    todo = todo.withColumn("reason", F.when(~well_formed(), "invalid_request"))
     linked = "to_path" in ops.columns or "op_key" in ops.columns
     outcomes = _run_components(todo, files, revisions, live_limit, max_group_ops, linked)
     if receipts is None and "reason" not in ops.columns:
@@ -340,7 +362,7 @@ def apply_ops(
 
 
 def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
-    edges = _key_edges(todo) if linked else None
+    edges = _key_edges(todo.filter("reason IS NULL")) if linked else None
     labels = None if edges is None or edges.isEmpty() else cut_lineage(label_components(edges))
     stats = cut_lineage(_log_stats(todo, labels, files, live_limit))  # one row per vault
     biggest = stats.agg(F.max(F.when(F.col("crowded"), F.col("ops")).otherwise(F.col("biggest")))).first()[0] or 0
@@ -455,7 +477,7 @@ def _carry(done, ranked, start, rows):
     return state.unionByName(keys).unionByName(past)
 
 
-def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int) -> DataFrame:
+def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int | None) -> DataFrame:
     everything = rows if state is None else rows.unionByName(state)
     # A fixed partition count: the fold is CPU work, so small inputs must not be coalesced to one task.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

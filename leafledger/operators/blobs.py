@@ -45,18 +45,23 @@ def check_blob_puts(puts: DataFrame, registry: DataFrame, marks: DataFrame) -> D
     )
 
 
-def verify_blob_bytes(blobs: DataFrame, expected: DataFrame, start: int = 0, length: int | None = None) -> DataFrame:
-    """Whole or range read of blob bytes, checked against hash and size first."""
-    length = K.INLINE_TEXT_LIMIT if length is None and start else length
+def verify_blob_bytes(
+    blobs: DataFrame, expected: DataFrame, start: int = 0, length: int | None = None, max_length: int | None = None
+) -> DataFrame:
+    """Whole or range read of blob bytes, checked against hash and size first.
+
+    A range gives all that was asked for; one longer than ``max_length`` (off unless given) is refused.
+    """
     whole = F.col("content")
-    part = whole if length is None else F.substring(whole, start + 1, min(length, K.INLINE_TEXT_LIMIT))
+    part = whole if start == 0 and length is None else F.substring(whole, start + 1, 2**31 - 1 if length is None else length)
+    refused = F.lit(max_length is not None and length is not None and length > max_length)
     return (
         expected.select("vault_id", "hash", F.col("size").alias("expected_size")).distinct()
         .join(blobs, ["vault_id", "hash"], "left")
         .withColumn("actual_hash", F.sha2("content", 256))
         .select(
             "vault_id", "hash",
-            F.when(F.col("content").isNull(), "blob_storage_unavailable")
+            F.when(refused, "invalid_request").when(F.col("content").isNull(), "blob_storage_unavailable")
             .when((F.col("actual_hash") != F.col("hash")) | (F.octet_length("content") != F.col("expected_size")), "blob_integrity_mismatch")
             .alias("reason"),
             part.alias("bytes"),

@@ -6,7 +6,7 @@ duration_ms and arrival (unique integer in arrival order).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,15 +30,16 @@ def drop_late(observations: DataFrame) -> DataFrame:
     return joined.filter("closed_at is null or arrival < closed_at").drop("closed_at")
 
 
-def bounded_clients(kept: DataFrame, limit: int = K.MAX_DAILY_CLIENTS) -> DataFrame:
-    """The first ``limit`` clients of a vault's day with their request counts."""
+def bounded_clients(kept: DataFrame, limit: int | None = None) -> DataFrame:
+    """Clients of a vault's day in order of arrival with their request counts; only the first ``limit`` if given."""
     counts = kept.groupBy(*DAY, "client_id").agg(
         F.min("arrival").alias("first_arrival"),
         F.count_if(F.col("protocol") == "rest").alias("requests_rest"),
         F.count_if(F.col("protocol") == "mcp").alias("requests_mcp"),
     )
     order = Window.partitionBy(*DAY).orderBy("first_arrival")
-    return counts.withColumn("client_no", F.row_number().over(order)).filter(F.col("client_no") <= limit)
+    numbered = counts.withColumn("client_no", F.row_number().over(order))
+    return numbered if limit is None else numbered.filter(F.col("client_no") <= limit)
 
 
 def poll_cadence(kept: DataFrame, clients: DataFrame) -> DataFrame:
@@ -82,20 +83,22 @@ def bounded_samples(kept: DataFrame, limit: int = K.MAX_DAILY_SAMPLES) -> DataFr
     return samples.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
-def nearest_rank(values: Column, share: float = 0.95) -> Column:
-    """``sorted[ceil(share * n) - 1]`` of an array, NULL when empty."""
-    n = F.size(values)
-    return F.when(n > 0, F.get(F.array_sort(values), F.ceil(F.lit(share) * n).cast("int") - 1))
+def feed_p95(kept: DataFrame, share: float = 0.95, limit: int | None = None) -> DataFrame:
+    """Nearest-rank p95 of a day's feed samples: all of them, or the latest ``limit`` if given.
 
-
-def feed_p95(kept: DataFrame) -> DataFrame:
-    """Nearest-rank p95 over the kept samples of a day (at most 2,048 values per group)."""
-    totals = kept.filter("feed_request").groupBy(*DAY).agg(F.count(F.lit(1)).alias("total_sample_count"))
-    picked = bounded_samples(kept).groupBy(*DAY).agg(
-        nearest_rank(F.collect_list("duration_ms")).alias("p95"), F.count(F.lit(1)).alias("sample_count"),
-        F.min("observed_at").alias("first_sample_at"), F.max("observed_at").alias("last_sample_at"),
+    Samples are counted per distinct duration first; the rank is found among those counts.
+    """
+    feed = kept.filter("feed_request").select(*DAY, "observed_at", "duration_ms")
+    used = feed if limit is None else bounded_samples(kept, limit)
+    total = feed.groupBy(*DAY).agg(F.count(F.lit(1)).alias("total_sample_count"))
+    day = used.groupBy(*DAY).agg(
+        F.count(F.lit(1)).alias("sample_count"), F.min("observed_at").alias("first_sample_at"), F.max("observed_at").alias("last_sample_at")
     )
-    return picked.join(totals, DAY)
+    counts = used.groupBy(*DAY, "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    reached = F.sum("n").over(Window.partitionBy(*DAY).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("reached", reached).join(day.select(*DAY, "sample_count"), DAY)
+    p95 = ranked.filter(F.col("reached") >= F.ceil(F.lit(share) * F.col("sample_count"))).groupBy(*DAY).agg(F.min("duration_ms").alias("p95"))
+    return p95.join(day, DAY).join(total, DAY)
 
 
 def measurement_report(kept: DataFrame, now_ms: int) -> DataFrame:
@@ -133,7 +136,7 @@ def validate_measurements(rows: DataFrame) -> DataFrame:
         .when(~inside, "window_outside_day")
         .when(F.col("request_observed_from") > F.col("request_observed_through"), "window_reversed")
         .when((F.col("requests_rest") < 0) | (F.col("requests_mcp") < 0), "negative_count")
-        .when(F.coalesce("sample_count", F.lit(0)) > F.least(F.coalesce("total_sample_count", F.lit(0)), F.lit(K.MAX_DAILY_SAMPLES)), "sample_count")
+        .when(F.coalesce("sample_count", F.lit(0)) > F.coalesce("total_sample_count", F.lit(0)), "sample_count")
         .when((F.coalesce("sample_count", F.lit(0)) == 0) != F.col("p95").isNull(), "p95_presence"),
     )
 

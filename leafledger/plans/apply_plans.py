@@ -45,6 +45,50 @@ def _apply(ops):
     return out.select("vault_id", "arrival", "accepted", "reason", "status", "rev", "deleted", "current_rev", "current_deleted")
 
 
+@AREA.add(
+    "t1_live_limit", "ops",
+    sql="""
+SELECT vault_id, arrival, n <= 200 AS accepted, CASE WHEN n > 200 THEN 'capacity_exceeded' END AS reason
+FROM (SELECT vault_id, arrival, row_number() OVER (PARTITION BY vault_id ORDER BY arrival) AS n FROM ops) t""",
+)
+def _live_limit(ops):
+    """Every operation creates a path of its own; the 201st of a vault is over the limit."""
+    log = ops.select("vault_id", "arrival", F.lit("put").alias("op"), F.concat(F.lit("New/"), "arrival", F.lit(".md")).alias("path"),
+                     F.lit("absent").alias("expect"), "payload_hash")
+    return apply_ops(log, live_limit=200).select("vault_id", "arrival", "accepted", "reason")
+
+
+@AREA.add(
+    "t1_operation_rules", "ops",
+    sql="""
+SELECT vault_id, arrival, CASE
+    WHEN op = 'put' AND expect = 'absent' AND NOT moved THEN NULL
+    WHEN op IN ('put', 'delete', 'append', 'restore') AND expect = 'match' AND has_rev AND NOT moved THEN 'precondition_failed'
+    WHEN op = 'rename' AND expect = 'match' AND has_rev AND moved THEN 'precondition_failed'
+    WHEN op = 'append' AND coalesce(expect, 'none') = 'none' AND NOT moved THEN 'not_found'
+    ELSE 'invalid_request' END AS reason
+FROM (
+  SELECT vault_id, arrival, CASE arrival % 6 WHEN 0 THEN 'put' WHEN 1 THEN 'delete' WHEN 2 THEN 'rename' WHEN 3 THEN 'append'
+      WHEN 4 THEN 'restore' ELSE 'read' END AS op,
+    CASE (arrival // 6) % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'absent' WHEN 2 THEN 'none' END AS expect,
+    (arrival // 24) % 2 = 0 AS has_rev, (arrival // 48) % 2 = 0 AS moved FROM ops) t""",
+)
+def _operation_rules(ops):
+    """Every kind of operation with every precondition, with and without a revision and a second path, on paths that never were."""
+    a = F.col("arrival")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    log = ops.select(
+        "vault_id", "arrival", pick(["put", "delete", "rename", "append", "restore", "read"], a % 6).alias("op"),
+        F.concat(F.lit("Rule/"), "arrival", F.lit(".md")).alias("path"),
+        F.when(F.floor(a / 48) % 2 == 0, F.concat(F.lit("Rule/to-"), "arrival", F.lit(".md"))).alias("to_path"),
+        pick(["match", "absent", "none", None], F.floor(a / 6) % 4).alias("expect"),
+        F.when(F.floor(a / 24) % 2 == 0, F.lit(3).cast("long")).alias("expected_rev"), "payload_hash", F.lit("x").alias("content"),
+    )
+    # Without an explicit precondition, a revision stands for ``match``.
+    log = log.withColumn("expected_rev", F.when(F.col("expect").isNotNull(), F.col("expected_rev")))
+    return apply_ops(log).select("vault_id", "arrival", "reason")
+
+
 @AREA.add(
     "w3_assign_seq", "ops", steps=FOLD_STEPS,
     sql="""

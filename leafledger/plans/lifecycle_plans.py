@@ -206,54 +206,104 @@ def _ordinals(notes):
 @AREA.add(
     "a13_snapshot_checks", "notes", steps=_SNAP,
     sql="""SELECT vault_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(reason) AS bad_rows, count(*) AS live,
-  CASE WHEN count(reason) > 0 THEN 'source_failure' WHEN count(*) > 10000 THEN 'too_many_files' ELSE 'ok' END AS verdict FROM snap GROUP BY vault_id""",
+  CASE WHEN count(reason) > 0 THEN 'source_failure' ELSE 'ok' END AS verdict FROM snap GROUP BY vault_id""",
 )
 def _checks(notes):
     return X.snapshot_checks(_snapshot(notes), vault_summary(notes))
 
 
+def _blob_store(documents):
+    """Every document's bytes under their hash, in all vaults."""
+    return documents.select(F.explode(F.array(*[F.lit(f"v{k}") for k in range(3)])).alias("vault_id"), F.sha2("text", 256).alias("hash"),
+                            F.encode("text", "UTF-8").alias("content"))
+
+
 @AREA.add(
-    "s10_verify_snapshot", "notes",
-    sql="""SELECT vault_id, path, CASE WHEN substr(hash,1,1) = '0' THEN 'missing' WHEN kind = 'text' AND substr(hash,1,1) = '1' THEN 'content_mismatch' END AS reason
-FROM notes WHERE NOT deleted""",
+    "s9_snapshot_payload", "notes", "documents",
+    sql="""SELECT n.vault_id, n.path, n.rev, n.blob_hash, SHA(d.text) AS bytes_hash, CAST(BLEN(d.text) AS INT) AS bytes
+FROM notes n JOIN documents d ON n.seq = d.doc_id + 1 WHERE NOT n.deleted""",
 )
-def _verify(notes):
-    """A payload with lost rows and altered text is found out path by path."""
-    manifest = X.capture_snapshot(notes, notes)
-    first = F.substring("hash", 1, 1)
-    text = F.when(first == "1", F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    payload = notes.filter(~F.col("deleted") & (first != "0")).select("vault_id", "path", text.alias("content"), "blob_hash")
-    return X.verify_snapshot(manifest, payload)
+def _payload(notes, documents):
+    """Texts and blobs as they would be written, every byte hashed."""
+    out = X.snapshot_payload(X.capture_snapshot(notes, notes), notes, _blob_store(documents))
+    return out.select("vault_id", "path", "rev", "blob_hash", F.sha2("bytes", 256).alias("bytes_hash"), F.octet_length("bytes").alias("bytes"))
 
 
 @AREA.add(
-    "s10_restore_snapshot", "notes",
-    sql="SELECT vault_id, path, CAST(1 AS BIGINT) AS rev, hash, size, kind, CAST(BLEN(content) AS INT) AS bytes FROM notes WHERE NOT deleted",
+    "s10_verify_snapshot", "notes", "documents",
+    sql="""SELECT vault_id, path, CASE substr(hash,1,1) WHEN '0' THEN 'missing' WHEN '1' THEN 'content_mismatch' WHEN '2' THEN 'content_mismatch'
+  WHEN '3' THEN 'content_mismatch' END AS reason FROM notes WHERE NOT deleted""",
 )
-def _restore(notes):
-    live = notes.filter(~F.col("deleted"))
-    rows = X.restore_snapshot(X.capture_snapshot(notes, notes), live, 0, "restore")
-    return rows.select("vault_id", "path", "rev", "hash", "size", "kind", F.octet_length("content").alias("bytes"))
+def _verify(notes, documents):
+    """Lost rows, altered, short and absent bytes of texts and blobs are found out path by path."""
+    manifest = X.capture_snapshot(notes, notes)
+    payload = X.snapshot_payload(manifest, notes, _blob_store(documents)).join(notes.select("vault_id", "path", F.substring("hash", 1, 1).alias("k")), ["vault_id", "path"])
+    spoilt = (
+        F.when(F.col("k") == "1", F.concat("bytes", F.lit("!").cast("binary")))
+        .when(F.col("k") == "2", F.expr("substring(bytes, 1, octet_length(bytes) - 1)"))
+        .when(F.col("k") == "3", F.lit(None).cast("binary")).otherwise(F.col("bytes"))
+    )
+    return X.verify_snapshot(manifest, payload.filter("k <> '0'").withColumn("bytes", spoilt))
 
 
 @AREA.add(
-    "t24_start_exports", "orders", "exports",
-    steps={
-        "asked": "SELECT o_orderkey, concat('v', CAST(o_custkey % 5 AS STRING)) AS vault_id, 1704067200000 + (o_orderkey % 30) * 3600000 AS created_at FROM orders",
-        "active": "SELECT vault_id, arg_min(export_id, {'c': created_at, 'e': export_id}) AS export_id FROM exports WHERE status IN ('queued','uploading') GROUP BY vault_id",
-    },
-    sql="""SELECT a.o_orderkey, a.vault_id, a.created_at, coalesce(s.export_id, c.export_id, concat(a.vault_id, ':', CAST(a.created_at AS STRING))) AS export_id,
-  CASE WHEN s.export_id IS NOT NULL THEN 'existing' WHEN c.export_id IS NOT NULL THEN 'busy' ELSE 'queued' END AS outcome
+    "s10_restore_snapshot", "notes", "documents",
+    sql="""SELECT vault_id, path, CAST(1 AS BIGINT) AS rev, hash, size, kind, CAST(BLEN(content) AS INT) AS bytes,
+  CASE WHEN kind = 'blob' THEN hash END AS blob_bytes_hash FROM notes WHERE NOT deleted""",
+)
+def _restore(notes, documents):
+    manifest = X.capture_snapshot(notes, notes)
+    rows = X.restore_snapshot(manifest, X.snapshot_payload(manifest, notes, _blob_store(documents)), 0, "restore")
+    return rows.select("vault_id", "path", "rev", "hash", "size", "kind", F.octet_length("content").alias("bytes"), F.sha2("blob_bytes", 256).alias("blob_bytes_hash"))
+
+
+_ASKED = {
+    "asked": "SELECT o_orderkey, o_orderkey AS arrival, concat('v', CAST(o_custkey % 5 AS STRING)) AS vault_id, 1704067200000 + (o_orderkey % 30) * 3600000 AS created_at FROM orders",
+    "active": "SELECT vault_id, arg_min(export_id, {'c': created_at, 'e': export_id}) AS export_id FROM exports WHERE status IN ('queued','uploading') GROUP BY vault_id",
+    "matched": """SELECT a.*, s.export_id AS same_id, c.export_id AS active_id,
+  arg_min(a.created_at, a.arrival) FILTER (s.export_id IS NULL AND c.export_id IS NULL) OVER (PARTITION BY a.vault_id) AS first_at,
+  min(a.arrival) FILTER (s.export_id IS NULL AND c.export_id IS NULL) OVER (PARTITION BY a.vault_id) AS first_arrival
 FROM asked a LEFT JOIN exports s ON a.vault_id = s.vault_id AND a.created_at = s.created_at LEFT JOIN active c ON a.vault_id = c.vault_id""",
+}
+
+
+@AREA.add(
+    "t24_start_exports", "orders", "exports", steps=_ASKED,
+    sql="""SELECT o_orderkey, arrival, vault_id, created_at, coalesce(same_id, active_id, concat(vault_id, ':', CAST(first_at AS STRING))) AS export_id,
+  CASE WHEN same_id IS NOT NULL THEN 'existing' WHEN active_id IS NOT NULL THEN 'busy' WHEN arrival = first_arrival THEN 'queued'
+    WHEN created_at = first_at THEN 'existing' ELSE 'busy' END AS outcome FROM matched""",
 )
 def _start(orders, exports):
     asked = orders.select(
-        "o_orderkey", F.concat(F.lit("v"), F.col("o_custkey") % 5).alias("vault_id"),
+        "o_orderkey", F.col("o_orderkey").alias("arrival"), F.concat(F.lit("v"), F.col("o_custkey") % 5).alias("vault_id"),
         (F.lit(1704067200000) + F.col("o_orderkey") % 30 * 3600000).alias("created_at"),
     )
     return X.start_exports(asked, exports)
 
 
+@AREA.add(
+    "t24_finish_exports", "exports", "pins", "orders",
+    steps={
+        "told": "SELECT concat('x', CAST(o_orderkey % 40 AS STRING)) AS export_id, CASE WHEN o_orderkey % 3 = 0 THEN 'complete' WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'paused' END AS status, o_orderkey AS arrival FROM orders WHERE o_orderkey % 4 = 1",
+        "result": "SELECT export_id, arg_min(status, arrival) AS status FROM told WHERE status <> 'paused' GROUP BY export_id",
+        "done": "SELECT e.export_id, e.vault_id, CASE WHEN e.status IN ('queued','uploading') THEN coalesce(r.status, e.status) ELSE e.status END AS status FROM exports e LEFT JOIN result r ON e.export_id = r.export_id",
+        "pinned": "SELECT path, concat('x', CAST(rev % 25 AS STRING)) AS export_id FROM pins p",
+    },
+    sql="""SELECT d.export_id, d.vault_id, d.status, count(p.path) AS pins FROM done d
+LEFT JOIN pinned p ON p.export_id = d.export_id AND d.status IN ('queued','uploading') GROUP BY d.export_id, d.vault_id, d.status""",
+)
+def _finish(exports, pins, orders):
+    """Results for some runs, repeated and unknown ones among them; pins of finished runs go."""
+    key = F.col("o_orderkey")
+    told = orders.filter(key % 4 == 1).select(
+        F.concat(F.lit("x"), key % 40).alias("export_id"), F.when(key % 3 == 0, "complete").when(key % 3 == 1, "failed").otherwise("paused").alias("status"),
+        key.alias("arrival"),
+    )
+    done, left = X.finish_exports(exports, told, pins.withColumn("export_id", F.concat(F.lit("x"), F.col("rev") % 25)))
+    held = left.groupBy("export_id").agg(F.count("path").alias("pins"))
+    return done.join(held, "export_id", "left").select("export_id", "vault_id", "status", F.coalesce("pins", F.lit(0)).alias("pins"))
+
+
 @AREA.add(
     "t24_release_pins", "pins", "exports",
     sql="SELECT p.* FROM (SELECT vault_id, path, rev, concat('x', CAST(rev % 25 AS STRING)) AS export_id FROM pins) p JOIN exports e ON p.export_id = e.export_id WHERE e.status IN ('queued','uploading')",
@@ -345,6 +395,20 @@ def _verify_blobs(pages):
     return out.select("vault_id", "hash", "reason", F.when(read, F.sha2("bytes", 256)).alias("bytes_hash"))
 
 
+@AREA.add(
+    "s8_range_reads", "pages",
+    sql="""SELECT concat('v', CAST(page_id % 3 AS STRING)) AS vault_id, SHA(html) AS hash, SHA(unhex(substr(hex(encode(html)), 81))) AS rest_hash,
+  SHA(unhex(substr(hex(encode(html)), 81, 5000000))) AS part_hash FROM pages""",
+)
+def _ranges(pages):
+    """From byte 40 to the end, and the 2.5 million bytes asked for, of every stored page."""
+    store = pages.select(F.concat(F.lit("v"), F.col("page_id") % 3).alias("vault_id"), F.sha2("html", 256).alias("hash"),
+                         F.encode("html", "UTF-8").alias("content"), F.octet_length("html").cast("long").alias("size"))
+    rest = B.verify_blob_bytes(store, store, 40).select("vault_id", "hash", F.sha2("bytes", 256).alias("rest_hash"))
+    part = B.verify_blob_bytes(store, store, 40, 2_500_000).select("vault_id", "hash", F.sha2("bytes", 256).alias("part_hash"))
+    return rest.join(part, ["vault_id", "hash"])
+
+
 @AREA.add(
     "s11_ingest_blobs", "documents", "inventory",
     steps={

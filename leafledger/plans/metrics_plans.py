@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import metrics as M
 from .catalog import Area
 
@@ -24,7 +25,7 @@ _DAILY = """SELECT vault_id, day_start, count(*) FILTER (protocol = 'rest') AS r
 FROM kept GROUP BY vault_id, day_start"""
 _SAMPLES = _KEPT | {
     "ranked": "SELECT *, row_number() OVER (PARTITION BY vault_id, day_start ORDER BY observed_at DESC, arrival DESC) AS n, count(*) OVER (PARTITION BY vault_id, day_start) AS total FROM kept WHERE feed_request",
-    "latest": "SELECT *, row_number() OVER (PARTITION BY vault_id, day_start ORDER BY duration_ms) AS r, count(*) OVER (PARTITION BY vault_id, day_start) AS c FROM ranked WHERE n <= 2048",
+    "latest": "SELECT *, row_number() OVER (PARTITION BY vault_id, day_start ORDER BY duration_ms) AS r, count(*) OVER (PARTITION BY vault_id, day_start) AS c FROM ranked",
     "p": """SELECT vault_id, day_start, max(duration_ms) FILTER (r = ceil(0.95 * c)) AS p95, count(*) AS sample_count, min(observed_at) AS first_sample_at,
   max(observed_at) AS last_sample_at, max(total) AS total_sample_count FROM latest GROUP BY vault_id, day_start""",
 }
@@ -42,7 +43,7 @@ def _kept(observations):
 
 @AREA.add("w6_bounded_clients", "observations", steps=_CLIENTS, sql="SELECT * FROM numbered WHERE client_no <= 128")
 def _clients(observations):
-    return M.bounded_clients(M.drop_late(observations))
+    return M.bounded_clients(M.drop_late(observations), K.MAX_DAILY_CLIENTS)
 
 
 @AREA.add("w6_first_twenty_clients", "observations", steps=_CLIENTS, sql="SELECT * FROM numbered WHERE client_no <= 20")
@@ -60,7 +61,7 @@ _CADENCE = _CLIENTS | {
     "a11_w4_poll_cadence", "observations", steps=_CADENCE,
     sql="""SELECT n.vault_id, n.day_start, n.client_id, c.last_at AS last_feed_request_at, coalesce(c.bad, false) AS poll_cadence_incomplete,
   CASE WHEN NOT c.bad THEN c.lo END AS minimum_poll_interval_ms, CASE WHEN NOT c.bad THEN c.hi END AS maximum_poll_interval_ms
-FROM numbered n LEFT JOIN c ON n.vault_id = c.vault_id AND n.day_start = c.day_start AND n.client_id = c.client_id WHERE n.client_no <= 128""",
+FROM numbered n LEFT JOIN c ON n.vault_id = c.vault_id AND n.day_start = c.day_start AND n.client_id = c.client_id""",
 )
 def _cadence(observations):
     kept = M.drop_late(observations)

@@ -85,13 +85,10 @@ def metrics_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     fresh = client_partials(kept)
     merged = fresh if old is None else merge_partials(old.join(fresh.select(*_CLIENT), _CLIENT, "left_semi"), fresh)
     write_batch(merged, root, "clients", batch_id)
-    samples = kept.filter("feed_request").select("vault_id", "day_start", "observed_at", "arrival", "duration_ms")
-    totals = samples.groupBy("vault_id", "day_start").agg(F.count(F.lit(1)).alias("added"))
-    write_batch(totals, root, "sample_totals", batch_id)
-    latest = Window.partitionBy("vault_id", "day_start").orderBy(F.col("observed_at").desc(), F.col("arrival").desc())
-    write_batch(
-        samples.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= K.MAX_DAILY_SAMPLES).drop("n"), root, "samples", batch_id
+    samples = kept.filter("feed_request").groupBy("vault_id", "day_start", "duration_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at")
     )
+    write_batch(samples, root, "samples", batch_id)
 
 
 def client_partials(kept: DataFrame) -> DataFrame:
@@ -132,11 +129,35 @@ def merge_partials(old: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
+def read_daily(spark: SparkSession, root: str, limit: int = K.MAX_DAILY_CLIENTS) -> DataFrame:
+    """Day totals over the stored clients; more than ``limit`` of them make coverage incomplete."""
+    clients = newest(read_state(spark, root, "clients", 2**62), _CLIENT)
+    return clients.groupBy("vault_id", "day_start").agg(
+        F.sum("requests_rest").alias("requests_rest"), F.sum("requests_mcp").alias("requests_mcp"), F.min("observed_from").alias("request_observed_from"),
+        F.max("observed_through").alias("request_observed_through"), (F.count(F.lit(1)) > limit).alias("coverage_incomplete"),
+    )
+
+
+def read_p95(spark: SparkSession, root: str, share: float = 0.95) -> DataFrame:
+    """Nearest-rank p95 of a day over the durations counted in all batches."""
+    day = ["vault_id", "day_start"]
+    counts = read_before(spark, root, "samples", 2**62).groupBy(*day, "duration_ms").agg(
+        F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
+    total = counts.groupBy(*day).agg(F.sum("n").alias("sample_count"), F.min("first_at").alias("first_sample_at"), F.max("last_at").alias("last_sample_at"))
+    reached = F.sum("n").over(Window.partitionBy(*day).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*day, "duration_ms", reached.alias("reached")).join(total, day)
+    return ranked.filter(F.col("reached") >= F.ceil(F.lit(share) * F.col("sample_count"))).groupBy(*day).agg(
+        F.min("duration_ms").alias("p95"), F.first("sample_count").alias("sample_count"), F.first("first_sample_at").alias("first_sample_at"),
+        F.first("last_sample_at").alias("last_sample_at"),
+    )
+
+
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Client rows of the daily metrics as of the last finished batch."""
     rows = newest(read_state(spark, root, "clients", 2**62), _CLIENT)
     order = Window.partitionBy("vault_id", "day_start").orderBy("first_arrival")
-    ranked = rows.withColumn("client_no", F.row_number().over(order)).filter(F.col("client_no") <= K.MAX_DAILY_CLIENTS)
+    ranked = rows.withColumn("client_no", F.row_number().over(order))
     return ranked.select(
         *_CLIENT, "client_no", "requests_rest", "requests_mcp", F.col("last_feed").alias("last_feed_request_at"),
         F.col("poisoned").alias("poll_cadence_incomplete"), F.when(~F.col("poisoned"), F.col("lo")).alias("minimum_poll_interval_ms"),

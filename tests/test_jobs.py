@@ -52,6 +52,9 @@ def test_metrics_stream_equals_batch(spark, folder):
     columns = sorted(batch.columns)
     live = jobs.read_metrics(spark, f"{folder}/state")
     assert sorted(map(repr, live.select(columns).collect())) == sorted(map(repr, batch.select(columns).collect()))
+    for stored, whole in ((jobs.read_daily(spark, f"{folder}/state"), M.daily_requests(kept)), (jobs.read_p95(spark, f"{folder}/state"), M.feed_p95(kept))):
+        same = sorted(set(stored.columns) & set(whole.columns))
+        assert len(same) >= 6 and sorted(map(repr, stored.select(same).collect())) == sorted(map(repr, whole.select(same).collect()))
 
 
 def test_apply_stream_equals_batch(spark, folder):
@@ -111,12 +114,16 @@ def test_trees_and_strict_text(spark, tmp_path):
 def test_snapshot_round_trip(spark, folder):
     notes = spark_table(spark, SF, "notes")
     snapshot = X.capture_snapshot(notes, notes)
-    X.write_snapshot(snapshot, notes, folder, "x1")
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    blobs = notes.filter("blob_hash IS NOT NULL").select("vault_id", "seq", F.col("blob_hash").alias("hash")).join(
+        documents.select((F.col("doc_id") + 1).alias("seq"), F.encode("text", "UTF-8").alias("content")), "seq")
+    X.write_snapshot(snapshot, notes, blobs, folder, "x1")
     manifest, payload = X.read_snapshot(spark, folder, "x1")
     assert X.verify_snapshot(manifest, payload).filter("reason is not null").isEmpty()
     restored = X.restore_snapshot(manifest, payload, 0, "r")
     assert restored.count() == notes.filter("not deleted").count()
-    spoiled = payload.withColumn("content", F.when(F.col("vault_id") == "v1", "x").otherwise(F.col("content")))
+    assert restored.filter("kind = 'blob' AND sha2(blob_bytes, 256) <> hash").isEmpty() and not restored.filter("kind = 'blob'").isEmpty()
+    spoiled = payload.withColumn("bytes", F.when(F.col("vault_id") == "v1", F.lit("x").cast("binary")).otherwise(F.col("bytes")))
     assert X.restore_snapshot(manifest, spoiled, 0, "r").filter("vault_id = 'v1'").isEmpty()
 
 
