@@ -12,10 +12,11 @@ pair always keeps a common one). A set with fewer than slack + 1 segments that o
 partner. Sets too unevenly filled for that (no slack) also index every element by itself, the
 finest partition.
 
-Equal sets are one class from the start. Among classes that share a kept segment, links are verified
-against one leader per segment and round; what a component holds already is not tested again, and after
-``LEADER_ROUNDS`` rounds every pair of different components that shares a segment is. Shingles are
-64-bit hashes.
+Equal sets are one class from the start. Classes that share a kept segment are verified against one leader
+per segment first. Where that leaves a segment with several components, the classes around it are
+counted against each other in tiles of bounded size: a pair must agree in all but H of its filled
+segments to be verified, whether kept or left out. What one component holds already is not tested again.
+Shingles are 64-bit hashes.
 
 NULL text and text without words have no shingles and link with nothing; fewer than five words are one
 shingle. Rows with equal ids share the component of the first of their classes; NULL ids are kept with a
@@ -36,7 +37,7 @@ from ..session import cut_lineage
 from .common import byte_texts, slices, stored, worker_cache
 
 WORDS = 5
-LEADER_ROUNDS = 4
+TILE_ENTRIES = 200_000
 WORD_CACHE = 500_000
 SLICE = 12 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,8 +106,8 @@ def set_key(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).astype(np.int64))
 
 
-def views_of(values: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Signatures and slack of a set in each band where it can meet a partner."""
+def views_of(values: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """Per space where a set can meet a partner: its signatures, its slack and the space's number."""
     size, own, out = len(values), band_of(len(values)), []
     for band in (own, own - 1):
         if band < 0:
@@ -122,14 +123,14 @@ def views_of(values: np.ndarray) -> list[tuple[np.ndarray, int]]:
         ranked = segment[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         subset = np.add.reduceat(mixed[order], first)
-        out.append((mix(subset + ranked[first] * _MIX + np.uint64(2 * band)), len(first) - differ - 1))
+        out.append((mix(subset + ranked[first] * _MIX + np.uint64(2 * band)), len(first) - differ - 1, 2 * band))
         if len(first) <= differ:  # no guarantee against another such set: index single elements
-            out.append((mix(mixed + np.uint64(2 * band + 1)), size - differ - 1))
+            out.append((mix(mixed + np.uint64(2 * band + 1)), size - differ - 1, 2 * band + 1))
     return out
 
 
 SIGN_SCHEMA = "bucket int, batch long, keys binary, owners binary, views binary, ids array<long>, sizes array<long>"
-_VIEW = np.dtype([("set", "<i8"), ("slack", "<i4")])
+_VIEW = np.dtype([("set", "<i8"), ("slack", "<i4"), ("space", "<i4"), ("size", "<i4"), ("filled", "<i4")])
 
 
 def _sign(buckets: int):
@@ -153,10 +154,10 @@ def _sign(buckets: int):
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(key)
-                for signature, slack in views_of(values):
+                for signature, slack, space in views_of(values):
                     keys.append(signature)
                     owners.append(np.full(len(signature), len(views), np.uint32))
-                    views.append((key, slack))
+                    views.append((key, slack, space, len(values), len(signature)))
             # ids: document ids and then their sets' keys, as two halves of one list
             rows = [(uid % buckets, uid, b"", b"", np.array(views, _VIEW).tobytes(), batch.column("doc_id").to_pylist() + sets, sizes)]
             if keys:
@@ -220,12 +221,13 @@ def _match(batches):
         yield found
 
 
-KEPT_SCHEMA = "kind int, doc_id long, n_shingles long, own long, segment long"
+KEPT_SCHEMA = "kind int, doc_id long, n_shingles long, own long, segment long, kept boolean, space int, filled int"
+_KEPT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("own", pa.int64()), ("segment", pa.int64()),
+                   ("kept", pa.bool_()), ("space", pa.int32()), ("filled", pa.int32())])
 
 
 def _keep(batches):
-    """Per batch: its documents, and for every set that can have a partner its kept segments."""
-    kinds = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("own", pa.int64()), ("segment", pa.int64())])
+    """Per batch: its documents, and for every set that can have a partner its shared segments, the kept ones marked."""
     held, views, current = [], None, None
 
     def settle():
@@ -234,15 +236,16 @@ def _keep(batches):
         keys, owners, counts = (np.concatenate(c) for c in zip(*held))
         order = np.lexsort((keys, -counts.astype(np.int64), owners))  # per set the most frequent first, the same order for all
         keys, owners = keys[order], owners[order]
-        first = np.searchsorted(owners, owners)
-        slack = views["slack"][owners]
-        kept = np.arange(len(owners)) - first >= np.maximum(slack, 0)
-        if not kept.any():
+        first, last = np.searchsorted(owners, owners), np.searchsorted(owners, owners, side="right")
+        slack = np.maximum(views["slack"][owners], 0)
+        able = last - first > slack  # with fewer shared segments no partner is possible
+        if not able.any():
             return None
-        n = int(kept.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(views["set"][owners[kept]].astype(np.int64)),
-             pa.array(keys[kept].view(np.int64))], schema=kinds)
+        kept = (np.arange(len(owners)) - first >= slack)[able]
+        keys, view, n = keys[able], views[owners[able]], int(able.sum())
+        columns = [np.ones(n, np.int32), None, view["size"].astype(np.int64), view["set"].astype(np.int64), keys.view(np.int64), kept,
+                   view["space"].astype(np.int32), view["filled"].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, _KEPT)], schema=_KEPT)
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -254,9 +257,8 @@ def _keep(batches):
             if row["ids"] is not None:
                 views, sizes = np.frombuffer(row["views"], _VIEW), row["sizes"]
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), pa.array(row["ids"][:n], pa.int64()), pa.array(sizes, pa.int64()), pa.array(row["ids"][n:], pa.int64()),
-                     pa.nulls(n, pa.int64())], schema=kinds)
+                columns = [np.zeros(n, np.int32), row["ids"][:n], sizes, row["ids"][n:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEPT)] + [pa.nulls(n, f.type) for f in list(_KEPT)[4:]], schema=_KEPT)
             else:
                 held.append((np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["owners"], "<u4"), np.frombuffer(row["counts"], "<u4")))
     found = settle()
@@ -311,39 +313,101 @@ def _components(links: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("own"), F.col("component").alias("part"))
 
 
-def link_classes(docs: DataFrame, groups: DataFrame, heads: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame | None:
-    """(own, part) for classes linked with others; ``groups`` has (segment, own) with two classes per segment at least."""
+def _leader_pairs(groups: DataFrame) -> DataFrame:
+    """Every class of a segment with the segment's leader, the one with the smallest hash."""
+    lead = groups.groupBy("segment").agg(F.min_by("own", F.struct(F.xxhash64("own"), "own")).alias("lead"))
+    met = groups.join(lead, "segment").filter("own <> lead")
+    return met.select(F.greatest("own", "lead").alias("a"), F.least("own", "lead").alias("b")).distinct()
+
+
+def _count_tile(batches):
+    """Pairs of different components in a tile that agree in all but H of their filled segments, in some space."""
+    names = ["pool", "low", "high"]
+
+    def settle(rows):
+        tile = pa.Table.from_batches(rows).to_pandas()
+        found = []
+        for _, part in tile.groupby("space", sort=False):
+            owns, at, firsts = np.unique(part["own"].to_numpy(), return_index=True, return_inverse=True)
+            size, filled, label, block = (part[c].to_numpy()[at] for c in ("n_shingles", "filled", "part", "block"))
+            segment = np.unique(part["segment"].to_numpy(), return_inverse=True)[1]
+            by_segment = np.argsort(segment, kind="stable")
+            ends = np.cumsum(np.bincount(segment))
+            starts = ends - np.bincount(segment)
+            posts = firsts[by_segment]
+            by_own = np.argsort(firsts, kind="stable")
+            cut = np.searchsorted(firsts[by_own], np.arange(len(owns) + 1))
+            low, high = rows[0].column("low")[0].as_py(), rows[0].column("high")[0].as_py()
+            for y in np.flatnonzero(block == low):
+                mine = segment[by_own[cut[y] : cut[y + 1]]]
+                counts = np.bincount(np.concatenate([posts[starts[g] : ends[g]] for g in mine]), minlength=len(owns))
+                differ = (size + size[y]) // 7
+                need = np.maximum(np.maximum(filled, filled[y]) - differ, 1)
+                good = (counts >= need) & (label != label[y]) & (block == high)
+                if low == high:
+                    good[: y + 1] = False
+                found += [(max(owns[y], m), min(owns[y], m)) for m in owns[good].tolist()]
+        if found:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((int(a), int(b)) for a, b in found))], ["a", "b"])
+
+    held, current = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in names])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            key = tuple(keys[:, low].tolist())
+            if key != current and held:
+                out = settle(held)
+                if out:
+                    yield out
+                held = []
+            current = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        out = settle(held)
+        if out:
+            yield out
+
+
+def _tile_pairs(entries: DataFrame, open_groups: DataFrame, parts: int, tile_entries: int) -> DataFrame:
+    """Pairs to verify among the classes of segments that hold several components.
+
+    Classes that such segments connect form a pool. A pool's classes are cut into blocks by hash, every
+    two blocks make a tile, and a tile holds about two blocks' entries of ``tile_entries``.
+    """
+    least = open_groups.groupBy("segment").agg(F.min("own").alias("b"))
+    ties = open_groups.join(least, "segment").filter("own <> b").select(F.col("own").alias("a"), "b").distinct()
+    pools = _components(ties).withColumnRenamed("part", "pool")
+    labels = open_groups.select("own", "part").distinct()
+    around = cut_lineage(entries.join(labels, "own").join(pools, "own"))
+    sizes = around.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / tile_entries).cast("int").alias("blocks"))
+    around = around.join(sizes, "pool").withColumn("block", F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int"))
+    tiled = around.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("pool", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "own", "part", "block", "n_shingles", "space", "filled", "segment")
+    dealt = tiled.repartition(parts, "pool", "low", "high").sortWithinPartitions("pool", "low", "high")
+    return dealt.mapInArrow(_count_tile, "a long, b long").distinct()
+
+
+def link_classes(docs: DataFrame, entries: DataFrame, heads: DataFrame, parts: int, tile_entries: int = TILE_ENTRIES) -> DataFrame:
+    """(own, part) for classes linked with others; ``entries`` are the shared segments of classes that can have a partner."""
+    kept = entries.filter("kept").select("segment", "own")
+    shared = kept.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("segment")
+    groups = cut_lineage(kept.join(shared, "segment"))
     wanted = groups.select("own").distinct().join(heads, "own").select("own", "doc_id")
     sets = stored(_sets_of(docs, wanted), "ngram-sets")
-    open_groups = groups.withColumn("part", F.col("own"))
-    links = tested = None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            place = F.xxhash64("own", F.lit(turn))
-            lead = open_groups.groupBy("segment").agg(F.min_by(F.struct("own", "part"), F.struct(place, "own")).alias("lead"))
-            met = open_groups.join(lead, "segment").filter(F.col("part") != F.col("lead.part")).select(
-                F.least("own", "lead.own").alias("b"), F.greatest("own", "lead.own").alias("a"))
-        else:
-            other = open_groups.select("segment", F.col("own").alias("o"), F.col("part").alias("q"))
-            met = open_groups.join(other, "segment").filter("part < q").select(F.least("own", "o").alias("b"), F.greatest("own", "o").alias("a"))
-        pairs = met.distinct()
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut_lineage(_verify(pairs, sets))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = _components(links)
-        if turn == rounds:
-            return labels
-        # Segments whose classes are all in one component need no further test.
-        named = open_groups.select("segment", "own").join(labels, "own", "left").withColumn("part", F.coalesce("part", "own"))
-        split = named.groupBy("segment").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("segment")
-        open_groups = cut_lineage(named.join(split, "segment").select("segment", "own", "part"))
-        if open_groups.isEmpty():
-            return labels
-    return None
-
-
-def join_ngrams(docs: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame:
+    links = cut_lineage(_verify(_leader_pairs(groups), sets))
+    labels = _components(links)
+    # Segments whose classes are all in one component need no further test.
+    named = groups.join(labels, "own", "left").withColumn("part", F.coalesce("part", "own"))
+    split = named.groupBy("segment").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("segment")
+    open_groups = cut_lineage(named.join(split, "segment").select("segment", "own", "part"))
+    pairs = cut_lineage(_tile_pairs(entries, open_groups, parts, tile_entries))
+    return _components(links.unionByName(_verify(pairs, sets)))
+
+
+def join_ngrams(docs: DataFrame, tile_entries: int = TILE_ENTRIES) -> DataFrame:
     """One row per document: number of shingles and the smallest document its links reach."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -354,10 +418,8 @@ def join_ngrams(docs: DataFrame, rounds: int = LEADER_ROUNDS) -> DataFrame:
     kept = stored(kept, "ngram-kept")
     documents = kept.filter("kind = 0").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("own")).alias("own"))
     heads = documents.filter("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("doc_id"))
-    entries = kept.filter("kind = 1").select("segment", "own").distinct()
-    shared = entries.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("segment")
-    groups = cut_lineage(entries.join(shared, "segment"))
-    labels = link_classes(rows, groups, heads, rounds)
+    entries = kept.filter("kind = 1").drop("kind", "doc_id").distinct()
+    labels = link_classes(rows, entries, heads, parts, tile_entries)
     named = heads.join(labels, "own", "left")
     firsts = named.withColumn("part", F.coalesce("part", "own"))
     smallest = firsts.groupBy("part").agg(F.min("doc_id").alias("component_id"))

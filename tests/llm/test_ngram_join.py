@@ -38,9 +38,9 @@ def slow(rows):
     return sorted((doc_id, len(sets[at]), least[find(at)]) for at, (doc_id, _) in enumerate(rows))
 
 
-def check(spark, rows, rounds=ngram_join.LEADER_ROUNDS):
+def check(spark, rows, tile=ngram_join.TILE_ENTRIES):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS own", "2 AS n_shingles", "'x' AS items").repartition(4)
-    assert sorted(tuple(r) for r in ngram_join.join_ngrams(docs, rounds).collect()) == slow(rows)
+    assert sorted(tuple(r) for r in ngram_join.join_ngrams(docs, tile).collect()) == slow(rows)
 
 
 def copies(rng, base, voc, edits):
@@ -56,8 +56,8 @@ def copies(rng, base, voc, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("seed,rounds", [(1, 4), (2, 0)])
-def test_families_of_copies(spark, seed, rounds):
+@pytest.mark.parametrize("seed,tile", [(1, ngram_join.TILE_ENTRIES), (2, 300)])
+def test_families_of_copies(spark, seed, tile):
     rng = random.Random(seed)
     voc = [f"w{k}" for k in range(300)]
     frame = [rng.choice(voc) for _ in range(40)]
@@ -67,7 +67,7 @@ def test_families_of_copies(spark, seed, rounds):
         base = frame + base[:20] if family % 3 == 0 else base
         texts += [copies(rng, base, voc, rng.randrange(len(base) // 25 + 2)) for _ in range(rng.choice([2, 5, 30]))]
     rng.shuffle(texts)
-    check(spark, list(enumerate(texts)), rounds)
+    check(spark, list(enumerate(texts)), tile)
 
 
 def test_near_the_bound(spark):
@@ -92,7 +92,7 @@ def test_pigeonhole_holds_for_random_pairs():
             other = np.unique(np.concatenate([one[drop:], rng.integers(0, 1 << 62, add).astype(np.uint64)]))
             shared = len(np.intersect1d(one, other))
             if 100 * shared >= 75 * (len(one) + len(other) - shared) and len(one) != shared:
-                keys = [set(np.concatenate([s for s, _ in ngram_join.views_of(x)]).tolist()) for x in (one, other)]
+                keys = [set(np.concatenate([v[0] for v in ngram_join.views_of(x)]).tolist()) for x in (one, other)]
                 assert keys[0] & keys[1]
 
 
