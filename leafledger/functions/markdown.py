@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import constants as K
 from .unicode import utf16_length
 
 # Line, fence and heading patterns.
 _LINE = re.compile(r"[^\r\n]*(\r\n|\n|\r|$)")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.S)
-_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*)|[ \t]*)", re.S)
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^\u2028\u2029]*)")
+_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+([^\u2028\u2029]*)|[ \t]*)")
 
 SECTION = T.ArrayType(
     T.StructType(
@@ -26,6 +27,18 @@ SECTION = T.ArrayType(
 )
 
 
+# White space that ends and starts of a title lose (that of the note format, not Python's).
+_BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def _title(raw: str) -> str:
+    """Heading text without a closing run of ``#``, which counts as one only behind a blank."""
+    kept = raw.rstrip(" \t")
+    bare = kept.rstrip("#")
+    closed = bare != kept and bare.endswith((" ", "\t"))
+    return (bare if closed else kept).strip(_BLANK)
+
+
 def scan_headings(text: str) -> list[dict]:
     """Headings with the character range of their section.
 
@@ -40,7 +53,7 @@ def scan_headings(text: str) -> list[dict]:
         line = text[pos : match.end() - len(eol)]
         bar = _FENCE.fullmatch(line)
         if fence:
-            if bar and bar.group(1).startswith(fence) and not bar.group(2).strip():
+            if bar and bar.group(1).startswith(fence) and not bar.group(2).strip(_BLANK):
                 fence = ""
         elif bar:
             fence = bar.group(1)
@@ -49,8 +62,7 @@ def scan_headings(text: str) -> list[dict]:
             while open_rows and open_rows[-1]["level"] >= level:
                 row = open_rows.pop()
                 row["stop"], row["eol"] = pos, last_eol
-            title = re.sub(r"[ \t]+#+[ \t]*$", "", head.group(2) or "").strip()
-            row = {"line_no": number, "level": level, "heading": title, "start": pos, "stop": 0, "eol": eol}
+            row = {"line_no": number, "level": level, "heading": _title(head.group(2) or ""), "start": pos, "stop": 0, "eol": eol}
             found.append(row)
             open_rows.append(row)
         last_eol = eol or last_eol
@@ -62,15 +74,15 @@ def scan_headings(text: str) -> list[dict]:
 
 def insert_under(text: str, heading: str, addition: str) -> str | None:
     """``text`` with ``addition`` at the end of the first section titled ``heading``."""
-    wanted = heading.strip()
-    rows = scan_headings(text) if wanted else []
-    for row in rows:
-        if row["heading"] == wanted:
-            stop, eol = row["stop"], row["eol"]
-            if stop < len(text):
-                return text[:stop] + addition + eol + text[stop:]
-            return text + ("" if text.endswith(("\r", "\n")) else eol) + addition
-    return None
+    wanted = heading.strip(_BLANK)
+    section = next((row for row in scan_headings(text) if row["heading"] == wanted), None) if wanted else None
+    if section is None:
+        return None
+    before, behind = text[: section["stop"]], text[section["stop"] :]
+    if behind:
+        return before + addition + section["eol"] + behind
+    glue = "" if before[-1:] in ("\r", "\n") else section["eol"]
+    return before + glue + addition
 
 
 @F.pandas_udf(SECTION)
@@ -100,15 +112,13 @@ def markdown_sections(df: DataFrame, text: str = "content") -> DataFrame:
     )
 
 
-def append_under_heading(df: DataFrame) -> DataFrame:
-    """Columns ``content``, ``heading``, ``addition`` → ``new_content`` and ``reason``."""
+def append_under_heading(df: DataFrame, text_limit: int = K.INLINE_TEXT_LIMIT) -> DataFrame:
+    """Columns ``content``, ``heading``, ``addition`` → ``new_content`` or a ``reason``; longer than ``text_limit`` bytes is refused."""
     candidate = F.when(_may_have_heading(F.col("content")), F.col("content"))
     out = df.withColumn("new_content", _insert(candidate, F.col("heading"), F.col("addition")))
-    size = F.octet_length("new_content")
-    return out.withColumn(
-        "reason",
-        F.when(F.col("new_content").isNull(), "heading_not_found").when(size > 1_000_000, "text_too_large"),
-    )
+    large = F.octet_length("new_content") > text_limit
+    out = out.withColumn("reason", F.when(F.col("new_content").isNull(), "heading_not_found").when(large, "text_too_large"))
+    return out.withColumn("new_content", F.when(F.col("reason").isNull(), F.col("new_content")))
 
 
 __all__ = ["append_under_heading", "insert_under", "markdown_sections", "scan_headings", "utf16_length"]

@@ -268,7 +268,7 @@ def reset_epoch(devices: DataFrame, base: DataFrame, device_ops: DataFrame, epoc
         "base": flagged.withColumn("stale", F.col("stale") | F.col("_reset").isNotNull()).drop("_reset"),
         "device_ops": device_ops.join(moved, DEVICE, "left_anti"),
         "attention": device_ops.join(moved, DEVICE, "left_semi").select(
-            *DEVICE, "path", "op_key", F.lit("Operation belongs to an old vault epoch").alias("reason")
+            *DEVICE, "path", "op_key", F.lit("epoch_replaced").alias("reason")
         ),
     }
 
@@ -276,14 +276,17 @@ def reset_epoch(devices: DataFrame, base: DataFrame, device_ops: DataFrame, epoc
 def resolve_receipts(device_ops: DataFrame, results: DataFrame, base: DataFrame) -> dict[str, DataFrame]:
     """Receipts of sent operations: new bases, rebased successors, blocked deletes.
 
-    ``results`` has op_key, rev, hash, deleted. A newer feed base wins over the receipt.
-    At most one operation per path is in flight, so a join resolves all of them at once.
+    ``results`` has op_key, rev, hash, deleted. A newer feed base wins over the receipt. Should
+    several sent operations of one path have receipts, the one with the newest revision counts.
     """
     done = device_ops.filter("state = 'sent'").join(
         results.select("device_id", "op_key", F.col("rev").alias("r_rev"), F.col("hash").alias("r_hash"), F.col("deleted").alias("r_deleted")),
         ["device_id", "op_key"],
     ).withColumn("receipt_path", F.when(F.col("op") == "rename", F.col("to_path")).otherwise(F.col("path")))
-    fresh = done.select(*DEVICE, F.col("receipt_path").alias("path"), "r_rev", "r_hash", "r_deleted", F.col("arrival").alias("r_arrival"), F.col("op_key").alias("r_key"))
+    newest = done.groupBy(*DEVICE, F.col("receipt_path").alias("path")).agg(
+        F.max_by(F.struct("r_rev", "r_hash", "r_deleted", F.col("arrival").alias("r_arrival"), F.col("op_key").alias("r_key")), F.struct("r_rev", "arrival")).alias("_n")
+    )
+    fresh = newest.select(*DEVICE, "path", "_n.*")
     merged = base.join(fresh, KEYS, "full_outer")
     take = F.col("r_rev").isNotNull() & (F.col("rev").isNull() | (F.col("rev") <= F.col("r_rev")))
     bases = merged.select(
@@ -305,7 +308,7 @@ def resolve_receipts(device_ops: DataFrame, results: DataFrame, base: DataFrame)
         F.when(rebase, F.col("r_rev")).otherwise(F.col("expected_rev")).alias("expected_rev"),
         F.when(~_is(bound), F.col("depends_on")).alias("depends_on"),
     )
-    attention = waiting.filter(blocked).select(*DEVICE, "path", "op_key", F.lit("Delete intent no longer matches its create receipt").alias("reason"))
+    attention = waiting.filter(blocked).select(*DEVICE, "path", "op_key", F.lit("delete_target_changed").alias("reason"))
     return {"base": bases, "device_ops": queue, "attention": attention}
 
 
