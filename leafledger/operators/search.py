@@ -1,8 +1,7 @@
 """Literal search: folded text, three-character grams, BM25 over the phrase, snippets.
 
-Two exact ways. A stored gram index (:func:`build_postings`) serves many queries: every
-query looks up only its rarest gram, and the text check decides. A bounded handful of
-queries (checked) is instead tested directly in one pass over the notes.
+A gram index (:func:`build_postings`, stored or built on the way) gives candidates: every query
+looks up only its rarest gram, and the text check decides.
 """
 
 from __future__ import annotations
@@ -14,9 +13,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions.identity import format_etag
 from ..functions.unicode import fold
-from ..session import broadcast_if_small, spread
-
-DIRECT_QUERIES = 256
+from ..session import spread
 
 
 def indexed_notes(files: DataFrame) -> DataFrame:
@@ -77,47 +74,27 @@ def valid_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def _direct_matches(queries, notes, listed):
-    """One pass over the notes for a small, already counted set of queries."""
-    kinds = {c: queries.schema[c].dataType for c in ("vault_id", "query_id", "phrase", "result_limit")}
-    asked = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in listed])
-    hit = F.filter(asked, lambda q: (q["vault_id"] == F.col("vault_id")) & F.contains(F.col("folded"), q["phrase"]))
-    return notes.withColumn("q", F.explode(hit)).select(
-        "vault_id", "path", "rev", "content", "folded", "q.query_id", "q.phrase", "q.result_limit"
-    )
-
-
-def _indexed_matches(queries, notes, postings):
-    """Candidates from the rarest gram of each query, verified against the text."""
-    wanted = queries.select("vault_id", "query_id", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
-    used = postings.join(broadcast_if_small(wanted.select("vault_id", "gram").distinct()), ["vault_id", "gram"], "left_semi")
+def literal_match(queries: DataFrame, notes: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """Notes that contain a query's phrase: candidates from its rarest gram, verified against the text."""
+    asked = queries.filter(F.col("reason").isNull()).select("vault_id", "query_id", "phrase", "result_limit")
+    wanted = asked.select("vault_id", "query_id", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
+    terms = wanted.select("vault_id", "gram").distinct()
+    index = build_postings(notes) if postings is None else postings
+    used = index.join(terms, ["vault_id", "gram"], "left_semi").select("vault_id", "gram", "path")
     frequency = used.groupBy("vault_id", "gram").agg(F.count(F.lit(1)).alias("notes"))
     rarest = (
         wanted.join(frequency, ["vault_id", "gram"], "left")
         .groupBy("vault_id", "query_id")
         .agg(F.min_by("gram", F.struct(F.coalesce("notes", F.lit(0)), "gram")).alias("gram"))
     )
-    candidates = used.join(broadcast_if_small(rarest), ["vault_id", "gram"]).select("vault_id", "query_id", "path")
-    asked = queries.select("vault_id", "query_id", "phrase", "result_limit")
+    candidates = used.join(rarest, ["vault_id", "gram"]).select("vault_id", "query_id", "path")
     return (
-        candidates.join(broadcast_if_small(asked), ["vault_id", "query_id"])
-        .join(notes, ["vault_id", "path"])
+        candidates.join(asked, ["vault_id", "query_id"])
+        .join(notes.select("vault_id", "path", "rev", "folded"), ["vault_id", "path"])
         .filter(F.contains("folded", F.col("phrase")))
-        .select("vault_id", "path", "rev", "content", "folded", "query_id", "phrase", "result_limit")
     )
 
 
-def literal_match(queries: DataFrame, notes: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """Notes that contain a query's phrase. Uses the stored index when given."""
-    good = queries.filter(F.col("reason").isNull())
-    if postings is None:
-        listed = good.limit(DIRECT_QUERIES + 1).collect()  # at most 257 short rows
-        if 0 < len(listed) <= DIRECT_QUERIES:
-            return _direct_matches(good, notes, listed)
-        postings = build_postings(notes)
-    return _indexed_matches(good, notes, postings)
-
-
 def bm25_phrase(tf: Column, tokens: Column, notes: Column, matched: Column, mean_tokens: Column) -> Column:
     """Published BM25 of one phrase, negated so that lower is better."""
     idf = F.greatest(F.log((notes - matched + F.lit(0.5)) / (matched + F.lit(0.5))), F.lit(K.BM25_MIN_IDF))
@@ -145,7 +122,7 @@ def snippet(content: Column, folded: Column, phrase: Column, width: int = 64) ->
 def search_notes(queries: DataFrame, files: DataFrame, epoch: str, postings: DataFrame | None = None) -> DataFrame:
     """Ranked hits of every valid query: score ascending, then binary path order.
 
-    The rank is taken before snippets are cut, so only ranked rows carry text further.
+    Hits carry counts only; the texts of ranked rows are joined back for their snippets.
     """
     notes = indexed_notes(files)
     asked = valid_queries(queries)
@@ -154,20 +131,18 @@ def search_notes(queries: DataFrame, files: DataFrame, epoch: str, postings: Dat
     hits = literal_match(asked, notes, postings).select(
         "vault_id", "query_id", "path", "rev", "phrase", "result_limit", tokens.alias("tokens"),
         phrase_count(F.col("folded"), F.col("phrase")).alias("tf"),
-        snippet(F.col("content"), F.col("folded"), F.col("phrase")).alias("snippet"),
     )
     matched = hits.groupBy("vault_id", "query_id").agg(F.count(F.lit(1)).alias("matched"))
     score = bm25_phrase(F.col("tf"), F.col("tokens"), F.col("notes"), F.col("matched"), F.col("mean_tokens"))
-    scored = (
-        hits.join(broadcast_if_small(matched), ["vault_id", "query_id"])
-        .join(broadcast_if_small(totals), "vault_id")
-        .withColumn("score", F.round(score, 6))
-    )
+    scored = hits.join(matched, ["vault_id", "query_id"]).join(totals, "vault_id").withColumn("score", F.round(score, 6))
     best = Window.partitionBy("vault_id", "query_id").orderBy("score", "path")
     # The literal bound lets Spark keep only the best rows of each input partition before it shuffles.
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= K.SEARCH_MAX)
-        .filter(F.col("rank") <= F.col("result_limit"))
-        .select("vault_id", "query_id", "rank", "path", format_etag(F.lit(epoch), F.col("rev")).alias("etag"), "score", "snippet")
+    ranked = (
+        scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= K.SEARCH_MAX).filter(F.col("rank") <= F.col("result_limit"))
+        .select("vault_id", "query_id", "rank", "path", "rev", "score", "phrase")
+    )
+    texts = notes.select("vault_id", "path", "content", "folded")
+    return ranked.join(texts, ["vault_id", "path"]).select(
+        "vault_id", "query_id", "rank", "path", format_etag(F.lit(epoch), F.col("rev")).alias("etag"), "score",
+        snippet(F.col("content"), F.col("folded"), F.col("phrase")).alias("snippet"),
     )

@@ -9,37 +9,40 @@ from ..schemas import SCHEMAS, checked
 
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored table with its fixed schema; the scans below narrow it before anything is read."""
     return checked(spark.read.parquet(f"{root}/{name}"), name)
 
 
-def scan_files(spark: SparkSession, root: str, vault_id: str | None = None, content: bool = False) -> DataFrame:
+def scan_files(files: DataFrame, vault_id: str | None = None, content: bool = False) -> DataFrame:
     """Current rows, tombstones included; content columns only on request."""
-    files = scan(spark, root, "files")
     if vault_id is not None:
         files = files.filter(F.col("vault_id") == vault_id)
     return files if content else files.drop("content")
 
 
-def scan_revisions(spark: SparkSession, root: str, vault_id: str | None = None, path: str | None = None, rev: int | None = None) -> DataFrame:
-    """Revisions, optionally of one path or one (path, rev)."""
-    rows = scan(spark, root, "revisions")
+def scan_revisions(revisions: DataFrame, vault_id: str | None = None, path: str | None = None, rev: int | None = None) -> DataFrame:
+    """Revisions, optionally of one vault, path or (path, rev)."""
     for column, value in (("vault_id", vault_id), ("path", path), ("rev", rev)):
         if value is not None:
-            rows = rows.filter(F.col(column) == value)
-    return rows
+            revisions = revisions.filter(F.col(column) == value)
+    return revisions
 
 
-def scan_receipts(spark: SparkSession, root: str) -> DataFrame:
-    return scan(spark, root, "receipts")
+def scan_receipts(receipts: DataFrame) -> DataFrame:
+    return checked(receipts, "receipts")
 
 
-def scan_blob_inventory(spark: SparkSession, root: str) -> DataFrame:
-    return scan(spark, root, "blob_inventory")
+def scan_blob_inventory(inventory: DataFrame) -> DataFrame:
+    return checked(inventory, "blob_inventory")
 
 
-def read_feed(spark: SparkSession, root: str, after_seq: int = 0, head_seq: int | None = None) -> DataFrame:
+def scan_observations(observations: DataFrame) -> DataFrame:
+    return checked(observations, "observations")
+
+
+def read_feed(changes: DataFrame, after_seq: int = 0, head_seq: int | None = None) -> DataFrame:
     """Feed rows with ``after_seq < seq <= head_seq``."""
-    rows = scan(spark, root, "changes").filter(F.col("seq") > after_seq)
+    rows = changes.filter(F.col("seq") > after_seq)
     return rows if head_seq is None else rows.filter(F.col("seq") <= head_seq)
 
 

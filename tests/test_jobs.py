@@ -130,8 +130,8 @@ def test_snapshot_round_trip(spark, folder):
 def test_tables_are_checked_and_pruned(spark, folder):
     notes = spark_table(spark, SF, "notes")
     tables.write_files(shaped(notes, "files"), folder)
-    plan = tables.scan_files(spark, folder, "v1").select("path", "rev").filter("path > 'src3'")._jdf.queryExecution().toString()
+    plan = tables.scan_files(tables.scan(spark, folder, "files"), "v1").select("path", "rev").filter("path > 'src3'")._jdf.queryExecution().toString()
     assert "content" not in plan.split("ReadSchema")[-1] and "PushedFilters: [IsNotNull(vault_id), IsNotNull(path), EqualTo(vault_id,v1)" in plan
     notes.drop("rev").write.parquet(f"{folder}/revisions")
     with pytest.raises(SchemaMismatch):
-        tables.scan_revisions(spark, folder)
+        tables.scan(spark, folder, "revisions")
