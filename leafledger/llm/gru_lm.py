@@ -400,13 +400,13 @@ def _finish(n: int, v: int, folds: int):
     return finish
 
 
-def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT) -> DataFrame:
     """Count, fit and score; one row per document."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = stored(count_words(rows, folds), "lm-words")
-    model = fit_model(rows, words, folds)
+    model = fit_model(rows, words, folds, frequent)
     scored = stored(rows.mapInArrow(_score_slices(spark.sparkContext.broadcast(model)), PART_SCHEMA), "lm-slices")
     rare = scored.filter("word IS NOT NULL").select("uid", "word", "posts").join(words, "word", "left").select("uid", "posts", F.coalesce("n", F.lit(0)).alias("n"))
     sums = rare.mapInArrow(_rare_sums, "uid long, docs binary, rare_logs binary, hits binary")
