@@ -21,7 +21,7 @@ import pickle
 import zlib
 from array import array
 from collections import Counter
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +81,16 @@ def step(net: dict, ids: np.ndarray, state: np.ndarray):
     return fresh + update * (state - fresh), (update, reset, fresh, carried[:, 2 * HIDDEN :])
 
 
+def _largest(weights: np.ndarray, bias: np.ndarray) -> float:
+    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max())
+
+
 def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False):
     """Natural log of P(class) times, for frequent words, P(word | class); gradients too if ``learn``."""
     cls = np.where(goal < MODEL_WORDS, goal // CLASS_WORDS, goal - MODEL_WORDS + HEAD_CLASSES)
     logits = states @ net["classes"] + net["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
+    if _largest(net["classes"], net["class_bias"]) > 60:  # states lie between -1 and 1; below this exp cannot overflow
+        logits -= logits.max(axis=1, keepdims=True)
     exp = np.exp(logits)
     total = exp.sum(axis=1)
     rows = np.arange(len(goal))
@@ -103,7 +108,8 @@ def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False)
         if not len(at):
             continue
         part = states[at] @ net["words"][c] + net["word_bias"][c]
-        part -= part.max(axis=1, keepdims=True)
+        if _largest(net["words"][c], net["word_bias"][c]) > 60:
+            part -= part.max(axis=1, keepdims=True)
         e = np.exp(part)
         sums, own, mine = e.sum(axis=1), goal[at] % CLASS_WORDS, np.arange(len(at))
         logp[at] += part[mine, own] - np.log(sums)
@@ -131,6 +137,8 @@ def lanes_of(lengths: list[int], lanes: int) -> tuple[np.ndarray, np.ndarray]:
 def _grid(streams: list[np.ndarray], lanes: int, end: int):
     """Goals, inputs, first-token flags and document numbers by step and lane; -1 where a lane is empty."""
     lane, first = lanes_of([len(s) for s in streams], lanes)
+    loads = np.bincount(lane, [len(s) for s in streams]).astype(np.int64)
+    lane = np.argsort(np.argsort(-loads, kind="stable"), kind="stable")[lane]  # fullest lanes first, so that idle ones are cut off
     width, height = int(lane.max()) + 1, int(max(f + len(s) for f, s in zip(first, streams)))
     goal, given = np.full((height, width), -1, np.int32), np.full((height, width), end, np.int32)
     start, owner = np.zeros((height, width), bool), np.zeros((height, width), np.int32)
@@ -201,16 +209,18 @@ def score_streams(net: dict, streams: list[np.ndarray], end: int, lanes: int = 2
     state = np.zeros((goal.shape[1], HIDDEN), np.float32)
     for low in range(0, len(goal), WINDOW):
         high = min(low + WINDOW, len(goal))
-        states = np.empty((high - low, goal.shape[1], HIDDEN), np.float32)
+        busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
+        state = state[:busy]
+        states = np.empty((high - low, busy, HIDDEN), np.float32)
         for t in range(low, high):
-            if start[t].any():
-                state = np.where(start[t][:, None], np.float32(0), state)
-            state, _ = step(net, given[t], state)
+            if start[t, :busy].any():
+                state = np.where(start[t, :busy, None], np.float32(0), state)
+            state, _ = step(net, given[t, :busy], state)
             states[t - low] = state
-        flat = goal[low:high].reshape(-1)
+        flat = goal[low:high, :busy].reshape(-1)
         live = flat >= 0
         logp, _, _ = output(net, states.reshape(-1, HIDDEN)[live], flat[live])
-        sums += np.bincount(owner[low:high].reshape(-1)[live], logp, minlength=len(streams))
+        sums += np.bincount(owner[low:high, :busy].reshape(-1)[live], logp, minlength=len(streams))
     return sums
 
 
@@ -247,7 +257,15 @@ def _lookup(frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
 def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT, fit_docs: int = FIT_DOCS) -> dict:
     """Counts of the most frequent words, class totals and the trained network; its size is bounded by the parameters."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(bytes(r.word), r.n) for r in words.orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    # Sixteen steps per doubling: as many of the highest whole steps as hold at most ``frequent`` words.
+    grade = F.floor(F.log2("n") * 16)
+    steps, room, least = words.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("v")).collect(), frequent, 1 << 20
+    for row in sorted(steps, key=lambda r: -r.g):
+        if row.v > room:
+            break
+        room, least = room - row.v, row.g
+    top = [(bytes(r.word), r.n) for r in words.filter(grade >= least).collect()]
+    top.sort(key=lambda t: (-t[1], t[0]))
     head = [t for t in top[:MODEL_WORDS] if t[0] != END][: MODEL_WORDS - 1] + [(END, next((n for w, n in top if w == END), 0))]
     head.sort(key=lambda t: -t[1])
     chosen = {w for w, _ in head}
@@ -302,7 +320,7 @@ def _score_slices(shared):
             streams, n_tokens, known, logs, tails = [], [], [], [], []
             for doc, text in enumerate(byte_texts(batch.column("text"))):
                 tokens = tokens_of(text)
-                at = np.fromiter((place.get(w, -1) for w in tokens), np.int64, len(tokens))
+                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
                 rare = at < 0
                 seen = at[~rare]
                 stream = np.empty(len(tokens), np.int32)
