@@ -302,6 +302,7 @@ def apply_ops(
     receipts: DataFrame | None = None,
     revisions: DataFrame | None = None,
     *,
+    claims: DataFrame | None = None,
     now_ms: int | None = None,
     live_limit: int | None = None,
     max_group_ops: int = 2_000_000,
@@ -347,6 +348,12 @@ def apply_ops(
         )
         # Operations without a key skip the lookup instead of meeting in one NULL join key.
         log = keyed.unionByName(log.filter(F.col("op_key").isNull()))
+    if claims is not None:
+        # A key that another request holds, without a receipt so far, can neither be replayed nor used.
+        open_keys = claims.select("vault_id", "client_id", "op_key", F.lit(True).alias("_claimed")).distinct()
+        keyed = log.filter(F.col("op_key").isNotNull()).join(open_keys, ["vault_id", "client_id", "op_key"], "left")
+        keyed = keyed.withColumn("reason", F.coalesce("reason", F.when(F.col("_claimed"), "idempotency_in_progress"))).drop("_claimed")
+        log = keyed.unionByName(log.filter(F.col("op_key").isNull()))
     decided = log.filter(F.col("reason").isNotNull()).select(
         "vault_id", F.lit(None).cast("string").alias("component"), "arrival", F.lit(False).alias("accepted"), "reason",
         F.col("replay_status").alias("status"), "replay_of",
@@ -356,7 +363,7 @@ def apply_ops(
     todo = todo.withColumn("reason", F.when(~well_formed(), "invalid_request"))
     linked = "to_path" in ops.columns or "op_key" in ops.columns
     outcomes = _run_components(todo, files, revisions, live_limit, max_group_ops, linked)
-    if receipts is None and "reason" not in ops.columns:
+    if receipts is None and claims is None and "reason" not in ops.columns:
         return outcomes.drop("component")
     return outcomes.unionByName(decided).drop("component")
 
@@ -548,10 +555,11 @@ def receipt_rows(accepted: DataFrame, ops: DataFrame, epoch: str) -> DataFrame:
     )
 
 
-def dedupe_ops(ops: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
+def dedupe_ops(ops: DataFrame, receipts: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
     """Idempotency by (client, key) where every first use counts: ``new``, ``replayed``,
-    ``idempotency_mismatch``. The first use is found by an aggregate with map-side
-    combine and joined back, so a hot key needs no window of its own."""
+    ``idempotency_mismatch``, and ``idempotency_in_progress`` for a key in ``claims`` (vault_id,
+    client_id, op_key) that has no stored receipt yet. The first use is found by an aggregate
+    with map-side combine and joined back, so a hot key needs no window of its own."""
     keyed = ops.filter(F.col("op_key").isNotNull())
     first = keyed.groupBy("vault_id", "client_id", "op_key").agg(
         F.min_by(F.struct("arrival", "fingerprint"), "arrival").alias("_first")
@@ -562,12 +570,18 @@ def dedupe_ops(ops: DataFrame, receipts: DataFrame | None = None) -> DataFrame:
         stored = receipts.select("vault_id", "client_id", "op_key", F.col("arrival").alias("_old"), F.col("fingerprint").alias("_old_fp"))
         seen = seen.join(stored, ["vault_id", "client_id", "op_key"], "left").select(
             "vault_id", "client_id", "op_key", F.coalesce("_old", "first_arrival").alias("first_arrival"),
-            F.coalesce("_old_fp", "_fp").alias("_fp"),
+            F.coalesce("_old_fp", "_fp").alias("_fp"), F.col("_old").isNotNull().alias("_stored"),
         )
+    if claims is not None:
+        open_keys = claims.select("vault_id", "client_id", "op_key", F.lit(True).alias("_claimed")).distinct()
+        if receipts is not None:
+            open_keys = open_keys.join(receipts.select("vault_id", "client_id", "op_key"), ["vault_id", "client_id", "op_key"], "left_anti")
+        seen = seen.join(open_keys, ["vault_id", "client_id", "op_key"], "left")
     judged = keyed.join(seen, ["vault_id", "client_id", "op_key"]).withColumn(
         "outcome",
-        F.when(F.col("arrival") == F.col("first_arrival"), "new").when(F.col("_fp") == F.col("fingerprint"), "replayed")
-        .otherwise("idempotency_mismatch"),
+        F.when(F.col("_claimed") if claims is not None else F.lit(False), "idempotency_in_progress")
+        .when((F.col("arrival") == F.col("first_arrival")) & ~(F.col("_stored") if receipts is not None else F.lit(False)), "new")
+        .when(F.col("_fp") == F.col("fingerprint"), "replayed").otherwise("idempotency_mismatch"),
     )
     free = ops.filter(F.col("op_key").isNull()).withColumns({"first_arrival": F.lit(None).cast("long"), "outcome": F.lit("new")})
-    return judged.drop("_fp").unionByName(free)
+    return judged.drop("_fp", "_stored", "_claimed").unionByName(free)

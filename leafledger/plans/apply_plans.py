@@ -218,6 +218,71 @@ def _dedupe(ops):
     return dedupe_ops(log).select("vault_id", "arrival", "first_arrival", "outcome")
 
 
+_KEYED = {
+    "keyed": "SELECT *, SHA(concat(op, '|', path, '|', payload_hash)) AS fp FROM ops",
+    "held": "SELECT DISTINCT vault_id, client_id, op_key FROM ops WHERE arrival % 13 = 0",
+    "met": """SELECT o.*, r.arrival AS r_arrival, r.fingerprint AS r_fp, h.op_key IS NOT NULL AS claimed,
+  min(o.arrival) OVER (PARTITION BY o.vault_id, o.client_id, o.op_key) AS first_arrival,
+  first_value(o.fp) OVER (PARTITION BY o.vault_id, o.client_id, o.op_key ORDER BY o.arrival) AS first_fp
+FROM keyed o LEFT JOIN (SELECT * FROM receipts WHERE arrival % 3 = 0) r ON o.vault_id = r.vault_id AND o.client_id = r.client_id AND o.op_key = r.op_key
+LEFT JOIN held h ON o.vault_id = h.vault_id AND o.client_id = h.client_id AND o.op_key = h.op_key""",
+}
+
+
+@AREA.add(
+    "t2_claims", "ops", "receipts", steps=_KEYED,
+    sql="""SELECT vault_id, arrival, coalesce(r_arrival, first_arrival) AS first_arrival, CASE
+    WHEN r_fp IS NOT NULL THEN CASE WHEN r_fp = fp THEN 'replayed' ELSE 'idempotency_mismatch' END
+    WHEN claimed THEN 'idempotency_in_progress' WHEN arrival = first_arrival THEN 'new'
+    WHEN first_fp = fp THEN 'replayed' ELSE 'idempotency_mismatch' END AS outcome FROM met""",
+)
+def _claims(ops, receipts):
+    """Keys with a stored receipt, keys that another request holds, and free ones."""
+    log = ops.withColumn("fingerprint", F.sha2(F.concat_ws("|", "op", "path", "payload_hash"), 256))
+    held = ops.filter("arrival % 13 = 0").select("vault_id", "client_id", "op_key")
+    return dedupe_ops(log, receipts.filter("arrival % 3 = 0"), held).select("vault_id", "arrival", "first_arrival", "outcome")
+
+
+@AREA.add(
+    "t1_apply_full", "ops", "receipts",
+    steps={
+        "fresh": """SELECT o.* REPLACE (CASE WHEN (arrival - 1) % 11 <> 10 THEN op_key END AS op_key), SHA(concat(op, '|', path, '|', payload_hash)) AS fp
+FROM ops o WHERE arrival > 2000""",
+        "state": "SELECT vault_id, path, rev, deleted FROM revisions WHERE arrival <= 2000 QUALIFY row_number() OVER (PARTITION BY vault_id, path ORDER BY rev DESC) = 1",
+        "old": "SELECT vault_id, client_id, op_key, fingerprint, arrival FROM receipts WHERE arrival <= 2000",
+        "held": "SELECT DISTINCT vault_id, client_id, op_key FROM ops WHERE arrival % 1300 = 0",
+        "judged": """SELECT f.*, CASE WHEN f.arrival % 17 = 0 THEN 'forbidden_scope' WHEN o.fingerprint = f.fp THEN 'replayed'
+    WHEN o.fingerprint IS NOT NULL THEN 'idempotency_mismatch' WHEN h.op_key IS NOT NULL THEN 'idempotency_in_progress' END AS early
+FROM fresh f LEFT JOIN old o ON f.vault_id = o.vault_id AND f.client_id = o.client_id AND f.op_key = o.op_key
+LEFT JOIN held h ON f.vault_id = h.vault_id AND f.client_id = h.client_id AND f.op_key = h.op_key""",
+        "left_": "SELECT vault_id, path, arrival, op, expected_rev, row_number() OVER (PARTITION BY vault_id, path ORDER BY arrival) AS n FROM judged WHERE early IS NULL",
+        "replayed": """/*RECURSIVE_STEP*/
+SELECT l.vault_id, l.path, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS arrival, false AS accepted, coalesce(s.rev, 0) AS rev, coalesce(s.deleted, true) AS gone
+FROM (SELECT DISTINCT vault_id, path FROM left_) l LEFT JOIN state s ON l.vault_id = s.vault_id AND l.path = s.path
+UNION ALL
+SELECT l.vault_id, l.path, l.n, l.arrival, CASE WHEN l.expected_rev = 0 THEN f.gone ELSE f.rev = l.expected_rev END,
+  f.rev + CASE WHEN (CASE WHEN l.expected_rev = 0 THEN f.gone ELSE f.rev = l.expected_rev END) THEN 1 ELSE 0 END,
+  CASE WHEN (CASE WHEN l.expected_rev = 0 THEN f.gone ELSE f.rev = l.expected_rev END) THEN l.op = 'delete' ELSE f.gone END
+FROM replayed f JOIN left_ l ON l.vault_id = f.vault_id AND l.path = f.path AND l.n = f.n + 1""",
+    },
+    sql="""SELECT j.vault_id, j.arrival, coalesce(r.accepted, false) AS accepted, coalesce(j.early, CASE WHEN NOT r.accepted THEN 'precondition_failed' END) AS reason,
+  CASE WHEN r.accepted THEN r.rev END AS rev
+FROM judged j LEFT JOIN replayed r ON j.vault_id = r.vault_id AND j.arrival = r.arrival AND r.n > 0""",
+)
+def _apply_full(ops, receipts):
+    """The later part of the log over the state of the earlier one: stored files, receipts, claims and policy, then the fold."""
+    fingerprint = F.sha2(F.concat_ws("|", "op", "path", "payload_hash"), 256)
+    log = ops.filter("arrival > 2000").drop("payload").withColumns({"fingerprint": fingerprint, "reason": F.when(F.col("arrival") % 17 == 0, "forbidden_scope")})
+    # Every eleventh key repeats the one before it; without those, no operation depends on another's receipt.
+    log = log.withColumn("op_key", F.when((F.col("arrival") - 1) % 11 != 10, F.col("op_key")))
+    early = ops.filter("arrival <= 2000").drop("op_key", "payload")
+    written = written_rows(apply_ops(early).filter("accepted"), early)
+    state = written.groupBy("vault_id", "path").agg(F.max_by(F.struct("rev", "hash", "size", "kind", "content", "renamed_to", "deleted"), "rev").alias("s")).select("vault_id", "path", "s.*")
+    held = ops.filter("arrival % 1300 = 0").select("vault_id", "client_id", "op_key")
+    out = apply_ops(log, state, receipts.filter("arrival <= 2000"), claims=held)
+    return out.select("vault_id", "arrival", "accepted", "reason", "rev")
+
+
 @AREA.add(
     "j15_receipt_lookup", "ops", "receipts",
     sql="""
