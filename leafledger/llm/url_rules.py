@@ -104,8 +104,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     # The mark spreads one host's rows over ranges; \x01 sorts below every label, so a rule precedes its host's rows.
     keyed = cut.select("page_id", "host", "path", host_key(F.col("host")).alias("key"), "mark")
     order = F.concat("key", F.lit("\x01"), "mark")
-    seen = keyed.select(order.alias("order")).orderBy(F.xxhash64("order"), "order").limit(sample)
-    found = sorted(row.order for row in seen.collect())  # at most ``sample`` keys
+    total = keyed.count()
+    place_of = F.pmod(F.xxhash64("order"), F.lit(max(total, 1)))
+    seen = keyed.select(order.alias("order")).filter(place_of < 2 * sample).limit(4 * sample)
+    found = sorted(row.order for row in seen.collect())  # about twice ``sample`` keys
     bounds = sorted({found[len(found) * i // slots] for i in range(1, slots)}) if found else []
     place = _place(bounds)
     known = rules.select(
