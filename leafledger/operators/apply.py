@@ -25,7 +25,7 @@ from .. import constants as K
 from ..functions.identity import format_etag, key_window
 from ..functions.markdown import insert_under
 from ..functions.unicode import path_key
-from ..session import arrival_rank, broadcast_if_small, cut_lineage
+from ..session import arrival_rank, cut_lineage
 
 # Optional columns of the log, with the type and value they take when absent.
 _DEFAULTS = {
@@ -381,11 +381,11 @@ def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
         if none_crowded:
             placed = df.withColumn("counted", F.lit(False))
         else:
-            placed = df.join(broadcast_if_small(crowded), "vault_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+            placed = df.join(crowded, "vault_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
         own = F.col(key)
         if labels is not None:
             placed = placed.join(
-                broadcast_if_small(labels.select("vault_id", F.col("node").alias(key), "component")), ["vault_id", key], "left"
+                labels.select("vault_id", F.col("node").alias(key), "component"), ["vault_id", key], "left"
             )
             own = F.coalesce("component", key)
         return placed.withColumn("component", F.when(F.col("counted"), F.lit("")).otherwise(own))
@@ -394,7 +394,7 @@ def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
     text_groups = placed.filter(F.col("op").isin("append", "rename")).select("vault_id", "component", F.lit(True).alias("_text")).distinct()
     past_groups = placed.filter(F.col("op") == "restore").select("vault_id", "component", F.lit(True).alias("_past")).distinct()
     flags = text_groups.join(past_groups, ["vault_id", "component"], "full_outer")
-    flags = broadcast_if_small(flags)
+    flags = flags
     # Text travels only where an append, rename or restore of this component needs it.
     placed = (
         placed.join(flags, ["vault_id", "component"], "left")
@@ -507,7 +507,7 @@ def assign_seq(outcomes: DataFrame, head: DataFrame | None = None) -> DataFrame:
     if head is None:
         return ranked
     return (
-        ranked.join(broadcast_if_small(head.select("vault_id", "head_seq")), "vault_id", "left")
+        ranked.join(head.select("vault_id", "head_seq"), "vault_id", "left")
         .withColumn("seq", F.col("seq") + F.coalesce("head_seq", F.lit(0)))
         .drop("head_seq")
     )

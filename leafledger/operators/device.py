@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.paths import DEFAULT_POLICY, ancestors, conflict_name, enrollment_scope, placeholder_source
 from ..functions.unicode import path_key
-from ..session import broadcast_if_small, neighbour
+from ..session import neighbour
 
 KEYS = ["device_id", "vault_id", "path"]
 DEVICE = ["device_id", "vault_id"]
@@ -58,7 +58,7 @@ def fence_feed(feed: DataFrame, device_ops: DataFrame) -> DataFrame:
         sent, [*DEVICE, "path_key"], "left_semi"
     )
     stop = blocked.groupBy(*DEVICE).agg(F.min("seq").alias("_stop"))
-    return feed.join(broadcast_if_small(stop), DEVICE, "left").filter("_stop is null or seq < _stop").drop("_stop")
+    return feed.join(stop, DEVICE, "left").filter("_stop is null or seq < _stop").drop("_stop")
 
 
 def classify_deletes(deletes: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def reconcile(devices: DataFrame, local: DataFrame, base: DataFrame, manifest: D
     """Three-way plan over local, base and manifest. Local-only paths become creates;
     a path known only to the base yields nothing: missing is not deleted."""
     remote = manifest.select("vault_id", "path", "rev", "seq", "hash", "deleted", "kind")
-    remote = remote.join(broadcast_if_small(devices.select(*DEVICE)), "vault_id")
+    remote = remote.join(devices.select(*DEVICE), "vault_id")
     changes = remote.select(
         *KEYS, "seq", "rev", F.when(F.col("deleted"), "delete").otherwise("put").alias("op"),
         F.when(F.col("deleted"), "").otherwise(F.col("hash")).alias("hash"), F.lit(now_ms).cast("long").alias("at_ms"),
@@ -259,9 +259,9 @@ def drop_echoes(events: DataFrame, expected: DataFrame) -> DataFrame:
 
 def reset_epoch(devices: DataFrame, base: DataFrame, device_ops: DataFrame, epochs: DataFrame) -> dict[str, DataFrame]:
     """State after an epoch change: bases stale, cursor dropped, open operations → attention."""
-    now = broadcast_if_small(epochs.select("vault_id", F.col("epoch").alias("new_epoch")))
+    now = epochs.select("vault_id", F.col("epoch").alias("new_epoch"))
     changed = devices.join(now, "vault_id").withColumn("reset", ~F.col("epoch").eqNullSafe(F.col("new_epoch")))
-    moved = broadcast_if_small(changed.filter("reset").select(*DEVICE, F.lit(True).alias("_reset")))
+    moved = changed.filter("reset").select(*DEVICE, F.lit(True).alias("_reset"))
     flagged = base.join(moved, DEVICE, "left")
     return {
         "devices": changed.select(*DEVICE, F.col("new_epoch").alias("epoch"), F.when(~F.col("reset"), F.col("cursor")).alias("cursor")),
@@ -347,7 +347,7 @@ def hold_destructive(events: DataFrame, base: DataFrame, policy=DEFAULT_POLICY)
 
 def stale_confirmations(confirmations: DataFrame, base: DataFrame, epochs: DataFrame) -> DataFrame:
     """Held items whose observation no longer names the current base revision."""
-    now = broadcast_if_small(epochs.select("vault_id", "epoch"))
+    now = epochs.select("vault_id", "epoch")
     joined = confirmations.join(_base(base), KEYS, "left").join(now, "vault_id", "left")
     same = (
         F.col("b_rev").eqNullSafe(F.col("observed_rev"))
@@ -438,7 +438,7 @@ def device_status(devices: DataFrame, device_ops: DataFrame, plans: DataFrame, a
     counted = {"open_ops": device_ops.filter("state <> 'resolved'"), "open_plans": plans, "attention_items": attention, "held_items": held}
     for name, df in counted.items():
         out = out.join(count(df, name), DEVICE, "left")
-    out = out.na.fill(0, list(counted)).join(broadcast_if_small(heads.select("vault_id", "head_epoch", "head_seq")), "vault_id", "left")
+    out = out.na.fill(0, list(counted)).join(heads.select("vault_id", "head_epoch", "head_seq"), "vault_id", "left")
     idle = (F.col("open_ops") == 0) & (F.col("open_plans") == 0) & (F.col("held_items") == 0)
     current = _is((F.col("epoch") == F.col("head_epoch")) & (F.col("cursor") == F.col("head_seq")))
     return out.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, prefix_scan
+from ..session import prefix_scan
 
 
 def capture_snapshot(files: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def snapshot_checks(snapshot: DataFrame, summary: DataFrame, file_limit: int | N
     totals = snapshot.groupBy("vault_id").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count("reason").alias("bad_rows")
     )
-    return totals.join(broadcast_if_small(summary.select("vault_id", "live")), "vault_id").withColumn(
+    return totals.join(summary.select("vault_id", "live"), "vault_id").withColumn(
         "verdict",
         F.when(F.col("bad_rows") > 0, "source_failure").when(F.lit(file_limit is not None) & (F.col("files") > (file_limit or 0)), "too_many_files")
         .when(F.col("files") != F.col("live"), "count_mismatch").otherwise("ok"),

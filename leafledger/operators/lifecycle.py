@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.identity import json_number, json_row, json_string
-from ..session import broadcast_if_small, prefix_scan
+from ..session import prefix_scan
 
 # ---- payload accounting ----------------------------------------------------
 
@@ -100,7 +100,7 @@ def capacity_report(files: DataFrame, registry: DataFrame, reduced: DataFrame |
     out = live.join(blobs, "vault_id", "full_outer").na.fill(0, ["live_files", "store_bytes", "blob_bytes"])
     if reduced is None:
         return out.withColumn("attention", capacity_attention(F.lit(False)))
-    out = out.join(broadcast_if_small(reduced.select("vault_id", "history_reduced")), "vault_id", "left")
+    out = out.join(reduced.select("vault_id", "history_reduced"), "vault_id", "left")
     return out.withColumn("attention", capacity_attention(F.coalesce("history_reduced", F.lit(False)))).drop("history_reduced")
 
 
@@ -122,7 +122,7 @@ def reachable_hashes(files: DataFrame, revisions: DataFrame, exports: DataFrame,
     active = exports.filter(F.col("status").isin("queued", "uploading")).select("vault_id", "export_id")
     exported = (
         export_files.filter("source_type like '%blob'")
-        .join(broadcast_if_small(active), ["vault_id", "export_id"], "left_semi")
+        .join(active, ["vault_id", "export_id"], "left_semi")
         .select("vault_id", "hash")
     )
     return blob_references(files, revisions, live_only=False).select("vault_id", "hash").unionByName(exported).distinct()
@@ -158,7 +158,7 @@ def gc_sweep(marks: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFra
 def validate_inventory(inventory: DataFrame) -> DataFrame:
     """Rows of a blob listing with a reason where the hash is malformed, repeated or oversized."""
     copies = inventory.groupBy("vault_id", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return inventory.join(broadcast_if_small(copies), ["vault_id", "hash"], "left").select(
+    return inventory.join(copies, ["vault_id", "hash"], "left").select(
         *inventory.columns,
         F.when(~F.col("hash").rlike("^[0-9a-f]{64}$"), "invalid_hash").when(F.col("_n").isNotNull(), "duplicate_hash")
         .when(~F.col("size").between(0, K.SAFE_INTEGER), "invalid_size").alias("reason"),
@@ -201,7 +201,7 @@ def retention_plan(
     )
     over = left.groupBy("vault_id").agg((F.sum("b") - limit_bytes).alias("excess")).filter("excess > 0")
     movable = (~F.col("expired")) & (~F.col("pinned")) & (F.col("at_ms") < now_ms - K.PRESSURE_FLOOR_DAYS * K.DAY_MS)
-    candidates = rows.filter(movable).select("vault_id", "path", "rev", "at_ms", "bytes").join(broadcast_if_small(over), "vault_id")
+    candidates = rows.filter(movable).select("vault_id", "path", "rev", "at_ms", "bytes").join(over, "vault_id")
     running = prefix_scan(candidates, ["vault_id"], ["at_ms", "path", "rev"], {"before": F.col("bytes")}, exclusive=True)
     pruned = running.filter("before < excess").select("vault_id", "path", "rev", F.lit(True).alias("_prune"))
     return rows.join(pruned, ["vault_id", "path", "rev"], "left").select(

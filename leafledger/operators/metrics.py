@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions.identity import utc_day
-from ..session import broadcast_if_small, neighbour, prefix_scan
+from ..session import neighbour, prefix_scan
 
 DAY = ["vault_id", "day_start"]
 
@@ -26,7 +26,7 @@ def drop_late(observations: DataFrame) -> DataFrame:
     first = rows.groupBy(*DAY).agg(F.min("arrival").alias("first_arrival"))
     later = Window.partitionBy("vault_id").orderBy("day_start").rowsBetween(1, Window.unboundedFollowing)
     closing = first.select(*DAY, F.min("first_arrival").over(later).alias("closed_at"))
-    joined = rows.join(broadcast_if_small(closing), DAY)
+    joined = rows.join(closing, DAY)
     return joined.filter("closed_at is null or arrival < closed_at").drop("closed_at")
 
 

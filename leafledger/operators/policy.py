@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.identity import format_etag
-from ..session import broadcast_if_small
+
 
 
 def required_scope(op: str = "op"):
@@ -25,8 +25,8 @@ def authorize_ops(ops: DataFrame, vault_state: DataFrame, revoked_grants: DataFr
     current = vault_state.select("vault_id", F.col("epoch").alias("current_epoch"))
     seen = F.coalesce("epoch", "match_epoch")
     return (
-        ops.join(broadcast_if_small(denied), "grant_id", "left")
-        .join(broadcast_if_small(current), "vault_id", "left")
+        ops.join(denied, "grant_id", "left")
+        .join(current, "vault_id", "left")
         .withColumn(
             "reason",
             F.when(F.col("_denied"), "revoked")

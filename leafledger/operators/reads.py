@@ -9,7 +9,7 @@ from .. import constants as K
 from ..functions.identity import format_etag
 from ..functions.paths import classify_path, large_flag
 from ..functions.unicode import path_key, utf16_length, utf16_slice
-from ..session import broadcast_if_small
+
 
 STATE_COLUMNS = ["rev", "hash", "size", "kind", "content", "blob_hash", "deleted", "origin", "at_ms"]
 
@@ -164,7 +164,7 @@ def feed_floor(changes: DataFrame, now_ms: int, pruned: DataFrame | None = None)
     if pruned is None:
         edges = edges.withColumn("pruned_floor", F.lit(0).cast("long"))
     else:
-        edges = edges.join(broadcast_if_small(pruned), "vault_id", "left")
+        edges = edges.join(pruned, "vault_id", "left")
     zero = F.lit(0).cast("long")
     return edges.select(
         "vault_id", "head_seq",
@@ -174,7 +174,7 @@ def feed_floor(changes: DataFrame, now_ms: int, pruned: DataFrame | None = None)
 
 def expired_cursors(cursors: DataFrame, floors: DataFrame) -> DataFrame:
     """``cursor_expired`` when ``since < floor - 1``; such a device must reconcile."""
-    return cursors.join(broadcast_if_small(floors), "vault_id").select(
+    return cursors.join(floors, "vault_id").select(
         *cursors.columns, "floor",
         F.when(F.col("since") < F.col("floor") - 1, "cursor_expired").alias("reason"),
     )

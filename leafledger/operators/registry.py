@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import broadcast_if_small
+
 
 
 def _with_denial(grants: DataFrame, revoked: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def revoke_clients(target, clients, grants, revoked, consents, now_ms: int) -> d
     chosen = target.select("client_id").distinct().withColumn("_hit", F.lit(True))
 
     def flag(df):
-        return df.join(broadcast_if_small(chosen), "client_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        return df.join(chosen, "client_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
     held = flag(_with_denial(grants, revoked))
     newly = held.filter("_hit and active").select("grant_id", F.lit(now_ms).cast("long").alias("at_ms"))
@@ -38,7 +38,7 @@ def revoke_clients(target, clients, grants, revoked, consents, now_ms: int) -> d
         "clients": flag(clients).withColumn("generation", F.col("generation") + F.col("_hit").cast("long")).drop("_hit"),
         "grants": held.withColumn("cleanup_pending", F.col("cleanup_pending") | (F.col("_hit") & F.col("active"))).drop("_hit", "active"),
         "revoked": revoked.unionByName(newly),
-        "consents": consents.join(broadcast_if_small(chosen.select("client_id")), "client_id", "left_anti"),
+        "consents": consents.join(chosen.select("client_id"), "client_id", "left_anti"),
     }
 
 
@@ -48,7 +48,7 @@ def stale_clients(clients: DataFrame, grants: DataFrame, consents: DataFrame, no
     recent = consents.filter(F.col("created_at") > now_ms - K.CONSENT_TTL_MS).select("client_id")
     return (
         old.join(grants.select("client_id"), "client_id", "left_anti")
-        .join(broadcast_if_small(recent), "client_id", "left_anti")
+        .join(recent, "client_id", "left_anti")
         .select("vault_id", "client_id")
     )
 

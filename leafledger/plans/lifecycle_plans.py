@@ -174,7 +174,7 @@ WHERE e.status IN ('queued','uploading')""",
 )
 def _active_files(export_files, exports):
     active = exports.filter(F.col("status").isin("queued", "uploading")).select("export_id", "vault_id", "status")
-    return export_files.join(L.broadcast_if_small(active), ["export_id", "vault_id"]).select("export_id", "vault_id", "path", "hash", "status")
+    return export_files.join(active, ["export_id", "vault_id"]).select("export_id", "vault_id", "path", "hash", "status")
 
 
 # Revisions that agree with the notes, except where the hash starts with 'a' (size) or 'b' (pruned).

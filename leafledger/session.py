@@ -1,4 +1,4 @@
-"""Session helpers: lineage cuts and size checks that hold on a cluster."""
+"""Session helpers: lineage cuts and scans over hot keys that hold on a cluster."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A side is only broadcast below this estimated size; otherwise Spark shuffles it.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Volume of one slice of a running sum.
+SLICE_BYTES = 256 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,12 +37,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's own size estimate proves it small."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work on a small input enough tasks.
 
@@ -70,7 +64,9 @@ def prefix_scan(
     ``(slice, key)`` only. ``order`` must be unique within a key.
     """
     spark = df.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # A slice is one window task, so their number follows the volume.
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SLICE_BYTES), 1_000_000), 1)
     ordered = [F.col(c) if isinstance(c, str) else c for c in order]
     for name, value in sums.items():
         df = df.withColumn(name, value.cast("long"))

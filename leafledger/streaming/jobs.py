@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions.identity import utc_day
 from ..operators import apply as A
 from ..operators import search as S
-from ..session import broadcast_if_small, cut_lineage, neighbour
+from ..session import cut_lineage, neighbour
 from .store import newest, read_before, read_state, write_batch
 
 # ---- conditional apply -------------------------------------------------------
@@ -78,7 +78,7 @@ def metrics_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     if old is not None:
         # Days behind the vault's current one stay closed across batches.
         current = old.groupBy("vault_id").agg(F.max("day_start").alias("current_day"))
-        rows = rows.join(broadcast_if_small(current), "vault_id", "left").filter(
+        rows = rows.join(current, "vault_id", "left").filter(
             F.col("current_day").isNull() | (utc_day(F.col("observed_at")) >= F.col("current_day"))
         ).drop("current_day")
     kept = cut_lineage(drop_late(rows))
