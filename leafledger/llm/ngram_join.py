@@ -38,8 +38,9 @@ from .common import byte_texts, slices, stored, worker_cache
 
 WORDS = 5
 TILE_ENTRIES = 200_000
-WORD_CACHE = 500_000
-SLICE = 12 << 20
+WORD_CACHE = 250_000
+SLICE = 6 << 20
+VERIFY_ROWS = 200  # rows of an Arrow batch that carries two whole sets
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -308,6 +309,17 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among the pairs, written down; batches are short while whole sets travel in them."""
+    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(VERIFY_ROWS))
+    try:
+        return cut_lineage(_verify(pairs, sets))
+    finally:
+        conf.set(name, usual)
+
+
 def _components(links: DataFrame) -> DataFrame:
     found = label_components(links.select(F.lit(0).alias("vault_id"), F.col("a").alias("src"), F.col("b").alias("dst")))
     return found.select(F.col("node").alias("own"), F.col("component").alias("part"))
@@ -397,14 +409,14 @@ def link_classes(docs: DataFrame, entries: DataFrame, heads: DataFrame, parts: i
     groups = cut_lineage(kept.join(shared, "segment"))
     wanted = groups.select("own").distinct().join(heads, "own").select("own", "doc_id")
     sets = stored(_sets_of(docs, wanted), "ngram-sets")
-    links = cut_lineage(_verify(_leader_pairs(groups), sets))
+    links = _verified(_leader_pairs(groups), sets)
     labels = _components(links)
     # Segments whose classes are all in one component need no further test.
     named = groups.join(labels, "own", "left").withColumn("part", F.coalesce("part", "own"))
     split = named.groupBy("segment").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("segment")
     open_groups = cut_lineage(named.join(split, "segment").select("segment", "own", "part"))
     pairs = cut_lineage(_tile_pairs(entries, open_groups, parts, tile_entries))
-    return _components(links.unionByName(_verify(pairs, sets)))
+    return _components(links.unionByName(_verified(pairs, sets)))
 
 
 def join_ngrams(docs: DataFrame, tile_entries: int = TILE_ENTRIES) -> DataFrame:
