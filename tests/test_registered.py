@@ -1,5 +1,7 @@
 """Every registered query against its SQL at the smallest scale."""
 
+import re
+
 import duckdb
 import pytest
 from check_oracle import compare
@@ -18,7 +20,8 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+# The removable training-data queries have their own tests.
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)))
 def test_query_equals_sql(spark, duck, name):
     text, same = compare(spark, duck, SF, name, registry.queries()[name], registry.oracle_sql().get(name))
     assert same, text
