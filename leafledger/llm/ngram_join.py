@@ -25,6 +25,8 @@ NULL component; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,13 +36,13 @@ from pyspark.sql import functions as F
 
 from ..operators.apply import label_components
 from ..session import cut_lineage
-from .common import byte_texts, slices, stored, worker_cache
+from .common import byte_texts, slices, stored
 
 WORDS = 5
 TILE_ENTRIES = 200_000
-WORD_CACHE = 250_000
-SLICE = 6 << 20
-VERIFY_ROWS = 200  # rows of an Arrow batch that carries two whole sets
+SLICE = 3 << 20
+BATCH_ROWS = 500  # rows of an Arrow batch that carries whole texts or sets
+VERIFY_ROWS = 100  # rows of one that carries two whole sets
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,22 +80,12 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = value
-        return value
-
-
 def shingles(text: bytes, words_per: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = text.lower().split()  # bytes.lower touches A-Z alone
     if not words:
         return np.empty(0, np.uint64)
-    known = worker_cache("word_hashes", _WordHashes)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     per = min(words_per, len(words))
     count = len(words) - per + 1
     total = np.full(count, per, np.uint64)
@@ -309,15 +301,22 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "items_a", "items_b").mapInArrow(test, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among the pairs, written down; batches are short while whole sets travel in them."""
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(name)
-    conf.set(name, str(VERIFY_ROWS))
+@contextmanager
+def _short_batches(spark, rows: int):
+    """Fewer rows in an Arrow batch than usual while whole texts or sets travel in them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
     try:
-        return cut_lineage(_verify(pairs, sets))
+        yield
     finally:
-        conf.set(name, usual)
+        spark.conf.set(name, usual)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among the pairs, written down."""
+    with _short_batches(pairs.sparkSession, VERIFY_ROWS):
+        return cut_lineage(_verify(pairs, sets))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -337,12 +336,13 @@ def _count_tile(batches):
     names = ["pool", "low", "high"]
 
     def settle(rows):
-        tile = pa.Table.from_batches(rows).to_pandas()
-        found = []
-        for _, part in tile.groupby("space", sort=False):
-            owns, at, firsts = np.unique(part["own"].to_numpy(), return_index=True, return_inverse=True)
-            size, filled, label, block = (part[c].to_numpy()[at] for c in ("n_shingles", "filled", "part", "block"))
-            segment = np.unique(part["segment"].to_numpy(), return_inverse=True)[1]
+        table, found = pa.Table.from_batches(rows), []
+        tile = {c: table.column(c).to_numpy() for c in ("space", "own", "n_shingles", "filled", "part", "block", "segment")}
+        for space in np.unique(tile["space"]):
+            part = {c: v[tile["space"] == space] for c, v in tile.items()}
+            owns, at, firsts = np.unique(part["own"], return_index=True, return_inverse=True)
+            size, filled, label, block = (part[c][at] for c in ("n_shingles", "filled", "part", "block"))
+            segment = np.unique(part["segment"], return_inverse=True)[1]
             by_segment = np.argsort(segment, kind="stable")
             ends = np.cumsum(np.bincount(segment))
             starts = ends - np.bincount(segment)
@@ -408,7 +408,8 @@ def link_classes(docs: DataFrame, entries: DataFrame, heads: DataFrame, parts: i
     shared = kept.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("segment")
     groups = cut_lineage(kept.join(shared, "segment"))
     wanted = groups.select("own").distinct().join(heads, "own").select("own", "doc_id")
-    sets = stored(_sets_of(docs, wanted), "ngram-sets")
+    with _short_batches(docs.sparkSession, BATCH_ROWS):
+        sets = stored(_sets_of(docs, wanted), "ngram-sets")
     links = _verified(_leader_pairs(groups), sets)
     labels = _components(links)
     # Segments whose classes are all in one component need no further test.
@@ -427,7 +428,8 @@ def join_ngrams(docs: DataFrame, tile_entries: int = TILE_ENTRIES) -> DataFrame:
     signed = rows.mapInArrow(_sign(4 * parts), SIGN_SCHEMA)
     matched = signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, MATCH_SCHEMA)
     kept = matched.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_keep, KEPT_SCHEMA)
-    kept = stored(kept, "ngram-kept")
+    with _short_batches(spark, BATCH_ROWS):
+        kept = stored(kept, "ngram-kept")
     documents = kept.filter("kind = 0").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("own")).alias("own"))
     heads = documents.filter("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("doc_id"))
     entries = kept.filter("kind = 1").drop("kind", "doc_id").distinct()
