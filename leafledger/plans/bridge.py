@@ -167,7 +167,8 @@ SELECT DISTINCT 'd1' AS device_id, vault_id, path, 3 + CAST(length(path) % 3 AS
 FROM local_events WHERE path NOT LIKE '%2/p%'""",
     "snippets": """
 SELECT concat('v', CAST(item_id % 3 AS STRING)) AS vault_id, item_id AS query_id,
-  substr(text, 1 + CAST(item_id % 7 AS INT), 4 + CAST(item_id % 3 AS INT)) AS query FROM benchmark""",
+  CASE item_id % 11 WHEN 9 THEN substr(text, 1, 2) WHEN 10 THEN text
+    ELSE substr(text, 1 + CAST((item_id * 37) % greatest(length(text) - 8, 1) AS INT), 4 + CAST(item_id % 3 AS INT)) END AS query FROM benchmark""",
 }
 
 _TABLE = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)", re.I)

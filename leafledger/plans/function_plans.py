@@ -18,7 +18,7 @@ AREA = Area()
 VIEWS["raw_paths"] = """
 SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN concat('/', source) WHEN 1 THEN concat(source, '//x.md')
   WHEN 2 THEN concat(source, '/../x.md') WHEN 3 THEN concat(source, '/./x') WHEN 4 THEN text
-  WHEN 5 THEN replace(substr(text, 1, 60), chr(10), '/') WHEN 6 THEN concat(source, chr(9), lang)
+  WHEN 5 THEN replace(text, chr(10), '/') WHEN 6 THEN concat(source, chr(9), lang)
   WHEN 7 THEN concat(source, '/', lang, '...md') ELSE concat(source, '/', upper(substr(text, 1, 9)), '.MD') END AS path
 FROM documents"""
 
@@ -136,15 +136,15 @@ def _window(events):
 @AREA.add(
     "p16_request_bounds", "documents",
     sql="""SELECT doc_id, CASE WHEN NOT length(concat(lang, source)) BETWEEN 8 AND 128 THEN 'invalid_request' END AS key_reason,
-  CASE WHEN length(substr(text, 1, CAST(doc_id % 260 AS INT))) < 3 THEN 'query_too_short'
-    WHEN length(substr(text, 1, CAST(doc_id % 260 AS INT))) > 200 THEN 'query_too_long' END AS query_reason,
+  CASE WHEN length(CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, CAST(doc_id % 260 AS INT)) END) < 3 THEN 'query_too_short'
+    WHEN length(CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, CAST(doc_id % 260 AS INT)) END) > 200 THEN 'query_too_long' END AS query_reason,
   coalesce(CASE WHEN doc_id % 4 > 0 THEN doc_id % 60 END, 20) AS result_limit,
   CASE WHEN NOT coalesce(CASE WHEN doc_id % 4 > 0 THEN doc_id % 60 END, 20) BETWEEN 1 AND 50 THEN 'invalid_request' END AS limit_reason
 FROM documents""",
 )
 def _bounds(documents):
     asked = documents.select(
-        "doc_id", F.concat("lang", "source").alias("op_key"), F.expr("substr(text, 1, CAST(doc_id % 260 AS INT))").alias("query"),
+        "doc_id", F.concat("lang", "source").alias("op_key"), F.expr("CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, CAST(doc_id % 260 AS INT)) END").alias("query"),
         F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 60).alias("result_limit"),
     )
     return I.validate_requests(asked).drop("op_key", "query")

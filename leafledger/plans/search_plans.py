@@ -13,7 +13,7 @@ AREA = Area()
 _STEPS = {
     "indexed": """SELECT vault_id, path, rev, content, strip_accents(lower(content)) AS f FROM notes WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'""",
     "totals": "SELECT vault_id, count(*) AS n, avg(greatest(length(f) - 2, 0)) AS mean FROM indexed GROUP BY vault_id",
-    "terms": "SELECT vault_id, query_id, strip_accents(lower(query)) AS q FROM snippets",
+    "terms": "SELECT vault_id, query_id, strip_accents(lower(query)) AS q FROM snippets WHERE length(query) BETWEEN 3 AND 200",
     "hits": """SELECT a.vault_id, a.query_id, a.q, i.path, i.rev, i.content, i.f, greatest(length(i.f) - 2, 0) AS dl,
   CASE WHEN len(list_filter(range(1, length(a.q)), lambda k: left(a.q, k) = right(a.q, k))) = 0 THEN (length(i.f) - length(replace(i.f, a.q, ''))) // length(a.q)
     ELSE len(list_filter(range(1, length(i.f) - length(a.q) + 2), lambda k: substr(i.f, k, length(a.q)) = a.q)) END AS tf
