@@ -266,7 +266,8 @@ def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: i
         room, least = room - row.v, row.g
     top = [(bytes(r.word), r.n) for r in words.filter(grade >= least).collect()]
     top.sort(key=lambda t: (-t[1], t[0]))
-    head = [t for t in top[:MODEL_WORDS] if t[0] != END][: MODEL_WORDS - 1] + [(END, next((n for w, n in top if w == END), 0))]
+    ends = words.filter(F.col("word") == F.lit(END)).first()  # the end token is a model word however many words are more frequent
+    head = [t for t in top[:MODEL_WORDS] if t[0] != END][: MODEL_WORDS - 1] + [(END, ends.n if ends else 0)]
     head.sort(key=lambda t: -t[1])
     chosen = {w for w, _ in head}
     head += [(b" %d" % k, 0) for k in range(MODEL_WORDS - len(head))]  # stand-ins for a small vocabulary; no word has a space

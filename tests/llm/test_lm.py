@@ -42,6 +42,12 @@ def test_rare_words_come_by_join(spark, documents, texts):
     assert model["v"] == words.count() and int(model["tail_n"].min()) >= 0
 
 
+def test_end_counts_whatever_the_frequent_words(spark, documents, texts):
+    """Five frequent words leave no room for the end token; its count must come from the table all the same."""
+    rows = gru_lm.score_documents(documents, frequent=5).collect()
+    check_base(rows, list(texts.items()))
+
+
 def test_awkward_rows(spark, awkward, nothing):
     rows = gru_lm.score_documents(awkward).collect()
     check_base(rows, [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
