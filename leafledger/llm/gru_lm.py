@@ -5,8 +5,10 @@ classes of ``CLASS_WORDS``; every other word belongs to one of ``TAIL_CLASSES``
 last bytes. P(word) = P(class | state) * P(word | class, state) for a frequent word; within a tail class a
 word has its smoothed share of the class's counts, so unseen words have a probability too.
 
-The network learns by truncated backpropagation in one task over at most ``FIT_DOCS`` training documents of
-at most ``FIT_BYTES`` bytes. Scoring runs documents side by side in lanes, window by window, the state
+The network learns by truncated backpropagation over every training document, whatever its length. Documents are
+dealt to the rounds of one pass by a hash; in a round each task trains on its share from the common weights, and the
+tasks' weights are averaged by tokens through a tree. A corpus for one task gets ``SMALL_EPOCHS`` epochs in one
+round. Scoring runs documents side by side in lanes, window by window, the state
 carried on to the document's end. Counts of the ``FREQUENT`` most frequent words travel with the model
 (bounded); those of all other words meet their documents in a join on the word.
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, byte_texts, fold_of, fold_of_id, slices, stored
+from .common import byte_texts, fold_of, fold_of_id, slices, stored
 
 FOLDS = 10
 FREQUENT = 65_536
@@ -37,7 +39,9 @@ MODEL_WORDS, CLASS_WORDS = 1_024, 32
 TAIL_CLASSES, TAIL_BYTES = 64, 3
 HIDDEN = 24
 WINDOW = 32
-FIT_DOCS, FIT_BYTES = 2_000, 100_000
+TASK_TOKENS, SMALL_EPOCHS = 400_000, 2  # a training task has at least so many tokens, if the corpus has
+SHARES, ROUNDS = 8, ((0, 1), (1, 2), (2, 4), (4, 8))  # one pass: every share once, more of them as the weights settle
+FAN_IN = 8
 SLICE = 12 << 20
 END = b""  # no word is empty
 HEAD_CLASSES = MODEL_WORDS // CLASS_WORDS
@@ -149,24 +153,36 @@ def _grid(streams: list[np.ndarray], lanes: int, end: int):
     return goal, given, start, owner
 
 
-def train_network(streams: list[np.ndarray], head: np.ndarray, end: int, epochs: int = 2, lanes: int = 64, rate: float = 0.01) -> dict:
-    """Adam with truncated backpropagation over windows of ``WINDOW`` steps; states carry over, gradients do not."""
+def train_network(
+    net: dict[str, np.ndarray], slices_of_streams, end: int, epochs: int = 1, lanes: int = 256, done: int = 0, rate: float = 0.01
+) -> tuple[dict[str, np.ndarray], int, int]:
+    """Adam with truncated backpropagation over windows of ``WINDOW`` steps; states carry over, gradients do not.
+
+    Goes on from ``net`` after ``done`` steps. Returns the weights, the tokens seen and the steps made.
+    """
     rng = np.random.default_rng(11)
-    net = new_network(rng, head)
-    first, second, count = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}, 0
-    for epoch in range(epochs):
-        goal, given, start, _ = _grid([streams[k] for k in rng.permutation(len(streams))], lanes, end)
+    net = {k: v.copy() for k, v in net.items()}
+    first, second, count, tokens = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}, 0, 0
+    for streams in (part for whole in slices_of_streams for part in repeat(whole, epochs)):
+        sizes = [len(s) for s in streams]
+        tokens += sum(sizes)
+        # No more lanes than fill up beside the longest document: a grid holds at most about twice its tokens.
+        width = min(lanes, -(-sum(sizes) // max(sizes)))
+        goal, given, start, _ = _grid([streams[k] for k in rng.permutation(len(streams))], width, end)
         state = np.zeros((goal.shape[1], HIDDEN), np.float32)
         for low in range(0, len(goal), WINDOW):
             high = min(low + WINDOW, len(goal))
+            busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
+            state = state[:busy]
             states, kept, before = [], [], []
             for t in range(low, high):
-                state = np.where(start[t][:, None], np.float32(0), state)
+                state = np.where(start[t, :busy, None], np.float32(0), state)
                 before.append(state)
-                state, parts = step(net, given[t], state)
+                state, parts = step(net, given[t, :busy], state)
                 states.append(state)
                 kept.append(parts)
-            flat, live = goal[low:high].reshape(-1), goal[low:high].reshape(-1) >= 0
+            flat = goal[low:high, :busy].reshape(-1)
+            live = flat >= 0
             hidden = np.concatenate(states)
             logp, grads, back_live = output(net, hidden[live], flat[live], True)
             back = np.zeros_like(hidden)
@@ -183,21 +199,21 @@ def train_network(streams: list[np.ndarray], head: np.ndarray, end: int, epochs:
                 inputs.append(np.concatenate([d_update, d_reset, d_fresh], axis=1))
                 carry_grad += before[t].T @ d_carried
                 follow = d * update + d_carried @ net["carry"].T
-                follow[start[low + t]] = 0
-            rows, sums = given[low:high].reshape(-1), np.concatenate(inputs[::-1])
+                follow[start[low + t, :busy]] = 0
+            rows, sums = given[low:high, :busy].reshape(-1), np.concatenate(inputs[::-1])
             order = np.argsort(rows, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
             grads["input"] = np.zeros_like(net["input"])
             grads["input"][rows[order][cut]] = np.add.reduceat(sums[order], cut, axis=0)
             grads["carry"] = carry_grad
             count += 1
-            pace = rate / (1 + 0.003 * count)
+            pace = rate / (1 + 0.003 * (done + count))
             for k, g in grads.items():
                 g = np.clip(g / max(live.sum(), 1), -1, 1)
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
                 net[k] -= pace * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.99**count)) + 1e-7)
-    return net
+    return net, tokens, count
 
 
 def score_streams(net: dict, streams: list[np.ndarray], end: int, lanes: int = 256) -> np.ndarray:
@@ -254,7 +270,72 @@ def _lookup(frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
     return {word: at for at, (word, _) in enumerate(frequent)}
 
 
-def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT, fit_docs: int = FIT_DOCS) -> dict:
+_NET_SCHEMA = "net binary, tokens long, steps long"
+
+
+def _net_row(net: dict[str, np.ndarray], tokens: int, steps: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"net": pa.array([pickle.dumps(net)], pa.binary()), "tokens": pa.array([tokens], pa.int64()), "steps": pa.array([steps], pa.int64())}
+    )
+
+
+def _train_slices(shared, epochs: int, lanes: int):
+    """Trains on all rows of a task, slice by slice: one row of its weights, its tokens and its steps."""
+
+    def train(batches):
+        model = shared.value
+        place = {w: at if at < MODEL_WORDS else MODEL_WORDS + tail_class(w) for at, (w, _) in enumerate(model["order"])}
+
+        def stream_of(text):
+            tokens = tokens_of(text)
+            ids = np.fromiter(map(place.get, tokens, repeat(-1)), np.int32, len(tokens))
+            rare = ids < 0
+            ids[rare] = [MODEL_WORDS + tail_class(w) for w in compress(tokens, rare)]
+            return ids
+
+        found = ([stream_of(t) for t in byte_texts(b.column("text"))] for b in slices(batches, "text", SLICE))
+        net, tokens, steps = train_network(model["net"], found, model["end"], epochs, lanes, model["steps"])
+        if tokens:
+            yield _net_row(net, tokens, steps)
+
+    return train
+
+
+def _mean_nets(batches):
+    """The mean of the weights, weighted by tokens; steps likewise."""
+    sums, tokens, steps = {}, 0, 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            for k, v in pickle.loads(row["net"]).items():
+                sums[k] = sums.get(k, 0) + v.astype(np.float64) * row["tokens"]
+            tokens, steps = tokens + row["tokens"], steps + row["steps"] * row["tokens"]
+    if tokens:
+        yield _net_row({k: (v / tokens).astype(np.float32) for k, v in sums.items()}, tokens, steps // tokens)
+
+
+def train_over(docs: DataFrame, model: dict, folds: int = FOLDS, task_tokens: int = TASK_TOKENS) -> tuple[dict, int]:
+    """The network after every training document of ``docs``, and the tokens that it has learned from."""
+    spark = docs.sparkSession
+    # NULL ids count as training documents, as in the word counts.
+    known = docs.filter(F.coalesce(fold_of(F.col("doc_id"), folds) != 0, F.lit(True)))
+    tasks = max(1, model["n"] // task_tokens)
+    rounds, epochs, lanes = (ROUNDS, 1, 256) if tasks > 1 else (((0, SHARES),), SMALL_EPOCHS, 64)
+    net, steps, learned = model["net"], 0, 0
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES))
+    for low, high in rounds:
+        shared = spark.sparkContext.broadcast({"order": model["order"], "end": model["end"], "net": net, "steps": steps})
+        nets = known.filter((share >= low) & (share < high)).select("text").coalesce(tasks).mapInArrow(_train_slices(shared, epochs, lanes), _NET_SCHEMA)
+        width = min(tasks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2))
+        while width > 1:
+            width = -(-width // FAN_IN)
+            nets = nets.repartition(width).mapInArrow(_mean_nets, _NET_SCHEMA)
+        for row in nets.collect():
+            net, steps, learned = pickle.loads(row.net), steps + row.steps, learned + row.tokens // epochs
+        shared.unpersist()
+    return net, learned
+
+
+def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT, task_tokens: int = TASK_TOKENS) -> dict:
     """Counts of the most frequent words, class totals and the trained network; its size is bounded by the parameters."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # Sixteen steps per doubling: as many of the highest whole steps as hold at most ``frequent`` words.
@@ -282,19 +363,9 @@ def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: i
             tail_v[tail_class(word)] -= 1
     counts = np.array([n for _, n in head], np.float64)
     end = next(at for at, (w, _) in enumerate(head) if w == END)
-    model_words = {w: at for at, (w, _) in enumerate(head)}
-
-    def train(batches):
-        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
-        streams = [np.array([model_words.get(w, -1) if w in model_words else MODEL_WORDS + tail_class(w) for w in tokens_of(r["text"].encode())], np.int32) for r in found]
-        if streams:
-            yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(train_network(streams, counts, end))], pa.binary())})
-
-    known = docs.filter((fold_of(F.col("doc_id"), folds) != 0) & (F.octet_length("text") <= FIT_BYTES))
-    chosen_ids = bounded_sample(known, "doc_id", fit_docs)
-    row = known.join(F.broadcast(chosen_ids), "doc_id").dropDuplicates(["doc_id"]).repartition(1).mapInArrow(train, "net binary").first()
-    net = pickle.loads(row.net) if row else new_network(np.random.default_rng(11), counts)
-    return {"order": order, "net": net, "end": end, "tail_n": tail_n, "tail_v": tail_v, "n": total.n, "v": total.v}
+    model = {"order": order, "net": new_network(np.random.default_rng(11), counts), "end": end, "tail_n": tail_n, "tail_v": tail_v, "n": total.n, "v": total.v}
+    model["net"], model["learned"] = train_over(docs, model, folds, task_tokens)
+    return model
 
 
 PART_SCHEMA = (

@@ -48,6 +48,35 @@ def test_end_counts_whatever_the_frequent_words(spark, documents, texts):
     check_base(rows, list(texts.items()))
 
 
+@pytest.mark.parametrize("task_tokens", [2_000, gru_lm.TASK_TOKENS])
+def test_every_training_document_trains(spark, documents, awkward, task_tokens):
+    """NULL ids, repeated rows and texts over 100,000 bytes too, in one task or in rounds over many."""
+    rows = documents.select("doc_id", "text").union(awkward.select("doc_id", "text")).repartition(6)
+    words = gru_lm.stored(gru_lm.count_words(rows), "t-words")
+    model = gru_lm.fit_model(rows, words, task_tokens=task_tokens)
+    assert model["learned"] == model["n"]
+    assert all(np.isfinite(v).all() for v in model["net"].values())
+
+
+@pytest.mark.parametrize("task_tokens", [50, gru_lm.TASK_TOKENS])
+def test_long_texts_alone_train_the_network(spark, task_tokens):
+    text = " ".join(f"w{k % 40}" for k in range(60_000))
+    rows = spark.createDataFrame([(None, text), (1, text + " a")], "doc_id long, text string").repartition(2)
+    words = gru_lm.stored(gru_lm.count_words(rows), "t-words")
+    model = gru_lm.fit_model(rows, words, task_tokens=task_tokens)
+    untrained = gru_lm.new_network(np.random.default_rng(11), np.ones(gru_lm.MODEL_WORDS))
+    assert model["learned"] == model["n"] and not np.allclose(model["net"]["carry"], untrained["carry"])
+
+
+def test_long_texts_keep_grids_small():
+    """One long document beside many short ones: a grid of all lanes would hold its length many times."""
+    rng = np.random.default_rng(2)
+    net = gru_lm.new_network(rng, np.ones(gru_lm.MODEL_WORDS))
+    streams = [rng.integers(0, gru_lm.MODEL_WORDS, n).astype(np.int32) for n in [3_000] + [5] * 300]
+    trained, tokens, steps = gru_lm.train_network(net, [streams], 7)
+    assert tokens == 4_500 and steps == -(-3_000 // gru_lm.WINDOW)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     rows = gru_lm.score_documents(awkward).collect()
     check_base(rows, [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()])
