@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
 
-Quality rules drop what they reject; of near copies the smallest id stays; secrets are masked in the text;
+Quality rules drop what they reject; of near copies one row with the smallest id stays; secrets are masked in the text;
 sources are mixed to their targets by repeating or leaving out whole documents; what is left is packed.
 All stages but the last return the columns of ``documents``.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafledger.llm.common import stored, table
+from leafledger.llm.common import shared_folder, stored, table
 from leafledger.llm.mixing import mix_sources
 from leafledger.llm.ngram_join import join_ngrams
 from leafledger.llm.plans import TOKENIZERS
@@ -30,10 +30,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows without an id stay."""
+    """Of each group of linked rows one with the smallest id, or with none if none has one; rows are told apart by a written key."""
     prepare(spark)
-    others = join_ngrams(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.select(COLUMNS).join(others, "doc_id", "left_anti")
+    path = shared_folder(spark, "ngram-rows")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.parquet(path)
+    joined = join_ngrams(rows.select(F.col("_row").alias("doc_id"), "text")).filter("doc_id <> component_id")
+    others = stored(joined.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part")), "ngram-others")
+    members = others.unionByName(others.select(F.col("_part").alias("_row"), "_part").distinct())
+    named = members.join(rows.select("_row", "doc_id"), "_row")
+    firsts = named.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    losers = members.join(firsts, ["_row"], "left_anti").select("_row")
+    return rows.join(losers, "_row", "left_anti").select(COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

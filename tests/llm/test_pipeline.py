@@ -41,6 +41,23 @@ def test_one_of_each_group_stays(frames):
     assert set(rows_of(frames[2])) == want and len(want) < len(before)
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(40)) for c in "abcd")
+    rows = [
+        (5, one), (5, one), (6, one + " more"),  # repeated rows, the smallest id among them
+        (None, two), (None, two), (None, two + " more"),  # no ids at all
+        (None, three), (9, three), (8, three + " more"),  # some ids
+        (6, four), (7, None), (7, None), (None, ""),  # an id shared with a loser; nothing to link
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_one_copy(spark, docs.repartition(3), SF).collect()
+    unlinked = [(6, four), (7, None), (7, None), (None, "")]
+    got = Counter((r.doc_id, r.text) for r in left)
+    no_id = [t for t in (two, two + " more") if got[(None, t)]]
+    assert len(no_id) == 1
+    assert got == Counter([(5, one), (None, no_id[0]), (8, three + " more"), *unlinked])
+
+
 def test_secrets_are_masked_and_nothing_else(frames):
     before, after = rows_of(frames[2]), rows_of(frames[3])
     assert before.keys() == after.keys()
