@@ -179,3 +179,26 @@ def test_base_verdicts(spark):
     texts = ["views:\n - type: table\n", "filters: {and: [a], or: [b]}", "a: !tag x", "a: [", "[]", "formulas: {x: 1}", "x: " + "y" * 70_000, "views:\n - type: t\n   groupBy: {property: p, direction: UP}\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
     assert [r.valid for r in validate_bases(df).orderBy("i").collect()] == [True] + [False] * 7
+
+
+def test_registered_sections_read_documents_with_marks(spark, tmp_path):
+    """Fences, '#' lines and CR in the documents themselves, against sections written by hand."""
+    import __spark_entry__ as registry
+
+    nl = "\n"
+    texts = {1: "a" + nl + "```" + nl + "# no" + nl + "```", 3: "x\r# cr", 7: "#tag" + nl + "~~~ open", 9: "plain"}
+    rows = [(i, t, "en", "web", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sections = {}
+    for r in registry.queries()["f16_markdown_sections"](spark, str(tmp_path)).collect():
+        sections.setdefault(r.doc_id, []).append((r.line_no, r.level, r.heading))
+    # The heading 'web', the first 40 characters of the text and 'deep' follow the text: in document 1 the fence is opened and
+    # closed twice; in 7 it opens in the text and never closes, as the second '~~~ open' has words behind it.
+    assert {i: sorted(s) for i, s in sections.items()} == {
+        1: [(0, 1, "en"), (5, 2, "web"), (10, 3, "deep")],
+        3: [(0, 1, "en"), (2, 1, "cr"), (3, 2, "web"), (5, 1, "cr"), (6, 3, "deep")],
+        7: [(0, 1, "en")],
+        9: [(0, 1, "en"), (2, 2, "web"), (4, 3, "deep")],
+    }
+    reasons = {r.doc_id: r.reason for r in registry.queries()["f16_append_under_heading"](spark, str(tmp_path)).collect()}
+    assert reasons == {1: None, 3: None, 7: "heading_not_found", 9: None}
