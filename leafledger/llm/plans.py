@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing, spotsigs, url_rules
+from . import filter_audit, mixing, spotsigs, url_rules
 from .common import table
 from .gru_lm import score_documents
 from .language_cnn import identify_languages
@@ -95,3 +95,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text."""
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", filter_audit.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, under every order."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
