@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import filter_audit, mixing, spotsigs, url_rules
+from . import dual_tree, filter_audit, mixing, spotsigs, url_rules
 from .common import table
 from .gru_lm import score_documents
 from .language_cnn import identify_languages
@@ -101,3 +101,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents, under every order."""
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_ranked_search", dual_tree.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return dual_tree.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
