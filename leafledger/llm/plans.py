@@ -17,6 +17,7 @@ from .quality import quality_rules
 from .rans import ids_round_trip
 from .secret_scan import scan_secrets
 from .tier_packing import pack_documents
+from .vp_trees import join_simhash
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabularies
 
@@ -107,3 +108,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return dual_tree.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_simhash_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups of near ones."""
+    return join_simhash(table(spark, sf_dir, "documents"))
