@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.identity import json_number, json_row, json_string
-from ..session import prefix_scan
+from ..session import cut_lineage, prefix_scan
 
 # ---- payload accounting ----------------------------------------------------
 
@@ -201,10 +201,13 @@ def retention_plan(
     )
     over = left.groupBy("vault_id").agg((F.sum("b") - limit_bytes).alias("excess")).filter("excess > 0")
     movable = (~F.col("expired")) & (~F.col("pinned")) & (F.col("at_ms") < now_ms - K.PRESSURE_FLOOR_DAYS * K.DAY_MS)
-    candidates = rows.filter(movable).select("vault_id", "path", "rev", "at_ms", "bytes").join(over, "vault_id")
-    running = prefix_scan(candidates, ["vault_id"], ["at_ms", "path", "rev"], {"before": F.col("bytes")}, exclusive=True)
-    pruned = running.filter("before < excess").select("vault_id", "path", "rev", F.lit(True).alias("_prune"))
-    return rows.join(pruned, ["vault_id", "path", "rev"], "left").select(
+    # Rows of vaults within the limit skip the sort; the others carry what they need through it, so nothing is joined back.
+    judged = rows.join(over, "vault_id", "left")
+    freed = F.when(movable, F.col("bytes")).otherwise(0)
+    running = prefix_scan(judged.filter("excess IS NOT NULL"), ["vault_id"], ["at_ms", "path", "rev"], {"before": freed}, exclusive=True)
+    pressed = running.select("*", (movable & (F.col("before") < F.col("excess"))).alias("_prune"))
+    calm = judged.filter("excess IS NULL").withColumns({"before": F.lit(0).cast("long"), "_prune": F.lit(False)})
+    return pressed.unionByName(calm).select(
         "vault_id", "path", "rev", "at_ms", "bytes", "pinned",
         F.when(F.col("expired"), "expired").when(F.col("_prune"), "pressure").otherwise("keep").alias("action"),
     )
@@ -212,8 +215,9 @@ def retention_plan(
 
 def apply_retention(revisions, receipts, changes, pins, now_ms, limit_bytes=K.HISTORY_PRESSURE_LIMIT_BYTES):
     """Kept tables plus, from the same plan, the new feed floor and the reduced flag per vault."""
-    plan = retention_plan(revisions, receipts, changes, pins, now_ms, limit_bytes)
     keys = ["vault_id", "path", "rev"]
+    # Read by two of the outputs, so worked out once.
+    plan = cut_lineage(retention_plan(revisions, receipts, changes, pins, now_ms, limit_bytes).select(*keys, "action"))
     gone = plan.filter("action <> 'keep'").select(*keys)
     floors = expired_rows(changes, now_ms).groupBy("vault_id").agg((F.max("seq") + 1).alias("pruned_floor"))
     reduced = plan.groupBy("vault_id").agg(F.max(F.col("action") == "pressure").alias("history_reduced"))

@@ -144,21 +144,18 @@ def validate_measurements(rows: DataFrame) -> DataFrame:
 def admission_load(tickets: DataFrame) -> DataFrame:
     """Live tickets of client and vault at each admission, over the event order of starts and ends.
 
-    A ticket that ends exactly when another starts is no longer live. Running sums go
-    over range slices, so one crowded vault is not one task.
+    A ticket that ends exactly when another starts is no longer live. Both running sums go over the same
+    slices of one sort, so neither a crowded vault nor a busy client is one task.
     """
-    start = tickets.select("vault_id", "client_id", F.col("admitted_at").alias("t"), F.lit(1).alias("step"), "ticket_id", "expires_at")
-    end = tickets.select("vault_id", "client_id", F.col("expires_at").alias("t"), F.lit(-1).alias("step"), "ticket_id", "expires_at")
-    moves = start.unionByName(end)
-    per_vault = prefix_scan(moves, ["vault_id"], ["t", "step", "ticket_id"], {"vault_live": F.col("step")})
-    per_client = prefix_scan(moves, ["vault_id", "client_id"], ["t", "step", "ticket_id"], {"client_live": F.col("step")})
-    clients = per_client.filter("step = 1").select("vault_id", "ticket_id", "client_live")
-    return (
-        per_vault.filter("step = 1").join(clients, ["vault_id", "ticket_id"])
-        .select(
-            "vault_id", "client_id", "ticket_id", F.col("t").alias("admitted_at"), "client_live", "vault_live",
-            (F.col("client_live") > K.CLIENT_TICKETS).alias("client_limited"), (F.col("vault_live") > K.VAULT_TICKETS).alias("vault_limited"),
-        )
+    start = tickets.select("vault_id", "client_id", F.col("admitted_at").alias("t"), F.lit(1).alias("step"), "ticket_id")
+    end = tickets.select("vault_id", "client_id", F.col("expires_at").alias("t"), F.lit(-1).alias("step"), "ticket_id")
+    live = prefix_scan(
+        start.unionByName(end), ["vault_id"], ["t", "step", "ticket_id"],
+        {"vault_live": F.col("step"), "client_live": F.col("step")}, finer={"client_live": ["client_id"]},
+    )
+    return live.filter("step = 1").select(
+        "vault_id", "client_id", "ticket_id", F.col("t").alias("admitted_at"), "client_live", "vault_live",
+        (F.col("client_live") > K.CLIENT_TICKETS).alias("client_limited"), (F.col("vault_live") > K.VAULT_TICKETS).alias("vault_limited"),
     )
 
 

@@ -137,26 +137,29 @@ FROM flagged f JOIN remaining r ON f.vault_id = r.vault_id WHERE NOT expired AND
 }
 
 
-@AREA.add(
-    "t15_w8_retention_plan", "revisions", "receipts", "changes", "pins", steps=_PLAN,
-    sql="""SELECT f.vault_id, f.path, f.rev, f.at_ms, f.bytes, f.pinned, CASE WHEN f.expired THEN 'expired' WHEN r.before < r.excess THEN 'pressure' ELSE 'keep' END AS action
-FROM flagged f LEFT JOIN run r ON f.vault_id = r.vault_id AND f.path = r.path AND f.rev = r.rev""",
-)
+_ACTIONS = """SELECT f.vault_id, f.path, f.rev, f.at_ms, f.bytes, f.pinned, CASE WHEN f.expired THEN 'expired' WHEN r.before < r.excess THEN 'pressure' ELSE 'keep' END AS action
+FROM flagged f LEFT JOIN run r ON f.vault_id = r.vault_id AND f.path = r.path AND f.rev = r.rev"""
+
+
+@AREA.add("t15_w8_retention_plan", "revisions", "receipts", "changes", "pins", steps=_PLAN, sql=_ACTIONS)
 def _retention(revisions, receipts, changes, pins):
     return L.retention_plan(revisions, receipts, changes, pins, _RETAIN_NOW, _RETAIN_LIMIT)
 
 
 @AREA.add(
-    "t15_apply_retention", "revisions", "receipts", "changes", "pins",
+    "t15_apply_retention", "revisions", "receipts", "changes", "pins", steps=_PLAN | {"planned": _ACTIONS},
     sql=f"""SELECT 'changes' AS part, vault_id, count(*) AS rows FROM changes WHERE at_ms >= {_RETAIN_NOW} - 2592000000 GROUP BY vault_id
 UNION ALL SELECT 'receipts', vault_id, count(*) FROM receipts WHERE at_ms >= {_RETAIN_NOW} - 2592000000 GROUP BY vault_id
-UNION ALL SELECT 'floor', vault_id, max(seq) + 1 FROM changes WHERE at_ms < {_RETAIN_NOW} - 2592000000 GROUP BY vault_id""",
+UNION ALL SELECT 'floor', vault_id, max(seq) + 1 FROM changes WHERE at_ms < {_RETAIN_NOW} - 2592000000 GROUP BY vault_id
+UNION ALL SELECT 'revisions', vault_id, count(*) FROM planned WHERE action = 'keep' GROUP BY vault_id
+UNION ALL SELECT 'reduced', vault_id, CAST(max(CASE WHEN action = 'pressure' THEN 1 ELSE 0 END) AS BIGINT) FROM planned GROUP BY vault_id""",
 )
 def _apply_retention(revisions, receipts, changes, pins):
     kept = L.apply_retention(revisions, receipts, changes, pins, _RETAIN_NOW, _RETAIN_LIMIT)
-    counts = [kept[t].groupBy("vault_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(t)) for t in ("changes", "receipts")]
+    counts = [kept[t].groupBy("vault_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(t)) for t in ("changes", "receipts", "revisions")]
     floors = kept["floors"].select("vault_id", F.col("pruned_floor").alias("rows"), F.lit("floor").alias("part"))
-    return counts[0].unionByName(counts[1]).unionByName(floors)
+    reduced = kept["reduced"].select("vault_id", F.col("history_reduced").cast("long").alias("rows"), F.lit("reduced").alias("part"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(floors).unionByName(reduced)
 
 
 @AREA.add(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import cut_points, row_bytes, slice_of, sort_key
+
 # Volume of one slice of a running sum.
 SLICE_BYTES = 256 * 1024 * 1024
 
@@ -55,37 +57,43 @@ def prefix_scan(
     order: list[str | Column],
     sums: dict[str, Column],
     exclusive: bool = False,
+    finer: dict[str, list[str]] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Running sums per key in sort order, without one task per key.
 
-    Rows are range-partitioned by ``keys + order`` so that one hot key spreads over
-    many slices. The slice number is written down once (a re-run of range sampling
-    could move rows), totals per slice give offsets, and the window runs inside
-    ``(slice, key)`` only. ``order`` must be unique within a key.
+    The rows are written down once and their bytes measured on the way. Their number of slices follows from these
+    bytes, and slices of equal volume from a quantile sketch over ``keys + order``; each row finds its slice
+    where it is. Totals per slice give offsets, and the windows run inside ``(slice, key)`` only, so one hot key
+    spreads over as many tasks as its volume asks for. ``order`` must be unique within a key. ``finer`` names sums that run per
+    further columns, in the same slices.
     """
-    spark = df.sparkSession
-    # A slice is one window task, so their number follows the volume.
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SLICE_BYTES), 1_000_000), 1)
+    finer = finer or {}
     ordered = [F.col(c) if isinstance(c, str) else c for c in order]
-    for name, value in sums.items():
-        df = df.withColumn(name, value.cast("long"))
-    sliced = cut_lineage(
-        df.repartitionByRange(slices, *[F.col(k) for k in keys], *ordered)
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "_slice",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    end = -1 if exclusive else Window.currentRow
-    inside = Window.partitionBy("_slice", *keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
-    out = sliced.join(offsets, [*keys, "_slice"])
-    running = {n: F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n in sums}
-    return out.withColumns(running).drop("_slice", *[f"_o_{n}" for n in sums])
+    df = df.withColumns({name: value.cast("long") for name, value in sums.items()})
+    places = df.select(*[F.col(k) for k in keys], *[c.alias(f"_{i}") for i, c in enumerate(ordered)]).schema.fields
+    key = sort_key([(c, f.dataType) for c, f in zip([*[F.col(k) for k in keys], *ordered], places)])
+    seen = Observation()
+    rows = cut_lineage(df.withColumns({"_key": key, "_bytes": row_bytes(df)}).observe(seen, F.sum("_bytes").alias("volume")))
+    slices = max(-(-(seen.get["volume"] or 0) // slice_bytes), 1)
+    cuts = cut_points(rows.select(F.col("_key").alias("key"), F.col("_bytes").alias("weight")), slices) if slices > 1 else []
+    sliced = rows.withColumn("_slice", slice_of(F.col("_key"), cuts)).drop("_key", "_bytes")
+    out, end = sliced, -1 if exclusive else Window.currentRow
+    for group in dict.fromkeys(tuple([*keys, *finer.get(n, [])]) for n in sums):
+        own = [n for n in sums if tuple([*keys, *finer.get(n, [])]) == group]
+        inside = Window.partitionBy("_slice", *group).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
+        out = out.withColumns({f"_r_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in own})
+        if cuts:
+            totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(n).alias(f"_t_{n}") for n in own])
+            before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+            offsets = totals.select(
+                *[F.col(c).alias(f"_g_{c}") for c in group], F.col("_slice").alias("_g_slice"),
+                *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in own],
+            )
+            same = [out[c].eqNullSafe(offsets[f"_g_{c}"]) for c in group] + [out["_slice"] == offsets["_g_slice"]]
+            out = out.join(offsets, same).withColumns({f"_r_{n}": F.col(f"_r_{n}") + F.col(f"_o_{n}") for n in own})
+            out = out.drop(*[f"_g_{c}" for c in group], "_g_slice", *[f"_o_{n}" for n in own])
+    return out.withColumns({n: F.col(f"_r_{n}") for n in sums}).drop("_slice", *[f"_r_{n}" for n in sums])
 
 
 def arrival_rank(
