@@ -296,6 +296,27 @@ def well_formed() -> Column:
     return F.coalesce(allowed & exact & paths, F.lit(False))
 
 
+def prepared(ops: DataFrame, now: Column | int | None) -> DataFrame:
+    """The log with all optional columns, path keys, explicit preconditions and the answer of the key window at ``now``."""
+    log = _with_defaults(ops, _DEFAULTS)
+    return log.withColumns(
+        {
+            "path_key": path_key(F.col("path")),
+            "to_key": path_key(F.col("to_path")) if "to_path" in ops.columns else F.lit(None).cast("string"),
+            "expect": F.coalesce(
+                "expect",
+                F.when(F.col("expected_rev") > 0, "match")
+                .when((F.col("op") == "put") & (F.col("expected_rev") == 0), "absent")
+                .when((F.col("op") == "append") & F.col("expected_rev").isNull(), "none"),
+            ),
+            "kind": F.coalesce("kind", F.lit("text")),
+            "key_ok": key_window(F.col("op_key"), now) if now is not None else F.lit(True),
+            "replay_of": F.lit(None).cast("long"),
+            "replay_status": F.lit(None).cast("int"),
+        }
+    )
+
+
 def apply_ops(
     ops: DataFrame,
     files: DataFrame | None = None,
@@ -317,23 +338,7 @@ def apply_ops(
     before the log, ``receipts`` and ``revisions`` what is retained. Only accepted keyed
     operations leave a receipt, so a failed one may be tried again under its key.
     """
-    log = _with_defaults(ops, _DEFAULTS)
-    log = log.withColumns(
-        {
-            "path_key": path_key(F.col("path")),
-            "to_key": path_key(F.col("to_path")) if "to_path" in ops.columns else F.lit(None).cast("string"),
-            "expect": F.coalesce(
-                "expect",
-                F.when(F.col("expected_rev") > 0, "match")
-                .when((F.col("op") == "put") & (F.col("expected_rev") == 0), "absent")
-                .when((F.col("op") == "append") & F.col("expected_rev").isNull(), "none"),
-            ),
-            "kind": F.coalesce("kind", F.lit("text")),
-            "key_ok": key_window(F.col("op_key"), now_ms) if now_ms is not None else F.lit(True),
-            "replay_of": F.lit(None).cast("long"),
-            "replay_status": F.lit(None).cast("int"),
-        }
-    )
+    log = prepared(ops, now_ms)
     if receipts is not None:
         kept = receipts.select("vault_id", "client_id", "op_key", F.col("fingerprint").alias("_fp"),
                                F.col("status").alias("_status"), F.col("arrival").alias("_arrival"))
@@ -394,7 +399,6 @@ def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
     text_groups = placed.filter(F.col("op").isin("append", "rename")).select("vault_id", "component", F.lit(True).alias("_text")).distinct()
     past_groups = placed.filter(F.col("op") == "restore").select("vault_id", "component", F.lit(True).alias("_past")).distinct()
     flags = text_groups.join(past_groups, ["vault_id", "component"], "full_outer")
-    flags = flags
     # Text travels only where an append, rename or restore of this component needs it.
     placed = (
         placed.join(flags, ["vault_id", "component"], "left")
