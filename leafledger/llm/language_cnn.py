@@ -29,7 +29,12 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 FIT_DOCS = 2_000
 FIT_BYTES = 50_000
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """True if a character is a letter; fractions, circled and Roman number signs are word characters but no letters."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +152,7 @@ def predict_languages(docs: DataFrame, packed: dict | None, folds: int = FOLDS)
         model = packed and _unpack(packed)
         for batch in slices(batches, "text", 1 << 20):
             ids, texts = batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))
-            spoken = [k for k, t in enumerate(texts) if model and t and _LETTER.search(t.decode("utf-8", "replace"))]
+            spoken = [k for k, t in enumerate(texts) if model and t and has_letter(t.decode("utf-8", "replace"))]
             out = [("und", 0.0)] * len(texts)
             for k, found in zip(spoken, predict([texts[k] for k in spoken], model) if spoken else []):
                 out[k] = found

@@ -27,3 +27,11 @@ def test_awkward_rows(awkward, nothing):
     assert language_cnn.identify_languages(nothing).count() == 0
     unknown = language_cnn.identify_languages(awkward.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()
     assert {r.lang_pred for r in unknown} == {"und"}
+
+
+def test_only_letters_are_letters(spark, documents):
+    signs = {1: "½ ① ²", 2: "Ⅷ ⅷ ٣ _ 12", 3: "½ the", 4: "中文", 5: "…", 6: "½" * 400_000}
+    rows = spark.createDataFrame(list(signs.items()), "doc_id long, text string")
+    packed = language_cnn.fit_languages(documents)
+    found = {r.doc_id: r.lang_pred for r in language_cnn.predict_languages(rows, packed).collect()}
+    assert {k for k, v in found.items() if v == "und"} == {k for k, t in signs.items() if not any(c.isalpha() for c in t)} == {1, 2, 5, 6}
