@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ RULES = [
 
 
 def _points(text: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Byte positions to code points."""
-    if text.isascii():
+    """Byte positions to code points, by one count of the bytes that begin a character."""
+    if not found or text.isascii():
         return found
-    return [(len(text[:start].decode("utf-8", "replace")), bit, len(text[:end].decode("utf-8", "replace"))) for start, bit, end in found]
+    begins = np.flatnonzero(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)
+    starts, ends = (np.searchsorted(begins, [f[k] for f in found]).tolist() for k in (0, 2))
+    return [(start, bit, end) for start, (_, bit, _), end in zip(starts, found, ends)]
 
 
 def _listed(found: list[tuple[int, int, int]]) -> str:

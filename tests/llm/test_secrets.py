@@ -60,3 +60,10 @@ def test_masking_leaves_nothing(spark, awkward):
     got = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
     assert got == {1: "é [assign]' ok [hex]", 2: None, 3: "clean"}
     assert secret_scan.mask_secrets(awkward).columns == awkward.columns
+
+
+def test_a_very_long_text_with_many_spans():
+    text = ("é token=abcdefghijklmnop " + "ü" * 20 + " deadbeefdeadbeef ñ ") * 160_000
+    data = text.encode()
+    assert len(data) > 10_000_000
+    assert base(text) == slow(text)
