@@ -3,8 +3,8 @@
 A spot is a common word; its signature is the chain of the next ``CHAIN`` content words, further common
 words skipped. A document's fingerprint is the sorted set of its signatures (eight hex digits each). A
 text without a common word gets one signature over all its words, so equal texts always have equal
-fingerprints. Sets belong to bands of length; sets whose lengths alone keep them below ``FLOOR`` are not
-intersected and count as 0.
+fingerprints. Likeness is the Jaccard of two sets, whatever their lengths. Sets also carry a band of length: sets more
+than one band apart are always less alike than ``FLOOR``.
 
 NULL text is an empty text. NULL ids sort below all others, equal ids by their texts. Repeated rows are
 documents of their own. A single document is its own neighbour. Other columns are ignored.
@@ -54,15 +54,11 @@ def spot_set(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
-def likeness(one: Column, other: Column, floor: float = FLOOR) -> Column:
-    """Jaccard of two fingerprints; 0 if their lengths alone bound it below ``floor``."""
+def likeness(one: Column, other: Column) -> Column:
+    """Jaccard of two fingerprints."""
     a, b = (F.length(one) + 1) / 9, (F.length(other) + 1) / 9  # eight digits and a comma each
     shared = F.size(F.array_intersect(F.split(one, ","), F.split(other, ",")))
-    return (
-        F.when(one == other, F.lit(1.0))
-        .when(F.least(a, b) < F.lit(floor) * F.greatest(a, b), F.lit(0.0))
-        .otherwise(shared / (a + b - shared))
-    )
+    return F.when(one == other, F.lit(1.0)).otherwise(shared / (a + b - shared))
 
 
 def length_band(fingerprint: Column, floor: float = FLOOR) -> Column:
@@ -127,7 +123,7 @@ def _sql_print(text: str) -> str:
 def _sql_near(a: str, b: str) -> str:
     m, n = f"((length({a}) + 1) / 9)", f"((length({b}) + 1) / 9)"
     common = f"len(list_intersect(string_split({a}, ','), string_split({b}, ',')))"
-    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN least({m}, {n}) < 0.1 * greatest({m}, {n}) THEN 0.0::DOUBLE ELSE {common} / ({m} + {n} - {common}) END"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE {common} / ({m} + {n} - {common}) END"
 
 
 SQL = f"""
