@@ -52,6 +52,47 @@ def history_pressure(revisions: DataFrame, receipts: DataFrame, changes: DataFra
     return rows.groupBy("vault_id").agg(*[e.alias(n) for n, e in part.items()], F.sum("b").alias("pressure_bytes"))
 
 
+CATEGORIES = ("revisions", "receipts", "changes")
+_SIZES = {"revisions": revision_bytes, "receipts": receipt_bytes, "changes": change_bytes}
+
+
+def counter_changes(added: list[DataFrame] = (), removed: list[DataFrame] = ()) -> DataFrame:
+    """(vault_id, category, delta) of a batch: bytes of the revisions, receipts and changes (in this order) it adds and removes."""
+    rows = None
+    for sign, tables in ((1, added), (-1, removed)):
+        for category, table in zip(CATEGORIES, tables):
+            own = table.select("vault_id", F.lit(category).alias("category"), (sign * _SIZES[category]()).cast("long").alias("delta"))
+            rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("vault_id", "category").agg(F.sum("delta").alias("delta"))
+
+
+def merge_counters(counters: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """Counters (vault_id, category, bytes) after a batch; its cost follows the batch, not the history."""
+    rows = changes.select("vault_id", "category", F.col("delta").alias("bytes"))
+    if counters is not None:
+        rows = rows.unionByName(counters.select("vault_id", "category", "bytes"))
+    return rows.groupBy("vault_id", "category").agg(F.sum("bytes").alias("bytes"))
+
+
+def pressure_of(counters: DataFrame) -> DataFrame:
+    """The columns of :func:`history_pressure` from counters. A counter below zero is shown as NULL with the reason
+    ``counter_underflow``: more was removed than ever added, and only a recount helps."""
+    one = {c: F.coalesce(F.sum(F.when(F.col("category") == c, F.col("bytes"))), F.lit(0)) for c in CATEGORIES}
+    out = counters.groupBy("vault_id").agg(*[e.cast("long").alias(f"{c}_bytes") for c, e in one.items()])
+    bad = F.least(*[F.col(f"{c}_bytes") for c in CATEGORIES]) < 0
+    total = sum((F.col(f"{c}_bytes") for c in CATEGORIES[1:]), F.col("revisions_bytes"))
+    return out.withColumns({"pressure_bytes": F.when(~bad, total), "reason": F.when(bad, "counter_underflow")}).withColumns(
+        {f"{c}_bytes": F.when(F.col(f"{c}_bytes") >= 0, F.col(f"{c}_bytes")) for c in CATEGORIES}
+    )
+
+
+def counter_differences(counters: DataFrame, revisions: DataFrame, receipts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Vaults and categories whose counter is not that of a full recount."""
+    full = merge_counters(None, counter_changes([revisions, receipts, changes])).withColumnRenamed("bytes", "recounted")
+    both = counters.join(full, ["vault_id", "category"], "full_outer").na.fill(0, ["bytes", "recounted"])
+    return both.filter("bytes <> recounted")
+
+
 # ---- blobs -----------------------------------------------------------------
 
 

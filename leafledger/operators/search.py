@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions.identity import format_etag
+from ..functions.snippets import snippet
 from ..functions.unicode import fold
 from ..session import spread
 
@@ -102,23 +103,6 @@ def bm25_phrase(tf: Column, tokens: Column, notes: Column, matched: Column, mean
     return -(idf * tf * F.lit(K.BM25_K1 + 1) / (tf + F.lit(K.BM25_K1) * norm))
 
 
-def snippet(content: Column, folded: Column, phrase: Column, width: int = 64) -> Column:
-    """About 64 grams around the first hit with ``…`` at cut ends, at most 1,024 code points.
-
-    Positions come from the folded text; where folding changed the length of the text
-    before the hit, the window starts at the note's beginning.
-    """
-    same = F.char_length(content) == F.char_length(folded)
-    at = F.when(same, F.instr(folded, phrase)).otherwise(F.lit(1))
-    spare = F.greatest(F.lit(width + 2) - F.char_length(phrase), F.lit(0))
-    start = F.greatest(at - F.floor(spare / 2).cast("int"), F.lit(1))
-    end = start + width + 2
-    body = F.substring(content, start, F.lit(width + 2))
-    left = F.when(start > 1, "…").otherwise("")
-    right = F.when(end <= F.char_length(content), "…").otherwise("")
-    return F.left(F.concat(left, body, right), F.lit(1024))
-
-
 def search_notes(queries: DataFrame, files: DataFrame, epoch: str, postings: DataFrame | None = None) -> DataFrame:
     """Ranked hits of every valid query: score ascending, then binary path order.
 

@@ -34,11 +34,11 @@ class Area:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import apply_plans, device_plans, function_plans, lifecycle_plans, metrics_plans, read_plans, search_plans, views
+    from . import apply_plans, collection_plans, device_plans, function_plans, lifecycle_plans, metrics_plans, read_plans, search_plans, views
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (views, function_plans, read_plans, search_plans, apply_plans, device_plans, lifecycle_plans, metrics_plans):
+    for module in (views, function_plans, read_plans, search_plans, apply_plans, device_plans, lifecycle_plans, collection_plans, metrics_plans):
         queries |= module.AREA.queries
         sql |= module.AREA.sql
     return queries, sql

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.unicode import fold
 from ..operators import search as S
 from .bridge import EPOCH
 from .catalog import Area
@@ -21,13 +22,19 @@ FROM terms a JOIN indexed i ON a.vault_id = i.vault_id AND contains(i.f, a.q)"""
     "freq": "SELECT vault_id, query_id, count(*) AS df FROM hits GROUP BY vault_id, query_id",
     "scored": """SELECT h.*, round(-(greatest(ln((t.n - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / t.mean))), 6) AS score
 FROM hits h JOIN totals t ON h.vault_id = t.vault_id JOIN freq d ON h.vault_id = d.vault_id AND h.query_id = d.query_id""",
-    "placed": """SELECT *, CASE WHEN length(content) = length(f) THEN strpos(f, q) ELSE 1 END AS at_,
-  row_number() OVER (PARTITION BY vault_id, query_id ORDER BY score, encode(path)) AS rank FROM scored""",
-    "cut": "SELECT *, greatest(at_ - (66 - length(q)) // 2, 1) AS s FROM placed",
+    "placed": "SELECT *, row_number() OVER (PARTITION BY vault_id, query_id ORDER BY score, encode(path)) AS rank FROM scored",
+    "spotted": "SELECT *, list_filter(range(1, length(f) - length(q) + 2), lambda k: substr(f, k, length(q)) = q) AS at_ FROM placed WHERE rank <= 20",
 }
+# The window of 66 characters around the hit whose window shows most hits, the first of equal ones.
+_WINDOWS = {
+    "windows": "SELECT *, list_transform(at_, lambda p: greatest(p - greatest(66 - length(q), 0) // 2, 1)) AS starts FROM spotted",
+    "shown": "SELECT *, list_transform(starts, lambda s: len(list_filter(at_, lambda p: p >= s AND p <= s + greatest(66 - length(q), 0)))) AS counts FROM windows",
+    "cut": "SELECT *, starts[list_position(counts, list_max(counts))] AS s FROM shown",
+}
+_STEPS |= _WINDOWS
 _SQL = f"""SELECT vault_id, query_id, CAST(rank AS INT) AS rank, path, concat('"{EPOCH}.', CAST(rev AS STRING), '"') AS etag, score,
   concat(CASE WHEN s > 1 THEN '…' ELSE '' END, substr(content, s, 66), CASE WHEN s + 66 <= length(content) THEN '…' ELSE '' END) AS snippet
-FROM cut WHERE rank <= 20"""
+FROM cut"""
 
 
 @AREA.add("f5_f6_f7_o4_search_notes", "snippets", "notes", steps=_STEPS, sql=_SQL)
@@ -40,6 +47,35 @@ def _search_index(queries, notes):
     return S.search_notes(queries, notes, EPOCH, postings=S.build_postings(S.indexed_notes(notes)))
 
 
+# Letters written as a base and a combining mark, and what they stand for.
+_MARKED = (("é", "é"), ("ñ", "ñ"), ("ü", "ü"), ("ó", "ó"))
+
+
+def _in_sql(text: str) -> str:
+    for whole, parts in _MARKED:
+        text = f"replace({text}, '{whole}', '{parts}')"
+    return text
+
+
+@AREA.add(
+    "f7_snippets_of_marked_text", "notes",
+    steps={
+        "spotted": """SELECT *, list_filter(range(1, length(f) - length(q) + 2), lambda k: substr(f, k, length(q)) = q) AS at_
+FROM (SELECT vault_id, path, content, strip_accents(lower(content)) AS f, substr(strip_accents(lower(content)), 1 + length(content) // 2, 5) AS q
+  FROM notes WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md' AND length(content) >= 10) t""",
+    } | _WINDOWS,
+    sql=f"""SELECT vault_id, path, concat(CASE WHEN s > 1 THEN '…' ELSE '' END, {_in_sql('substr(content, s, 66)')}, CASE WHEN s + 66 <= length(content) THEN '…' ELSE '' END) AS snippet FROM cut""",
+)
+def _marked(notes):
+    """Five characters from the middle of each note, looked for in its text with letters taken apart: the window is that of the plain text."""
+    plain = S.indexed_notes(notes).filter(F.char_length("content") >= 10)
+    asked = plain.withColumn("phrase", F.substring(F.col("folded"), (F.lit(1) + F.floor(F.char_length("content") / 2)).cast("int"), F.lit(5)))
+    parted = F.col("content")
+    for whole, parts in _MARKED:
+        parted = F.replace(parted, F.lit(whole), F.lit(parts))
+    return asked.select("vault_id", "path", S.snippet(parted, fold(parted), F.col("phrase")).alias("snippet"))
+
+
 @AREA.add(
     "a2_p19_search_coverage", "notes",
     sql="""SELECT vault_id, count(*) FILTER (NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md') AS indexed_files,
