@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import collection as C
 from ..operators import lifecycle as L
-from ..session import cut_lineage
+from ..session import written_table
 from .catalog import Area
 from .lifecycle_plans import _PRESSURE, _REACH_IN
 
@@ -57,34 +57,34 @@ UNION ALL SELECT 'end', vault_id, NULL, 'idle', CAST(a + b + c + d AS BIGINT) FR
 def _run(inventory, *tables):
     """A whole run of every vault: two requests, two pages one of which comes twice, publications between them, two claims
     at once, a deletion that fails half-way, and its retry by a third owner."""
-    counts = cut_lineage(_counts(*tables))
-    vaults = inventory.select("vault_id").distinct()
+    counts, inventory = written_table(_counts(*tables), "gc-counts"), written_table(inventory, "gc-inventory")
+    vaults = written_table(inventory.select("vault_id").distinct().coalesce(1), "gc-vaults")
     rows = lambda **more: vaults.select("vault_id", *[F.lit(v).alias(n) for n, v in more.items()])
     runs = C.start_runs(C.idle_runs(vaults), rows(run_id="r2", arrival=2).unionByName(rows(run_id="r1", arrival=1)))
     marks = inventory.limit(0).select("vault_id", "hash", "size", F.lit(0).cast("long").alias("marked_at"))
     page = lambda run, at, cond: inventory.filter(cond).select("vault_id", "hash", "size", F.lit(run).alias("run_id"), F.lit(at).alias("cursor"))
     low, high = F.col("hash") < "8", F.col("hash") >= "8"
     runs, marks = C.mark_pages(runs, marks, counts, rows(run_id="r1", cursor="", next_cursor="8"), page("r1", "", low), 1_000)
-    runs, marks = cut_lineage(runs), cut_lineage(marks)
+    runs, marks = written_table(runs, "gc-runs"), written_table(marks, "gc-marks")
     refused = C.fence_publications(inventory.withColumn("observed_generation", F.lit(0).cast("long")), runs, marks).filter("reason IS NOT NULL")
     # The first page once more and a page of a run that was never started: both came too late.
     old = rows(run_id="r1", cursor="", next_cursor="8").unionByName(rows(run_id="r2", cursor="8", next_cursor="9"))
     runs, marks = C.mark_pages(runs, marks, counts, old, page("r1", "", low).unionByName(page("r2", "8", high)), 2_000)
     last = rows(run_id="r1", cursor="8").withColumn("next_cursor", F.lit(None).cast("string"))
     runs, marks = C.mark_pages(runs, marks, counts, last, page("r1", "8", high), 3_000)
-    runs, marks = cut_lineage(runs), cut_lineage(marks)
-    runs = cut_lineage(C.claim_deletes(runs, rows(owner="o2", arrival=2).unionByName(rows(owner="o1", arrival=1))))
+    runs, marks = written_table(runs, "gc-runs"), written_table(marks, "gc-marks")
+    runs = written_table(C.claim_deletes(runs, rows(owner="o2", arrival=2).unionByName(rows(owner="o1", arrival=1))), "gc-runs")
     held = runs
     mine = C.claimed_marks(runs, marks)
-    first = cut_lineage(mine.filter(F.substring("hash", 3, 1) < "8").select("vault_id", "owner", "hash", "size"))
+    first = written_table(mine.filter(F.substring("hash", 3, 1) < "8").select("vault_id", "owner", "hash", "size"), "gc-deleted")
     # The second claim's owner holds nothing, so what it reports is ignored.
     foreign = first.withColumn("owner", F.lit("o2")).unionByName(mine.select("vault_id", F.lit("o2").alias("owner"), "hash", "size"))
     settled = rows(owner="o1", failed=True).unionByName(rows(owner="o2", failed=False))
     runs, marks = C.settle_deletes(runs, marks, first.unionByName(foreign), settled)
-    runs, marks = cut_lineage(runs), cut_lineage(marks)
+    runs, marks = written_table(runs, "gc-runs"), written_table(marks, "gc-marks")
     retry = runs
-    runs = cut_lineage(C.claim_deletes(runs, rows(owner="o3", arrival=3)))
-    second = cut_lineage(C.claimed_marks(runs, marks).select("vault_id", "owner", "hash", "size"))
+    runs = written_table(C.claim_deletes(runs, rows(owner="o3", arrival=3)), "gc-runs")
+    second = written_table(C.claimed_marks(runs, marks).select("vault_id", "owner", "hash", "size"), "gc-deleted")
     runs, marks = C.settle_deletes(runs, marks, second, rows(owner="o3", failed=False))
     end = C.finish_runs(runs, marks)
     shape = lambda df, part, digest, note, generation: df.select(
@@ -102,13 +102,10 @@ def _run(inventory, *tables):
 
 @AREA.add(
     "a5_counters_by_change", "revisions", "receipts", "changes",
-    steps=_PRESSURE | {
-        "left_": """SELECT vault_id, 'revisions' AS c, b FROM (SELECT * FROM sized WHERE c = 'revisions') t
-UNION ALL SELECT vault_id, c, b FROM sized WHERE c <> 'revisions'""",
-    },
+    steps=_PRESSURE,
     sql="""SELECT vault_id, CAST(coalesce(sum(b) FILTER (c = 'revisions'), 0) AS BIGINT) AS revisions_bytes, CAST(coalesce(sum(b) FILTER (c = 'receipts'), 0) AS BIGINT) AS receipts_bytes,
   CAST(coalesce(sum(b) FILTER (c = 'changes'), 0) AS BIGINT) AS changes_bytes, CAST(sum(b) AS BIGINT) AS pressure_bytes, CAST(NULL AS VARCHAR) AS reason
-FROM left_ GROUP BY vault_id""",
+FROM sized GROUP BY vault_id""",
 )
 def _counters(revisions, receipts, changes):
     """Three batches of rows, the first of which is pruned and written again by the third."""
