@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prefix_scan
+
 RUN = "vault_id string, phase string, run_id string, cursor string, generation long, owner string, delete_state string, failure string"
 _RUN = [tuple(part.split()) for part in RUN.split(", ")]
 # Fixed value: failure code of an interrupted or refused step.
@@ -182,6 +184,11 @@ def fence_publications(publications: DataFrame, runs: DataFrame, marks: DataFram
     return joined.withColumn("reason", F.when(stop, FENCED)).drop("_marked", "_now")
 
 
+def mark_order(marks: DataFrame) -> DataFrame:
+    """Marks with their 1-based place by hash, the order in which a vault's marks are deleted."""
+    return prefix_scan(marks, ["vault_id"], ["hash"], {"place": F.lit(1)})
+
+
 def collection_status(runs: DataFrame, marks: DataFrame) -> DataFrame:
     """Phase, marked blobs and bytes, delete state and failure per vault."""
     totals = marks.groupBy("vault_id").agg(F.count(F.lit(1)).alias("marked_count"), F.sum("size").alias("marked_bytes"))

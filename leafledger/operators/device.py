@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.paths import DEFAULT_POLICY, ancestors, conflict_name, enrollment_scope, placeholder_source
 from ..functions.unicode import path_key
-from ..session import neighbour
+from ..session import arrival_rank, neighbour
 
 KEYS = ["device_id", "vault_id", "path"]
 DEVICE = ["device_id", "vault_id"]
@@ -428,6 +428,11 @@ def expired_recovery(tree: DataFrame, open_copies: DataFrame, now_ms: int, prefi
     return mine.join(open_copies.select(*KEYS), KEYS, "left_anti").select(*KEYS)
 
 
+def apply_order(feed: DataFrame) -> DataFrame:
+    """Feed rows of a device with their 1-based place in ascending sequence, the order in which they are applied."""
+    return arrival_rank(feed, DEVICE, "seq", "place")
+
+
 def device_status(devices: DataFrame, device_ops: DataFrame, plans: DataFrame, attention: DataFrame, held: DataFrame, heads: DataFrame) -> DataFrame:
     """Status by precedence: revoked, paused, disconnected, attention, syncing, pending, settled."""
 

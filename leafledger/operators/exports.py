@@ -142,6 +142,12 @@ def finish_exports(runs: DataFrame, results: DataFrame, pins: DataFrame) -> tupl
     return done, release_pins(pins, done)
 
 
+def active_exports(runs: DataFrame) -> DataFrame:
+    """Active runs with their 1-based place per vault by start time."""
+    active = runs.filter(F.col("status").isin("queued", "uploading"))
+    return prefix_scan(active, ["vault_id"], ["created_at", "export_id"], {"place": F.lit(1)})
+
+
 def release_pins(pins: DataFrame, runs: DataFrame) -> DataFrame:
     """Pins that remain: those of runs not yet finished."""
     active = runs.filter(F.col("status").isin("queued", "uploading")).select("export_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators.apply import apply_ops, assign_seq, dedupe_ops, feed_rows, written_rows
 from ..operators.blobs import check_blob_puts
 from ..operators.policy import authorize_ops, explain_failures
@@ -324,20 +325,43 @@ def _authorize(requests, revoked):
 
 
 @AREA.add(
-    "p21_explain_failures", "requests", "revoked", "ops", steps={"judged": _POLICY},
+    "p21_explain_failures", "requests", "revoked", steps={"judged": _POLICY},
     sql="""
 SELECT j.vault_id, j.arrival, j.reason, CASE j.reason WHEN 'revoked' THEN 401 WHEN 'forbidden_scope' THEN 403 ELSE 409 END AS status,
   CASE j.reason WHEN 'revoked' THEN 'The grant no longer allows access.'
     WHEN 'forbidden_scope' THEN 'The grant does not allow this operation.' ELSE 'The vault epoch does not match.' END AS message
 FROM judged j WHERE reason IS NOT NULL""",
 )
-def _explain(requests, revoked, ops):
+def _explain(requests, revoked):
     judged = authorize_ops(_with_scopes(requests), _vault_state(requests), revoked).filter(F.col("reason").isNotNull())
     empty = {f"current_{c}": F.lit(None).cast(t) for c, t in
              (("rev", "long"), ("hash", "string"), ("deleted", "boolean"), ("renamed_to", "string"), ("content", "string"))}
     return explain_failures(judged.withColumns(empty)).select("vault_id", "arrival", "reason", "status", "message")
 
 
+_CODES = ", ".join(f"({i}, '{c}', {status}, '{message}')" for i, (c, status, message) in enumerate(K.FAILURES))
+
+
+@AREA.add(
+    "p21_every_code", "ops", steps={"codes": f"SELECT * FROM (VALUES {_CODES}) t(n, reason, status, message)"},
+    sql=f"""SELECT o.vault_id, o.arrival, c.reason, CAST(c.status AS INT) AS status, c.message,
+  CASE WHEN c.reason = 'precondition_failed' THEN o.payload_hash END AS detail_hash
+FROM ops o JOIN codes c ON o.arrival % {len(K.FAILURES) + 1} = c.n""",
+)
+def _every_code(ops):
+    """Each operation refused with the next code of the closed list; one in a round has a code outside of it, which is left without status."""
+    names = F.array(*[F.lit(c) for c, _, _ in K.FAILURES], F.lit("no_such_code"))
+    rejected = ops.withColumns(
+        {
+            "reason": F.element_at(names, (F.col("arrival") % (len(K.FAILURES) + 1) + 1).cast("int")), "scopes": F.array(F.lit("vault:read")),
+            "current_epoch": F.lit(EPOCH), "current_rev": F.lit(1).cast("long"), "current_hash": F.col("payload_hash"), "current_deleted": F.lit(False),
+            "current_renamed_to": F.lit(None).cast("string"), "current_content": F.lit(None).cast("string"),
+        }
+    )
+    explained = explain_failures(rejected).filter("status IS NOT NULL")
+    return explained.select("vault_id", "arrival", "reason", "status", "message", "detail_hash")
+
+
 @AREA.add(
     "p22_redact_details", "requests", "notes",
     sql="""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import collection as C
+from ..operators import device as D
+from ..operators import exports as X
 from ..operators import lifecycle as L
 from ..session import written_table
 from .catalog import Area
@@ -115,3 +117,21 @@ def _counters(revisions, receipts, changes):
     counters = L.merge_counters(counters, L.counter_changes(added=part(2)))
     counters = L.merge_counters(counters, L.counter_changes(added=part(0)))
     return L.pressure_of(counters)
+
+
+@AREA.add("o11_apply_order", "feed", sql="SELECT device_id, vault_id, seq, path, row_number() OVER (PARTITION BY device_id, vault_id ORDER BY seq) AS place FROM feed")
+def _apply_order(feed):
+    return D.apply_order(feed).select("device_id", "vault_id", "seq", "path", "place")
+
+
+@AREA.add("o11_mark_order", "inventory", sql="SELECT vault_id, hash, size, row_number() OVER (PARTITION BY vault_id ORDER BY hash) AS place FROM inventory")
+def _mark_order(inventory):
+    return C.mark_order(inventory)
+
+
+@AREA.add(
+    "o11_export_order", "exports",
+    sql="SELECT vault_id, export_id, created_at, row_number() OVER (PARTITION BY vault_id ORDER BY created_at, export_id) AS place FROM exports WHERE status IN ('queued', 'uploading')",
+)
+def _export_order(exports):
+    return X.active_exports(exports).select("vault_id", "export_id", "created_at", "place")

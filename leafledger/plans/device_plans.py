@@ -423,11 +423,13 @@ def _recovery(pages, labels):
   c_custkey % 13 <> 0 AS connected, c_custkey % 5 = 0 AS active, c_custkey % 6 = 0 AS failed, CASE WHEN c_custkey % 2 = 0 THEN 9 ELSE 8 END AS cursor FROM customer""",
         "n": "SELECT device_id, vault_id, count(*) AS open_ops FROM queue WHERE state <> 'resolved' GROUP BY ALL",
         "a": "SELECT device_id, vault_id, count(*) AS attention_items FROM feed WHERE op = 'delete' GROUP BY ALL",
+        "p": "SELECT concat('d', CAST(arrival % 200 AS STRING)) AS device_id, concat('v', CAST(arrival % 200 % 3 AS STRING)) AS vault_id, count(*) AS open_plans FROM queue WHERE op = 'rename' GROUP BY ALL",
+        "h": "SELECT concat('d', CAST(arrival % 300 AS STRING)) AS device_id, concat('v', CAST(arrival % 300 % 3 AS STRING)) AS vault_id, count(*) AS held_items FROM queue WHERE op = 'delete' GROUP BY ALL",
     },
     sql="""SELECT d.device_id, d.vault_id, CASE WHEN revoked THEN 'revoked' WHEN paused THEN 'paused' WHEN NOT connected THEN 'disconnected' WHEN a.attention_items > 0 THEN 'attention'
-  WHEN active THEN 'syncing' WHEN failed THEN 'pending' WHEN n.open_ops IS NULL AND cursor = 9 THEN 'settled' ELSE 'pending' END AS status,
-  coalesce(n.open_ops, 0) AS open_ops, coalesce(a.attention_items, 0) AS attention_items
-FROM devs d LEFT JOIN n ON d.device_id = n.device_id AND d.vault_id = n.vault_id LEFT JOIN a ON d.device_id = a.device_id AND d.vault_id = a.vault_id""",
+  WHEN active THEN 'syncing' WHEN failed THEN 'pending' WHEN n.open_ops IS NULL AND p.open_plans IS NULL AND h.held_items IS NULL AND cursor = 9 THEN 'settled' ELSE 'pending' END AS status,
+  coalesce(n.open_ops, 0) AS open_ops, coalesce(p.open_plans, 0) AS open_plans, coalesce(a.attention_items, 0) AS attention_items, coalesce(h.held_items, 0) AS held_items
+FROM devs d LEFT JOIN p ON d.device_id = p.device_id AND d.vault_id = p.vault_id LEFT JOIN h ON d.device_id = h.device_id AND d.vault_id = h.vault_id LEFT JOIN n ON d.device_id = n.device_id AND d.vault_id = n.vault_id LEFT JOIN a ON d.device_id = a.device_id AND d.vault_id = a.vault_id""",
 )
 def _status(customer, queue, feed):
     k = F.col("c_custkey")
@@ -437,9 +439,10 @@ def _status(customer, queue, feed):
         F.lit(EPOCH).alias("epoch"), F.when(k % 2 == 0, 9).otherwise(8).alias("cursor"),
     )
     heads = customer.select(F.concat(F.lit("v"), k % 3).alias("vault_id")).distinct().withColumns({"head_epoch": F.lit(EPOCH), "head_seq": F.lit(9)})
-    none = feed.limit(0)
-    out = D.device_status(devices, queue, none, feed.filter("op = 'delete'"), none, heads)
-    return out.select("device_id", "vault_id", "status", "open_ops", "attention_items")
+    dealt = lambda op, n: queue.filter(F.col("op") == op).select(
+        F.concat(F.lit("d"), F.col("arrival") % n).alias("device_id"), F.concat(F.lit("v"), F.col("arrival") % n % 3).alias("vault_id")
+    )
+    return D.device_status(devices, queue, dealt("rename", 200), feed.filter("op = 'delete'"), dealt("delete", 300), heads)
 
 
 def _burst_sql(gap: int) -> str:

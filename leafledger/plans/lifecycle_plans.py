@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import blobs as B
 from ..operators import exports as X
 from ..operators import lifecycle as L
@@ -56,6 +57,23 @@ UNION ALL SELECT vault_id, blob_hash, size, at_ms FROM revisions WHERE blob_hash
 }
 
 
+_ATTENTION = f"""concat_ws(',', CASE WHEN store_bytes >= {K.DATABASE_ALERT_BYTES} THEN 'storage_high' END,
+  CASE WHEN store_bytes >= {K.DATABASE_LIMIT_BYTES} OR live_files >= {K.LIVE_FILE_LIMIT} THEN 'capacity_exceeded' END,
+  CASE WHEN reduced THEN 'history_reduced' END, CASE WHEN blob_bytes >= {K.BLOB_ALERT_BYTES} THEN 'blob_storage_high' END)"""
+
+
+@AREA.add(
+    "a6_attention_codes", "notes",
+    steps={"scaled": "SELECT vault_id, path, size * 700000 AS store_bytes, seq * 20 AS live_files, size * 1500000 AS blob_bytes, seq % 3 = 0 AS reduced FROM notes"},
+    sql=f"SELECT vault_id, path, {_ATTENTION} AS attention FROM scaled",
+)
+def _attention(notes):
+    """Every note stands for a vault of many times its size, so that all codes and thresholds occur."""
+    scaled = notes.select("vault_id", "path", (F.col("size") * 700_000).alias("store_bytes"), (F.col("seq") * 20).alias("live_files"),
+                          (F.col("size") * 1_500_000).alias("blob_bytes"), (F.col("seq") % 3 == 0).alias("reduced"))
+    return scaled.select("vault_id", "path", F.array_join(L.capacity_attention(F.col("reduced")), ",").alias("attention"))
+
+
 @AREA.add("s11_blob_registry", "notes", "revisions", steps=_REGISTRY, sql="SELECT * FROM registry")
 def _registry(notes, revisions):
     return L.blob_refs(notes, revisions)
@@ -63,7 +81,7 @@ def _registry(notes, revisions):
 
 @AREA.add(
     "a4_a6_capacity_report", "notes", "revisions", steps=_REGISTRY,
-    sql="""SELECT n.vault_id, n.live_files, n.store_bytes, b.blob_bytes, CASE WHEN n.live_files >= 10000 THEN 'capacity_exceeded' ELSE '' END AS attention
+    sql=f"""SELECT n.vault_id, n.live_files, n.store_bytes, b.blob_bytes, {_ATTENTION.replace('reduced', 'false')} AS attention
 FROM (SELECT vault_id, count(*) AS live_files, CAST(sum(CASE WHEN kind = 'text' THEN size ELSE 0 END) AS BIGINT) AS store_bytes FROM notes WHERE NOT deleted GROUP BY vault_id) n
 JOIN (SELECT vault_id, CAST(sum(size) AS BIGINT) AS blob_bytes FROM registry GROUP BY vault_id) b ON n.vault_id = b.vault_id""",
 )

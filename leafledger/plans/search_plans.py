@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.unicode import fold
 from ..operators import search as S
+from ..session import shared_path
+from ..streaming.tiers import add_run, read_index
 from .bridge import EPOCH
 from .catalog import Area
 
@@ -103,3 +105,23 @@ def _update(notes):
     )
     postings = S.update_postings(S.build_postings(S.indexed_notes(notes)), changed, after)
     return postings.groupBy("vault_id", "path").agg(F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("tf"))
+
+
+@AREA.add(
+    "t26_tiered_index", "notes",
+    steps={
+        "after_": """SELECT vault_id, path, CASE WHEN seq % 6 < 2 THEN concat(content, ' changed') ELSE content END AS content, deleted OR seq % 12 = 5 AS deleted, kind FROM notes""",
+        "folded": "SELECT vault_id, path, strip_accents(lower(content)) AS f FROM after_ WHERE NOT deleted AND kind = 'text' AND lower(path) LIKE '%.md'",
+    },
+    sql="""SELECT vault_id, path, CAST(count(DISTINCT gram) AS BIGINT) AS grams, CAST(count(*) AS BIGINT) AS tf FROM (
+  SELECT vault_id, path, unnest(list_concat(regexp_extract_all(f, '(?s)...'), regexp_extract_all(substr(f, 2), '(?s)...'), regexp_extract_all(substr(f, 3), '(?s)...'))) AS gram FROM folded) t GROUP BY vault_id, path""",
+)
+def _tiered(notes):
+    """Nine batches in tiers of three: six of new notes, then two of changed and one of deleted ones."""
+    root = shared_path(notes.sparkSession, "tiered-index")
+    part = lambda k: notes.filter(F.col("seq") % 6 == k)
+    changed = lambda rows: rows.withColumn("content", F.concat("content", F.lit(" changed")))
+    gone = notes.filter(F.col("seq") % 12 == 5).withColumn("deleted", F.lit(True))
+    for number, rows in enumerate([*[part(k) for k in range(6)], changed(part(0)), changed(part(1)), gone]):
+        add_run(root, number, S.build_postings(S.indexed_notes(rows)), rows, fan=3)
+    return read_index(notes.sparkSession, root).groupBy("vault_id", "path").agg(F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("tf"))

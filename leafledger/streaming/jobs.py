@@ -13,6 +13,7 @@ from ..operators import apply as A
 from ..operators import search as S
 from ..session import cut_lineage, neighbour
 from .store import newest, read_before, read_state, write_batch
+from .tiers import FAN, add_run, read_index
 
 # ---- conditional apply -------------------------------------------------------
 
@@ -168,24 +169,22 @@ def read_metrics(spark: SparkSession, root: str) -> DataFrame:
 # ---- search index --------------------------------------------------------------
 
 
-def postings_stream(changed: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps postings current: per batch, new postings of changed paths and the paths themselves.
+def postings_stream(changed: DataFrame, root: str, checkpoint: str, fan: int = FAN) -> DataStreamWriter:
+    """Keeps a tiered index of postings current: per batch, new postings of changed paths and the paths themselves.
 
     ``changed`` carries the new current row of each path (columns of ``files``)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("vault_id", "path").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("vault_id", "path")]), "rev").alias("s"))
         rows = cut_lineage(last.select("vault_id", "path", "s.*"))
-        write_batch(S.build_postings(S.indexed_notes(rows)), root, "postings", batch_id)
-        write_batch(rows.select("vault_id", "path"), root, "touched", batch_id)
+        add_run(root, batch_id, S.build_postings(S.indexed_notes(rows)), rows.select("vault_id", "path"), fan)
 
     return changed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def read_postings(spark: SparkSession, root: str) -> DataFrame:
     """Postings in force: those of the last batch that touched their path."""
-    touched = read_before(spark, root, "touched", 2**62).groupBy("vault_id", "path").agg(F.max("batch").alias("batch"))
-    return read_before(spark, root, "postings", 2**62).join(touched, ["vault_id", "path", "batch"], "left_semi").drop("batch")
+    return read_index(spark, root)
 
 
 # ---- debounce -------------------------------------------------------------------
