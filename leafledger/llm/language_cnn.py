@@ -3,7 +3,7 @@
 Texts are cut into windows of ``WINDOW`` bytes (the last one padded with zero bytes). A filter's weight for
 (place, byte) is a table entry, so a filter's response is a sum of table rows; the maximum over a window
 goes to one dense layer. A document's prediction is the mean log probability over all its windows. The fit
-runs in one task over at most ``FIT_DOCS`` labelled documents of at most ``FIT_BYTES`` bytes; rows held out
+runs in one task over at most ``FIT_DOCS`` labelled documents, of each at most ``FIT_WINDOWS`` windows; rows held out
 or without ``lang`` are never learned from, and only ``text`` is an input of a prediction.
 
 NULL text and text without a letter give ``und`` with score 0, and so does every text if nothing could be
@@ -28,7 +28,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 FIT_DOCS = 2_000
-FIT_BYTES = 50_000
+FIT_WINDOWS = 196  # of one document
 _WORD = re.compile(r"[^\W\d_]")
 
 
@@ -44,6 +44,15 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(padded, np.uint8).reshape(-1, WINDOW), counts
 
 
+def spread_windows(text: bytes, most: int = FIT_WINDOWS) -> bytes:
+    """At most ``most`` windows of a text, spread evenly from its beginning to its end; a shorter text as it is."""
+    count = -(-len(text) // WINDOW)
+    if count <= most:
+        return text
+    starts = np.linspace(0, count - 1, most).round().astype(int) * WINDOW
+    return b"".join(text[a : a + WINDOW] for a in starts.tolist())
+
+
 def _responses(windows: np.ndarray, tables: list[np.ndarray], where: bool = False):
     """Largest response per window and filter, and its place if ``where``."""
     best, places = [], []
@@ -128,17 +137,29 @@ def _unpack(row: dict) -> dict:
     return {"names": names, "tables": arrays[:-2], "dense": arrays[-2], "bias": arrays[-1]}
 
 
-def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, folds: int = FOLDS) -> dict | None:
-    """The network's weights (tens of kilobytes); None if no row can be learned from."""
-    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != 0))
-    known = known.filter(F.octet_length("text").between(1, FIT_BYTES))
+def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, folds: int = FOLDS, fit_windows: int = FIT_WINDOWS) -> dict | None:
+    """The network's weights (tens of kilobytes); None if no row can be learned from.
+
+    ``fit_docs`` documents of any length are seen, of each at most ``fit_windows`` windows spread over the whole text. Of several rows
+    with one id the smallest language and text count.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != 0))
+    known = known.filter(F.octet_length("text") > 0)
     chosen = bounded_sample(known, "doc_id", fit_docs)
-    rows = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+
+    def cut(batches):
+        for batch in slices(batches, "text"):
+            kept = [spread_windows(t, fit_windows) for t in byte_texts(batch.column("text"))]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.binary()))
+
+    # Windows are cut where the texts are, so only they are moved.
+    windows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, text binary")
+    rows = windows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
 
     def train(batches):
         found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
         if found:
-            packed = _pack(fit_network([r["text"].encode() for r in found], [r["lang"] for r in found]))
+            packed = _pack(fit_network([bytes(r["text"]) for r in found], [r["lang"] for r in found]))
             yield pa.RecordBatch.from_pylist([packed], pa.schema([("names", pa.string()), ("weights", pa.binary())]))
 
     row = rows.repartition(1).mapInArrow(train, "names string, weights binary").first()

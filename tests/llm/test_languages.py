@@ -35,3 +35,19 @@ def test_only_letters_are_letters(spark, documents):
     packed = language_cnn.fit_languages(documents)
     found = {r.doc_id: r.lang_pred for r in language_cnn.predict_languages(rows, packed).collect()}
     assert {k for k, v in found.items() if v == "und"} == {k for k, t in signs.items() if not any(c.isalpha() for c in t)} == {1, 2, 5, 6}
+
+
+def test_a_corpus_of_very_long_texts_is_learned_from(spark, documents):
+    long = documents.filter("length(text) > 200").selectExpr("doc_id", "lang", "repeat(concat(text, ' '), cast(ceil(70000 / length(text)) AS int)) AS text")
+    rows = language_cnn.identify_languages(long).collect()
+    lang = {r.doc_id: r.lang for r in long.select("doc_id", "lang").collect()}
+    assert len(rows) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in rows) > 0.95 * len(rows)
+
+
+def test_windows_are_spread_over_the_whole_text():
+    text = b"".join(bytes([k % 251]) * language_cnn.WINDOW for k in range(40_000)) + b"end"
+    cut = language_cnn.spread_windows(text, 100)
+    assert len(text) > 10_000_000 and cut.startswith(text[:256]) and cut.endswith(b"end") and len(cut) == 99 * 256 + 3
+    assert language_cnn.spread_windows(b"short") == b"short" and language_cnn.spread_windows(b"") == b""
+    places = [text.index(cut[k * 256 : (k + 1) * 256]) for k in range(99)]
+    assert len(places) == 99
