@@ -12,11 +12,12 @@ pair always keeps a common one). A set with fewer than slack + 1 segments that o
 partner. Sets too unevenly filled for that (no slack) also index every element by itself, the
 finest partition.
 
-Equal sets are one class from the start. Classes that share a kept segment are verified against one leader
-per segment first. Where that leaves a segment with several components, the classes around it are
-counted against each other in tiles of bounded size: a pair must agree in all but H of its filled
-segments to be verified, whether kept or left out. What one component holds already is not tested again.
-Shingles are 64-bit hashes.
+Equal sets are one class from the start. Every kept segment has a leader, its smallest class. Each class is first
+verified against one of its leaders, then against those that this has left in other components. Where a leader
+still has members elsewhere, the classes around it are counted against each other in tiles of bounded size: a pair
+must agree in all but H of its filled segments to be verified, whether kept or left out. What one component
+holds already is not tested again. Shingles are 64-bit hashes; segments travel as 40 bits beside their bucket,
+and two that fall together only add a pair to verify.
 
 NULL text and text without words have no shingles and link with nothing; fewer than five words are one
 shingle. Rows with equal ids share the component of the first of their classes; NULL ids are kept with a
@@ -29,13 +30,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.apply import label_components
-from ..session import cut_lineage
 from .common import byte_texts, slices, stored
 
 WORDS = 5
@@ -43,6 +44,7 @@ TILE_ENTRIES = 200_000
 SLICE = 3 << 20
 BATCH_ROWS = 500  # rows of an Arrow batch that carries whole texts or sets
 VERIFY_ROWS = 100  # rows of one that carries two whole sets
+KEY_BYTES = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,6 +124,27 @@ def views_of(values: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The low 40 bits of every key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return wide.view("<u8").reshape(-1)
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest one needs; the length tells how many."""
+    top = int(numbers.max(initial=0))
+    return numbers.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def widen(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // max(count, 1) or 1}").astype(np.int64)
+
+
 SIGN_SCHEMA = "bucket int, batch long, keys binary, owners binary, views binary, ids array<long>, sizes array<long>"
 _VIEW = np.dtype([("set", "<i8"), ("slack", "<i4"), ("space", "<i4"), ("size", "<i4"), ("filled", "<i4")])
 
@@ -158,17 +181,17 @@ def _sign(buckets: int):
                 place = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(place, kind="stable")
                 keys, owners, place = keys[order], owners[order], place[order]
-                owners = owners.astype("<u2" if len(views) < 1 << 16 else "<u4")
                 cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
                 for low, high in zip(cuts[:-1], cuts[1:]):
-                    rows.append((int(place[low]), uid, keys[low:high].tobytes(), owners[low:high].tobytes(), None, None, None))
+                    steps = np.diff(owners[low:high].astype(np.int64), prepend=0)  # owners rise within a bucket
+                    rows.append((int(place[low]), uid, pack_keys(keys[low:high]), narrow(steps), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
     return sign
 
 
-MATCH_SCHEMA = "batch long, keys binary, owners binary, counts binary, views binary, ids array<long>, sizes array<long>"
-_MATCH = pa.schema([("batch", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()),
+MATCH_SCHEMA = "batch long, bucket int, keys binary, owners binary, counts binary, views binary, ids array<long>, sizes array<long>"
+_MATCH = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()),
                     ("views", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
@@ -179,9 +202,9 @@ def _match(batches):
     def settle():
         if not held:
             return None
-        keys = np.concatenate([np.frombuffer(k, "<u8") for _, k, _ in held])
-        owners = np.concatenate([np.frombuffer(o, "<u2" if len(o) * 4 == len(k) else "<u4").astype("<u4") for _, k, o in held])
-        source = np.repeat(np.arange(len(held)), [len(k) // 8 for _, k, _ in held])
+        lengths = [len(k) // KEY_BYTES for _, k, _ in held]
+        keys = unpack_keys(b"".join(k for _, k, _ in held))
+        source = np.repeat(np.arange(len(held)), lengths)
         order = np.argsort(keys)
         ranked = keys[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -189,18 +212,20 @@ def _match(batches):
         counts[order] = np.repeat(np.diff(np.concatenate([first, [len(keys)]])), np.diff(np.concatenate([first, [len(keys)]])))
         shared = counts > 1
         rows = []
-        for at, (uid, _, _) in enumerate(held):
+        for at, (uid, _, steps) in enumerate(held):
             low, high = np.searchsorted(source, [at, at + 1])
             own = shared[low:high]
             if own.any():
-                rows.append((uid, keys[low:high][own].tobytes(), owners[low:high][own].tobytes(), counts[low:high][own].tobytes(), None, None, None))
+                owners = np.cumsum(widen(steps, lengths[at]))[own]
+                times = np.minimum(counts[low:high][own], 65_535)  # only their order counts, the same for all
+                rows.append((uid, current, pack_keys(keys[low:high][own]), narrow(np.diff(owners, prepend=0)), narrow(times), None, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MATCH)], schema=_MATCH) if rows else None
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["ids"] is not None:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], f.type) for v, f in zip((row["batch"], b"", b"", b"", row["views"], row["ids"], row["sizes"]), _MATCH)], schema=_MATCH
+                    [pa.array([v], f.type) for v, f in zip((row["batch"], None, b"", b"", b"", row["views"], row["ids"], row["sizes"]), _MATCH)], schema=_MATCH
                 )
                 continue
             if row["bucket"] != current:
@@ -214,31 +239,32 @@ def _match(batches):
         yield found
 
 
-KEPT_SCHEMA = "kind int, doc_id long, n_shingles long, own long, segment long, kept boolean, space int, filled int"
-_KEPT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("own", pa.int64()), ("segment", pa.int64()),
-                   ("kept", pa.bool_()), ("space", pa.int32()), ("filled", pa.int32())])
+KEPT_SCHEMA = "kind int, doc_id long, n_shingles long, own long, space int, filled int, spare int, segments array<long>"
+_KEPT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("own", pa.int64()), ("space", pa.int32()),
+                   ("filled", pa.int32()), ("spare", pa.int32()), ("segments", pa.list_(pa.int64()))])
 
 
 def _keep(batches):
-    """Per batch: its documents, and for every set that can have a partner its shared segments, the kept ones marked."""
+    """Per batch: its documents, and for every set that can have a partner its shared segments, the ``spare`` left-out ones first."""
     held, views, current = [], None, None
 
     def settle():
         if views is None or not held:
             return None
         keys, owners, counts = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((keys, -counts.astype(np.int64), owners))  # per set the most frequent first, the same order for all
+        order = np.lexsort((keys, -counts, owners))  # per set the most frequent first, the same order for all
         keys, owners = keys[order], owners[order]
-        first, last = np.searchsorted(owners, owners), np.searchsorted(owners, owners, side="right")
-        slack = np.maximum(views["slack"][owners], 0)
-        able = last - first > slack  # with fewer shared segments no partner is possible
+        found, lengths = np.unique(owners, return_counts=True)
+        spare = np.maximum(views["slack"][found], 0)
+        able = lengths > spare  # with fewer shared segments no partner is possible
         if not able.any():
             return None
-        kept = (np.arange(len(owners)) - first >= slack)[able]
-        keys, view, n = keys[able], views[owners[able]], int(able.sum())
-        columns = [np.ones(n, np.int32), None, view["size"].astype(np.int64), view["set"].astype(np.int64), keys.view(np.int64), kept,
-                   view["space"].astype(np.int32), view["filled"].astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for c, f in zip(columns, _KEPT)], schema=_KEPT)
+        view, n = views[found[able]], int(able.sum())
+        ends = np.cumsum(lengths[able])
+        segments = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys[np.repeat(able, lengths)].view(np.int64)))
+        columns = [np.ones(n, np.int32), pa.nulls(n, pa.int64()), view["size"].astype(np.int64), view["set"].astype(np.int64), view["space"].astype(np.int32),
+                   view["filled"].astype(np.int32), spare[able].astype(np.int32), segments]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _KEPT)], schema=_KEPT)
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -253,7 +279,9 @@ def _keep(batches):
                 columns = [np.zeros(n, np.int32), row["ids"][:n], sizes, row["ids"][n:]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEPT)] + [pa.nulls(n, f.type) for f in list(_KEPT)[4:]], schema=_KEPT)
             else:
-                held.append((np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["owners"], "<u4"), np.frombuffer(row["counts"], "<u4")))
+                keys = unpack_keys(row["keys"])
+                place = np.uint64(row["bucket"] << 8 * KEY_BYTES)
+                held.append((keys | place, np.cumsum(widen(row["owners"], len(keys))), widen(row["counts"], len(keys))))
     found = settle()
     if found:
         yield found
@@ -316,7 +344,7 @@ def _short_batches(spark, rows: int):
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among the pairs, written down."""
     with _short_batches(pairs.sparkSession, VERIFY_ROWS):
-        return cut_lineage(_verify(pairs, sets))
+        return stored(_verify(pairs, sets), "ngram-links")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -324,11 +352,18 @@ def _components(links: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("own"), F.col("component").alias("part"))
 
 
-def _leader_pairs(groups: DataFrame) -> DataFrame:
-    """Every class of a segment with the segment's leader, the one with the smallest hash."""
-    lead = groups.groupBy("segment").agg(F.min_by("own", F.struct(F.xxhash64("own"), "own")).alias("lead"))
-    met = groups.join(lead, "segment").filter("own <> lead")
-    return met.select(F.greatest("own", "lead").alias("a"), F.least("own", "lead").alias("b")).distinct()
+def _leader_pairs(views: DataFrame) -> DataFrame:
+    """(a, b): every class with the leader, the smallest class, of each of its kept segments that has others."""
+    kept = views.select("own", F.explode(F.expr("slice(segments, spare + 1, size(segments))")).alias("segment"))
+    leads = kept.groupBy("segment").agg(F.min("own").alias("b"), F.max("own").alias("last")).filter("b <> last").drop("last")
+    return kept.join(leads, "segment").filter("own <> b").select(F.col("own").alias("a"), "b").distinct()
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    named = pairs.join(labels.select(F.col("own").alias("a"), F.col("part").alias("x")), "a", "left")
+    named = named.join(labels.select(F.col("own").alias("b"), F.col("part").alias("y")), "b", "left")
+    return named.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def _count_tile(batches):
@@ -337,7 +372,10 @@ def _count_tile(batches):
 
     def settle(rows):
         table, found = pa.Table.from_batches(rows), []
-        tile = {c: table.column(c).to_numpy() for c in ("space", "own", "n_shingles", "filled", "part", "block", "segment")}
+        lists = table.column("segments").combine_chunks()
+        times = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        tile = {c: np.repeat(table.column(c).to_numpy(), times) for c in ("space", "own", "n_shingles", "filled", "part", "block")}
+        tile["segment"] = lists.flatten().to_numpy()
         for space in np.unique(tile["space"]):
             part = {c: v[tile["space"] == space] for c, v in tile.items()}
             owns, at, firsts = np.unique(part["own"], return_index=True, return_inverse=True)
@@ -383,41 +421,41 @@ def _count_tile(batches):
             yield out
 
 
-def _tile_pairs(entries: DataFrame, open_groups: DataFrame, parts: int, tile_entries: int) -> DataFrame:
-    """Pairs to verify among the classes of segments that hold several components.
+def _tile_pairs(views: DataFrame, pairs: DataFrame, labels: DataFrame, parts: int, tile_entries: int) -> DataFrame:
+    """Pairs to verify among the classes around leaders that have members in other components.
 
-    Classes that such segments connect form a pool. A pool's classes are cut into blocks by hash, every
+    Classes that such leaders connect form a pool. A pool's classes are cut into blocks by hash, every
     two blocks make a tile, and a tile holds about two blocks' entries of ``tile_entries``.
     """
-    least = open_groups.groupBy("segment").agg(F.min("own").alias("b"))
-    ties = open_groups.join(least, "segment").filter("own <> b").select(F.col("own").alias("a"), "b").distinct()
-    pools = _components(ties).withColumnRenamed("part", "pool")
-    labels = open_groups.select("own", "part").distinct()
-    around = cut_lineage(entries.join(labels, "own").join(pools, "own"))
-    sizes = around.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / tile_entries).cast("int").alias("blocks"))
-    around = around.join(sizes, "pool").withColumn("block", F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int"))
+    leads = stored(_across(pairs, labels).select("b").distinct(), "ngram-leads")
+    pools = _components(pairs.join(leads, "b", "left_semi")).withColumnRenamed("part", "pool")
+    around = stored(pools.join(labels, "own", "left").select("own", "pool", F.coalesce("part", "own").alias("part")), "ngram-pools")
+    around = stored(views.join(around, "own").dropDuplicates(["own", "space"]), "ngram-around")
+    # Only pools of several blocks are named here: at most as many as there are tiles of entries.
+    blocks = F.ceil(F.sum(F.size("segments")) / tile_entries).cast("int")
+    sizes = stored(around.groupBy("pool").agg(blocks.alias("blocks")).filter("blocks > 1"), "ngram-blocks")
+    around = around.join(sizes, "pool", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    around = around.withColumn("block", F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int"))
     tiled = around.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("pool", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "own", "part", "block", "n_shingles", "space", "filled", "segment")
+    tiled = tiled.select("pool", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "own", "part", "block", "n_shingles", "space", "filled", "segments")
     dealt = tiled.repartition(parts, "pool", "low", "high").sortWithinPartitions("pool", "low", "high")
     return dealt.mapInArrow(_count_tile, "a long, b long").distinct()
 
 
-def link_classes(docs: DataFrame, entries: DataFrame, heads: DataFrame, parts: int, tile_entries: int = TILE_ENTRIES) -> DataFrame:
-    """(own, part) for classes linked with others; ``entries`` are the shared segments of classes that can have a partner."""
-    kept = entries.filter("kept").select("segment", "own")
-    shared = kept.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("segment")
-    groups = cut_lineage(kept.join(shared, "segment"))
-    wanted = groups.select("own").distinct().join(heads, "own").select("own", "doc_id")
+def link_classes(docs: DataFrame, views: DataFrame, heads: DataFrame, parts: int, tile_entries: int = TILE_ENTRIES) -> DataFrame:
+    """(own, part) for classes linked with others; ``views`` are the shared segments of classes that can have a partner."""
+    pairs = stored(_leader_pairs(views), "ngram-pairs")
+    wanted = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct().join(heads, "own").select("own", "doc_id")
     with _short_batches(docs.sparkSession, BATCH_ROWS):
         sets = stored(_sets_of(docs, wanted), "ngram-sets")
-    links = _verified(_leader_pairs(groups), sets)
-    labels = _components(links)
-    # Segments whose classes are all in one component need no further test.
-    named = groups.join(labels, "own", "left").withColumn("part", F.coalesce("part", "own"))
-    split = named.groupBy("segment").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("segment")
-    open_groups = cut_lineage(named.join(split, "segment").select("segment", "own", "part"))
-    pairs = cut_lineage(_tile_pairs(entries, open_groups, parts, tile_entries))
-    return _components(links.unionByName(_verified(pairs, sets)))
+    # One leader per class first: a large group of near copies is one component after it.
+    chosen = stored(pairs.groupBy("a").agg(F.min("b").alias("b")), "ngram-first")
+    links = _verified(chosen, sets)
+    rest = stored(_across(pairs, _components(links)).join(chosen, ["a", "b"], "left_anti"), "ngram-rest")
+    links = links.unionByName(_verified(rest, sets))
+    with _short_batches(docs.sparkSession, BATCH_ROWS):
+        tiled = stored(_tile_pairs(views, pairs, _components(links), parts, tile_entries), "ngram-tiled")
+    return _components(links.unionByName(_verified(tiled, sets)))
 
 
 def join_ngrams(docs: DataFrame, tile_entries: int = TILE_ENTRIES) -> DataFrame:
@@ -432,8 +470,8 @@ def join_ngrams(docs: DataFrame, tile_entries: int = TILE_ENTRIES) -> DataFrame:
         kept = stored(kept, "ngram-kept")
     documents = kept.filter("kind = 0").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("own")).alias("own"))
     heads = documents.filter("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("doc_id"))
-    entries = kept.filter("kind = 1").drop("kind", "doc_id").distinct()
-    labels = link_classes(rows, entries, heads, parts, tile_entries)
+    views = kept.filter("kind = 1").drop("kind", "doc_id")
+    labels = link_classes(rows, views, heads, parts, tile_entries)
     named = heads.join(labels, "own", "left")
     firsts = named.withColumn("part", F.coalesce("part", "own"))
     smallest = firsts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
