@@ -7,7 +7,7 @@ document draws the key ``-ln(u) / quality``, keys are sorted within the source,
 in that order until the budget is used up, the last one in part. ``u`` comes from the id's digest, so
 reruns agree.
 
-A source's keys are cut into slices of equal probability, so no window holds a whole source. NULL text
+A source's keys are cut into slices of about equal probability at any quality, so no window holds a whole source. NULL text
 has size 0; NULL ids share one draw; the NULL source is a source of its own and sorts last. Repeated rows
 are documents of their own. Extra columns stay out of the plan (``copies`` keeps the given ones).
 """
@@ -55,15 +55,22 @@ def source_targets(sizes: DataFrame, weights: list[int] = WEIGHTS, repeats: int
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, copies: list[str] | None = None, weights: list[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words the mix takes of it."""
-    copies = copies or []
-    words = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"),
-        quality_weight(F.col("text")).alias("quality"), draw(F.col("doc_id")).alias("u"), *[F.col(c).alias(f"_{c}") for c in copies],
-    )
-    words = words.withColumn("key", -F.log("u") / F.col("quality"))
-    narrow = cut_lineage(words)
+def mix_place(text: str, doc_id: str) -> list[Column]:
+    """``key``, ``id`` and ``size``: a document's place in the order of its source."""
+    key = -F.log(draw(F.col(doc_id))) / quality_weight(F.col(text))
+    return [key.alias("key"), F.col(doc_id).cast("long").alias("id"), word_count(F.col(text)).alias("size")]
+
+
+def _spread(key: Column) -> Column:
+    """Rises with the key from 0 to 1 and gives keys of every quality between 0.1 and 1 a fair part of the way: the mean of their distributions."""
+    rates = [0.1, 0.22, 0.46, 1.0]
+    return sum((1 - F.exp(-F.lit(r) * key) for r in rates), F.lit(0.0)) / len(rates)
+
+
+def _placed(docs: DataFrame, copies: list[str], weights: list[int], repeats: int) -> DataFrame:
+    """One row per document with its source's plan and ``part``, the words that the fractional selection takes of it."""
+    narrow = cut_lineage(docs.select(F.col("source").alias("source"), *mix_place("text", "doc_id"), *[F.col(c).alias(f"_{c}") for c in copies]))
+    narrow = narrow.withColumnRenamed("id", "doc_id")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = source_targets(sizes.select("source", "source_size"), weights, repeats).withColumn("goal", F.round("target").cast("long"))
     size = F.col("source_size")
@@ -74,22 +81,32 @@ def mix_sources(docs: DataFrame, copies: list[str] | None = None, weights: list[
     )
     plan = plan.join(sizes.select(F.col("source").alias("s2"), "rows"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     joined = narrow.join(plan, narrow["source"].eqNullSafe(plan["s"]), "left").drop("s")
-    # 1 - exp(-key) rises with the key and lies in (0, 1): equal steps of it are slices of the order.
     slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / SLICE_ROWS))
-    sliced = joined.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), slices - 1).cast("long"))
+    sliced = joined.withColumn("slice", F.least(F.floor(_spread(F.col("key")) * slices), slices - 1).cast("long"))
     totals = sliced.groupBy("source", "slice").agg(F.sum("size").alias("t"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("s"), F.col("slice").alias("k"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["s"]) & (placed["slice"] == offsets["k"]), "left")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("within")))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
+    return placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("within"))))
+
+
+def mix_sources(docs: DataFrame, copies: list[str] | None = None, weights: list[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """One row per document: its size, its source's size and target, and the words the mix takes of it."""
+    copies = copies or []
+    return _placed(docs, copies, weights, repeats).select(
+        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
         F.col("source"), *[f"_{c}" for c in copies],
     )
 
 
+def mix_cuts(docs: DataFrame, weights: list[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """The mix in one row per source: whole ``epochs`` and ``last``, the place (key, id, size) of the last document that the rest takes words of."""
+    place = F.when(F.col("part") > 0, F.struct("key", F.col("doc_id").alias("id"), "size"))
+    return _placed(docs, [], weights, repeats).groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(place).alias("last"))
+
+
 SQL = """
 WITH words AS (
   SELECT doc_id, source, text,
