@@ -72,57 +72,147 @@ def new_network(rng: np.random.Generator, head: np.ndarray) -> dict[str, np.ndar
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def run_window(net: dict, ids: np.ndarray, start: np.ndarray, state: np.ndarray, learn: bool = False):
+    """All steps of a window. States are (feature, lane), so that every gate is one block of memory.
+
+    ``ids`` and ``start`` are (step, lane). Returns the states after each step and, to learn from, those before it,
+    the gates, the fresh states and the carried parts of these.
+    """
+    steps, lanes = ids.shape
+    table, carry = np.ascontiguousarray(net["input"].T), np.ascontiguousarray(net["carry"].T)
+    states = np.empty((steps, HIDDEN, lanes), state.dtype)
+    before, gates = np.empty_like(states), np.empty((steps, 2 * HIDDEN, lanes), state.dtype)
+    fresh, parts = np.empty_like(states), np.empty_like(states)
+    begins, given = start.any(axis=1), np.empty((3 * HIDDEN, lanes), state.dtype)
+    for t in range(steps):
+        if begins[t]:
+            state = np.where(start[t], state.dtype.type(0), state)
+        before[t] = state
+        np.take(table, ids[t], axis=1, out=given, mode="clip")
+        carried = carry @ state
+        gate = np.add(given[: 2 * HIDDEN], carried[: 2 * HIDDEN], out=gates[t])
+        gate *= 0.5  # the logistic function by tanh
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        parts[t] = carried[2 * HIDDEN :]
+        new = np.multiply(gate[HIDDEN:], parts[t], out=fresh[t])
+        new += given[2 * HIDDEN :]
+        np.tanh(new, out=new)
+        state = np.subtract(state, new, out=states[t])
+        state *= gate[:HIDDEN]
+        state += new
+    return states, (before, gates, fresh, parts) if learn else None
 
 
 def step(net: dict, ids: np.ndarray, state: np.ndarray):
-    """One step of all lanes; also what backpropagation needs."""
-    given, carried = net["input"][ids], state @ net["carry"]
-    gates = _sigmoid(given[:, : 2 * HIDDEN] + carried[:, : 2 * HIDDEN])
-    update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    fresh = np.tanh(given[:, 2 * HIDDEN :] + reset * carried[:, 2 * HIDDEN :])
-    return fresh + update * (state - fresh), (update, reset, fresh, carried[:, 2 * HIDDEN :])
+    """One step of all lanes, with states as (lane, feature)."""
+    states, kept = run_window(net, ids[None], np.zeros((1, len(ids)), bool), np.ascontiguousarray(state.T), True)
+    return states[0].T, kept
+
+
+def _rows(states: np.ndarray) -> np.ndarray:
+    """(step, feature, lane) as rows of features, in the order of a flat (step, lane) grid."""
+    return states.transpose(0, 2, 1).reshape(-1, states.shape[1])
+
 
+def _softmax(scores: np.ndarray, goal: np.ndarray, peak: float):
+    """Log probability of each row's goal; ``scores`` become their exponentials, with the sums of their rows."""
+    if peak > 60:  # states lie between -1 and 1; below this exp cannot overflow
+        scores -= scores.max(axis=1, keepdims=True)
+    at = np.arange(len(goal)) * scores.shape[1] + goal
+    logp = scores.reshape(-1)[at]
+    np.exp(scores, out=scores)
+    total = scores @ np.ones(scores.shape[1], scores.dtype)
+    return logp - np.log(total), total, at
 
-def _largest(weights: np.ndarray, bias: np.ndarray) -> float:
-    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max())
+
+def _peak(weights: np.ndarray) -> float:
+    """The largest score that states between -1 and 1 can have."""
+    return float(np.abs(weights).sum(axis=-2).max())
 
 
 def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False):
-    """Natural log of P(class) times, for frequent words, P(word | class); gradients too if ``learn``."""
-    cls = np.where(goal < MODEL_WORDS, goal // CLASS_WORDS, goal - MODEL_WORDS + HEAD_CLASSES)
-    logits = states @ net["classes"] + net["class_bias"]
-    if _largest(net["classes"], net["class_bias"]) > 60:  # states lie between -1 and 1; below this exp cannot overflow
-        logits -= logits.max(axis=1, keepdims=True)
-    exp = np.exp(logits)
-    total = exp.sum(axis=1)
-    rows = np.arange(len(goal))
-    logp = logits[rows, cls] - np.log(total)
+    """Natural log of P(class) times, for frequent words, P(word | class); gradients too if ``learn``.
+
+    Rows are sorted by class, so that a class is one run of them; biases are weights of a feature that is always 1.
+    """
+    n, one = len(goal), np.ones((1, HEAD_CLASSES + TAIL_CLASSES), states.dtype)
+    cls = np.where(goal < MODEL_WORDS, goal // CLASS_WORDS, goal - MODEL_WORDS + HEAD_CLASSES).astype(np.int16)
+    order = np.argsort(cls, kind="stable")
+    cls, goal = cls[order], goal[order]
+    rows = np.ones((n, HIDDEN + 1), states.dtype)
+    rows[:, :HIDDEN] = states[order]
+    classes = np.concatenate([net["classes"], one * net["class_bias"]])
+    words = np.concatenate([net["words"], net["word_bias"][:, None]], axis=1)
+    cuts = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+    runs = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(cuts, cuts[1:])) if low < high]
+    exp = rows @ classes
+    logp, total, at = _softmax(exp, cls, _peak(classes))
+    within = np.empty((cuts[-1], CLASS_WORDS), states.dtype)
+    for c, run in runs:
+        np.matmul(rows[run], words[c], out=within[run])
+    word_logp, word_total, word_at = _softmax(within, goal[: cuts[-1]] % CLASS_WORDS, _peak(words))
+    logp[: cuts[-1]] += word_logp
     grads, back = {}, None
     if learn:
-        exp /= total[:, None]
-        exp[rows, cls] -= 1
-        grads = {"classes": states.T @ exp, "class_bias": exp.sum(axis=0), "words": np.zeros_like(net["words"]), "word_bias": np.zeros_like(net["word_bias"])}
-        back = exp @ net["classes"].T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at):
-            continue
-        part = states[at] @ net["words"][c] + net["word_bias"][c]
-        if _largest(net["words"][c], net["word_bias"][c]) > 60:
-            part -= part.max(axis=1, keepdims=True)
-        e = np.exp(part)
-        sums, own, mine = e.sum(axis=1), goal[at] % CLASS_WORDS, np.arange(len(at))
-        logp[at] += part[mine, own] - np.log(sums)
-        if learn:
-            e /= sums[:, None]
-            e[mine, own] -= 1
-            grads["words"][c], grads["word_bias"][c] = states[at].T @ e, e.sum(axis=0)
-            back[at] += e @ net["words"][c].T
-    return logp, grads, back
+        # Scores' gradients are exp / total, less 1 at the goal; the division is left to the narrow sides of the products.
+        exp.reshape(-1)[at] -= total
+        within.reshape(-1)[word_at] -= word_total
+        class_grad = (rows / total[:, None]).T @ exp
+        inner = (exp @ net["classes"].T) / total[:, None]
+        shares, word_grad = rows[: cuts[-1]] / word_total[:, None], np.zeros_like(words)
+        word_back = np.empty((cuts[-1], HIDDEN), states.dtype)
+        for c, run in runs:
+            np.matmul(shares[run].T, within[run], out=word_grad[c])
+            np.matmul(within[run], net["words"][c].T, out=word_back[run])
+        inner[: cuts[-1]] += word_back / word_total[:, None]
+        grads = {"classes": class_grad[:HIDDEN], "class_bias": class_grad[HIDDEN], "words": word_grad[:, :HIDDEN], "word_bias": word_grad[:, HIDDEN]}
+        back = np.empty_like(inner)
+        back[order] = inner
+    unsorted = np.empty_like(logp)
+    unsorted[order] = logp
+    return unsorted, grads, back
+
+
+def window_gradients(net: dict, given: np.ndarray, goal: np.ndarray, start: np.ndarray, state: np.ndarray):
+    """Gradients of the summed loss over a window's live tokens, their number and the last states."""
+    steps, lanes = given.shape
+    states, (before, gates, fresh, parts) = run_window(net, given, start, state, True)
+    flat = goal.reshape(-1)
+    live = np.flatnonzero(flat >= 0)
+    _, grads, back_live = output(net, _rows(states)[live], flat[live], True)
+    back = np.zeros((steps * lanes, HIDDEN), states.dtype)
+    back[live] = back_live
+    back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+    update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    to_fresh = (1 - update) * (1 - fresh * fresh)
+    to_update = (before - fresh) * update * (1 - update)
+    to_reset = parts * reset * (1 - reset)
+    inputs, fresh_part = np.empty((steps, 3 * HIDDEN, lanes), states.dtype), np.empty_like(states)
+    carry, follow, begins = net["carry"], np.zeros((HIDDEN, lanes), states.dtype), start.any(axis=1)
+    for t in range(steps - 1, -1, -1):
+        d = back[t]
+        d += follow
+        into = inputs[t]
+        np.multiply(d, to_update[t], out=into[:HIDDEN])
+        d_fresh = np.multiply(d, to_fresh[t], out=fresh_part[t])
+        np.multiply(d_fresh, to_reset[t], out=into[HIDDEN : 2 * HIDDEN])
+        np.multiply(d_fresh, reset[t], out=into[2 * HIDDEN :])
+        follow = carry @ into
+        d *= update[t]
+        follow += d
+        if begins[t]:
+            follow[:, start[t]] = 0
+    grads["carry"] = np.matmul(before, inputs.transpose(0, 2, 1)).sum(axis=0)
+    inputs[:, 2 * HIDDEN :] = fresh_part
+    words = given.reshape(-1).astype(np.int16)
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    grads["input"] = np.zeros_like(net["input"])
+    grads["input"][words[cut]] = np.add.reduceat(_rows(inputs)[order], cut, axis=0)
+    return grads, len(live), states[-1]
 
 
 def lanes_of(lengths: list[int], lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,59 +251,34 @@ def train_network(
     Goes on from ``net`` after ``done`` steps. Returns the weights, the tokens seen and the steps made.
     """
     rng = np.random.default_rng(11)
-    net = {k: v.copy() for k, v in net.items()}
-    first, second, count, tokens = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}, 0, 0
+    # All weights are views of one vector, so that an update is a few passes over it.
+    weights, ends = np.concatenate([v.reshape(-1) for v in net.values()]), np.cumsum([v.size for v in net.values()])
+    net = {k: part.reshape(v.shape) for (k, v), part in zip(net.items(), np.split(weights, ends[:-1]))}
+    first, second, moved, count, tokens = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), 0, 0
     for streams in (part for whole in slices_of_streams for part in repeat(whole, epochs)):
         sizes = [len(s) for s in streams]
         tokens += sum(sizes)
         # No more lanes than fill up beside the longest document: a grid holds at most about twice its tokens.
         width = min(lanes, -(-sum(sizes) // max(sizes)))
         goal, given, start, _ = _grid([streams[k] for k in rng.permutation(len(streams))], width, end)
-        state = np.zeros((goal.shape[1], HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, goal.shape[1]), weights.dtype)
         for low in range(0, len(goal), WINDOW):
             high = min(low + WINDOW, len(goal))
             busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
-            state = state[:busy]
-            states, kept, before = [], [], []
-            for t in range(low, high):
-                state = np.where(start[t, :busy, None], np.float32(0), state)
-                before.append(state)
-                state, parts = step(net, given[t, :busy], state)
-                states.append(state)
-                kept.append(parts)
-            flat = goal[low:high, :busy].reshape(-1)
-            live = flat >= 0
-            hidden = np.concatenate(states)
-            logp, grads, back_live = output(net, hidden[live], flat[live], True)
-            back = np.zeros_like(hidden)
-            back[live] = back_live
-            back = back.reshape(high - low, -1, HIDDEN)
-            carry_grad, inputs, follow = np.zeros_like(net["carry"]), [], np.zeros_like(state)
-            for t in range(high - low - 1, -1, -1):
-                update, reset, fresh, carried = kept[t]
-                d = back[t] + follow
-                d_fresh = d * (1 - update) * (1 - fresh * fresh)
-                d_update = d * (before[t] - fresh) * update * (1 - update)
-                d_reset = d_fresh * carried * reset * (1 - reset)
-                d_carried = np.concatenate([d_update, d_reset, d_fresh * reset], axis=1)
-                inputs.append(np.concatenate([d_update, d_reset, d_fresh], axis=1))
-                carry_grad += before[t].T @ d_carried
-                follow = d * update + d_carried @ net["carry"].T
-                follow[start[low + t, :busy]] = 0
-            rows, sums = given[low:high, :busy].reshape(-1), np.concatenate(inputs[::-1])
-            order = np.argsort(rows, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
-            grads["input"] = np.zeros_like(net["input"])
-            grads["input"][rows[order][cut]] = np.add.reduceat(sums[order], cut, axis=0)
-            grads["carry"] = carry_grad
+            found, live, state = window_gradients(net, given[low:high, :busy], goal[low:high, :busy], start[low:high, :busy], state[:, :busy])
             count += 1
-            pace = rate / (1 + 0.003 * (done + count))
-            for k, g in grads.items():
-                g = np.clip(g / max(live.sum(), 1), -1, 1)
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                net[k] -= pace * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.99**count)) + 1e-7)
-    return net, tokens, count
+            g = np.concatenate([found[k].reshape(-1) for k in net])
+            g /= max(live, 1)
+            np.clip(g, -1, 1, out=g)
+            first += 0.1 * (g - first)
+            second += 0.01 * (g * g - second)
+            np.divide(second, 1 - 0.99**count, out=moved)
+            np.sqrt(moved, out=moved)
+            moved += 1e-7
+            np.divide(first, moved, out=moved)
+            moved *= rate / (1 + 0.003 * (done + count)) / (1 - 0.9**count)
+            weights -= moved
+    return {k: v.copy() for k, v in net.items()}, tokens, count
 
 
 def score_streams(net: dict, streams: list[np.ndarray], end: int, lanes: int = 256) -> np.ndarray:
@@ -222,20 +287,15 @@ def score_streams(net: dict, streams: list[np.ndarray], end: int, lanes: int = 2
     if not streams:
         return sums
     goal, given, start, owner = _grid(streams, lanes, end)
-    state = np.zeros((goal.shape[1], HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, goal.shape[1]), np.float32)
     for low in range(0, len(goal), WINDOW):
         high = min(low + WINDOW, len(goal))
         busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
-        state = state[:busy]
-        states = np.empty((high - low, busy, HIDDEN), np.float32)
-        for t in range(low, high):
-            if start[t, :busy].any():
-                state = np.where(start[t, :busy, None], np.float32(0), state)
-            state, _ = step(net, given[t, :busy], state)
-            states[t - low] = state
+        states, _ = run_window(net, given[low:high, :busy], start[low:high, :busy], state[:, :busy])
+        state = states[-1]
         flat = goal[low:high, :busy].reshape(-1)
-        live = flat >= 0
-        logp, _, _ = output(net, states.reshape(-1, HIDDEN)[live], flat[live])
+        live = np.flatnonzero(flat >= 0)
+        logp, _, _ = output(net, _rows(states)[live], flat[live])
         sums += np.bincount(owner[low:high, :busy].reshape(-1)[live], logp, minlength=len(streams))
     return sums
 

@@ -119,3 +119,31 @@ def test_gradients_by_differences():
             high, low = (value, None) if sign == 1 else (high, value)  # noqa: F821
         net[name][at] += 1e-5
         assert (high - low) / 2e-5 == pytest.approx(grads[name][at], rel=1e-3)
+
+
+def test_gradients_through_time_by_differences():
+    """All weights, over a window with documents that begin within it and lanes that are empty."""
+    rng = np.random.default_rng(9)
+    net = {k: v.astype(np.float64) * 3 for k, v in gru_lm.new_network(rng, np.ones(gru_lm.MODEL_WORDS)).items()}
+    given, goal = rng.integers(0, gru_lm.MODEL_WORDS + gru_lm.TAIL_CLASSES, (2, 6, 3)).astype(np.int32)
+    goal[4:, 2] = -1
+    start = np.zeros((6, 3), bool)
+    start[0], start[3, 1] = True, True
+    state = rng.normal(0, 0.5, (gru_lm.HIDDEN, 3))
+
+    def loss():
+        states, _ = gru_lm.run_window(net, given, start, state)
+        live = goal.reshape(-1) >= 0
+        return -gru_lm.output(net, gru_lm._rows(states)[live], goal.reshape(-1)[live])[0].sum()
+
+    grads, live, _ = gru_lm.window_gradients(net, given, goal, start, state)
+    assert live == 16 and set(grads) == set(net)
+    for name, weights in net.items():
+        for at in zip(*(axis[::7][:4] for axis in np.nonzero(np.abs(grads[name]) > 1e-3))):
+            kept = weights[at]
+            weights[at] = kept + 1e-5
+            high = loss()
+            weights[at] = kept - 1e-5
+            low = loss()
+            weights[at] = kept
+            assert (high - low) / 2e-5 == pytest.approx(grads[name][at], rel=1e-3, abs=1e-6), name
