@@ -14,9 +14,9 @@ finest partition.
 
 Equal sets are one class from the start. Every kept segment has a leader, its smallest class. Each class is first
 verified against one of its leaders, then against those that this has left in other components. Where a leader
-still has members elsewhere, the classes around it are counted against each other in tiles of bounded size: a pair
-must agree in all but H of its filled segments to be verified, whether kept or left out. What one component
-holds already is not tested again. Shingles are 64-bit hashes; segments travel as 40 bits beside their bucket,
+still has members elsewhere, the classes around it meet in tiles of bounded size, which hold their segments and
+their sets: a pair that agrees in all but H of its filled segments, whether kept or left out, is verified there,
+and only links that join two components leave a tile. What one component holds already is not tested again. Shingles are 64-bit hashes; segments travel as 40 bits beside their bucket,
 and two that fall together only add a pair to verify.
 
 NULL text and text without words have no shingles and link with nothing; fewer than five words are one
@@ -366,39 +366,57 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
-def _count_tile(batches):
-    """Pairs of different components in a tile that agree in all but H of their filled segments, in some space."""
+def _link_tile(batches):
+    """Links of a tile that join two of its components: pairs that agree in all but H of their filled segments, in some space, verified."""
     names = ["pool", "low", "high"]
 
     def settle(rows):
         table, found = pa.Table.from_batches(rows), []
+        low, high = rows[0].column("low")[0].as_py(), rows[0].column("high")[0].as_py()
         lists = table.column("segments").combine_chunks()
         times = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        tile = {c: np.repeat(table.column(c).to_numpy(), times) for c in ("space", "own", "n_shingles", "filled", "part", "block")}
-        tile["segment"] = lists.flatten().to_numpy()
-        for space in np.unique(tile["space"]):
-            part = {c: v[tile["space"] == space] for c, v in tile.items()}
-            owns, at, firsts = np.unique(part["own"], return_index=True, return_inverse=True)
-            size, filled, label, block = (part[c][at] for c in ("n_shingles", "filled", "part", "block"))
-            segment = np.unique(part["segment"], return_inverse=True)[1]
-            by_segment = np.argsort(segment, kind="stable")
+        segments, starts = lists.flatten().to_numpy(), np.cumsum(times) - times
+        columns = {c: table.column(c).to_numpy() for c in ("space", "own", "filled", "part", "block")}
+        items = table.column("items")
+        _, first, named = np.unique(columns["own"], return_index=True, return_inverse=True)
+        sets = [np.frombuffer(items[at].as_buffer(), "<u8") for at in first.tolist()]
+        sizes = np.array([len(v) for v in sets])
+        shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        marked = np.zeros(len(shingle), np.int32)  # by shingle: 1 while its set is compared
+        label = columns["part"][first]  # components, as this tile's links join them
+        for space in np.unique(columns["space"]):
+            at = np.flatnonzero(columns["space"] == space)
+            who, filled, block = named[at], columns["filled"][at], columns["block"][at]
+            owner = np.repeat(np.arange(len(at)), times[at])
+            mine = segments[np.concatenate([np.arange(starts[k], starts[k] + times[k]) for k in at.tolist()])]
+            segment = np.unique(mine, return_inverse=True)[1]
+            posts = owner[np.argsort(segment, kind="stable")]
             ends = np.cumsum(np.bincount(segment))
-            starts = ends - np.bincount(segment)
-            posts = firsts[by_segment]
-            by_own = np.argsort(firsts, kind="stable")
-            cut = np.searchsorted(firsts[by_own], np.arange(len(owns) + 1))
-            low, high = rows[0].column("low")[0].as_py(), rows[0].column("high")[0].as_py()
-            for y in np.flatnonzero(block == low):
-                mine = segment[by_own[cut[y] : cut[y + 1]]]
-                counts = np.bincount(np.concatenate([posts[starts[g] : ends[g]] for g in mine]), minlength=len(owns))
-                differ = (size + size[y]) // 7
+            own_ends = np.cumsum(times[at])
+            for y in np.flatnonzero(block == low).tolist():
+                meets = [posts[(ends[g - 1] if g else 0) : ends[g]] for g in segment[own_ends[y] - times[at[y]] : own_ends[y]].tolist()]
+                counts = np.bincount(np.concatenate(meets), minlength=len(at))
+                differ = (sizes[who] + sizes[who[y]]) // 7
                 need = np.maximum(np.maximum(filled, filled[y]) - differ, 1)
-                good = (counts >= need) & (label != label[y]) & (block == high)
+                good = (counts >= need) & (label[who] != label[who[y]]) & (block == high)
                 if low == high:
                     good[: y + 1] = False
-                found += [(max(owns[y], m), min(owns[y], m)) for m in owns[good].tolist()]
+                mates = who[good]
+                if not len(mates):
+                    continue
+                left = shingle[cuts[who[y]] : cuts[who[y] + 1]]
+                marked[left] = 1
+                to = np.cumsum(sizes[mates])
+                place = np.arange(to[-1]) + np.repeat(cuts[mates] - (to - sizes[mates]), sizes[mates])
+                shared = np.add.reduceat(marked[shingle[place]], to - sizes[mates])
+                marked[left] = 0
+                linked = mates[100 * shared >= 75 * (sizes[mates] + len(left) - shared)]
+                parts, one = np.unique(label[linked], return_index=True)
+                found += [(int(columns["own"][first[who[y]]]), int(columns["own"][first[m]])) for m in linked[one].tolist()]
+                label[np.isin(label, parts)] = label[who[y]]
         if found:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((int(a), int(b)) for a, b in found))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], ["a", "b"])
 
     held, current = [], None
     for batch in batches:
@@ -421,8 +439,8 @@ def _count_tile(batches):
             yield out
 
 
-def _tile_pairs(views: DataFrame, pairs: DataFrame, labels: DataFrame, parts: int, tile_entries: int) -> DataFrame:
-    """Pairs to verify among the classes around leaders that have members in other components.
+def _tile_links(views: DataFrame, sets: DataFrame, pairs: DataFrame, labels: DataFrame, parts: int, tile_entries: int) -> DataFrame:
+    """Links among the classes around leaders that have members in other components, as many as join these.
 
     Classes that such leaders connect form a pool. A pool's classes are cut into blocks by hash, every
     two blocks make a tile, and a tile holds about two blocks' entries of ``tile_entries``.
@@ -430,16 +448,16 @@ def _tile_pairs(views: DataFrame, pairs: DataFrame, labels: DataFrame, parts: in
     leads = stored(_across(pairs, labels).select("b").distinct(), "ngram-leads")
     pools = _components(pairs.join(leads, "b", "left_semi")).withColumnRenamed("part", "pool")
     around = stored(pools.join(labels, "own", "left").select("own", "pool", F.coalesce("part", "own").alias("part")), "ngram-pools")
-    around = stored(views.join(around, "own").dropDuplicates(["own", "space"]), "ngram-around")
+    around = stored(views.join(around, "own").dropDuplicates(["own", "space"]).join(sets, "own"), "ngram-around")
     # Only pools of several blocks are named here: at most as many as there are tiles of entries.
     blocks = F.ceil(F.sum(F.size("segments")) / tile_entries).cast("int")
     sizes = stored(around.groupBy("pool").agg(blocks.alias("blocks")).filter("blocks > 1"), "ngram-blocks")
     around = around.join(sizes, "pool", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     around = around.withColumn("block", F.pmod(F.xxhash64("own", F.lit("block")), F.col("blocks")).cast("int"))
     tiled = around.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("pool", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "own", "part", "block", "n_shingles", "space", "filled", "segments")
+    tiled = tiled.select("pool", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "own", "part", "block", "space", "filled", "segments", "items")
     dealt = tiled.repartition(parts, "pool", "low", "high").sortWithinPartitions("pool", "low", "high")
-    return dealt.mapInArrow(_count_tile, "a long, b long").distinct()
+    return dealt.mapInArrow(_link_tile, "a long, b long").distinct()
 
 
 def link_classes(docs: DataFrame, views: DataFrame, heads: DataFrame, parts: int, tile_entries: int = TILE_ENTRIES) -> DataFrame:
@@ -454,8 +472,8 @@ def link_classes(docs: DataFrame, views: DataFrame, heads: DataFrame, parts: int
     rest = stored(_across(pairs, _components(links)).join(chosen, ["a", "b"], "left_anti"), "ngram-rest")
     links = links.unionByName(_verified(rest, sets))
     with _short_batches(docs.sparkSession, BATCH_ROWS):
-        tiled = stored(_tile_pairs(views, pairs, _components(links), parts, tile_entries), "ngram-tiled")
-    return _components(links.unionByName(_verified(tiled, sets)))
+        tiled = stored(_tile_links(views, sets, pairs, _components(links), parts, tile_entries), "ngram-tiled")
+    return _components(links.unionByName(tiled))
 
 
 def join_ngrams(docs: DataFrame, tile_entries: int = TILE_ENTRIES) -> DataFrame:

@@ -70,6 +70,30 @@ def test_families_of_copies(spark, seed, tile):
     check(spark, list(enumerate(texts)), tile)
 
 
+@pytest.mark.parametrize("tile", [ngram_join.TILE_ENTRIES, 400])
+def test_copies_that_link_through_one_text_only(spark, tile):
+    """Every copy has its own passage replaced: linked with the first text, not with each other, in two groups apart."""
+    rows = []
+    for group in range(2):
+        base = [f"g{group}x{k}" for k in range(200)]
+        rows += [" ".join(base)] + [" ".join(base[:at] + [f"g{group}y{at}z{k}" for k in range(20)] + base[at + 20 :]) for at in range(0, 180, 3)]
+    random.Random(4).shuffle(rows)
+    check(spark, list(enumerate(rows)), tile)
+
+
+def test_tiles_give_no_more_links_than_join_their_components(spark):
+    """Forty sets that all link, each its own component, in one tile: 39 links, not 780."""
+    rng = np.random.default_rng(3)
+    base, views = rng.integers(0, 1 << 62, 100).astype(np.uint64), []
+    for own in range(40):
+        values = np.unique(np.concatenate([base[1:], rng.integers(0, 1 << 62, 1).astype(np.uint64)]))
+        for keys, _, space in ngram_join.views_of(values):
+            views.append((0, 0, 0, own, own, 0, space, len(keys), keys.view(np.int64).tolist(), values.tobytes()))
+    schema = "pool long, low int, high int, own long, part long, block int, space int, filled int, segments array<long>, items binary"
+    links = spark.createDataFrame(views, schema).coalesce(1).mapInArrow(ngram_join._link_tile, "a long, b long").collect()
+    assert len(links) == 39 and len({r.a for r in links} | {r.b for r in links}) == 40
+
+
 def test_near_the_bound(spark):
     """Pairs just above and just below three quarters, at many sizes."""
     rng, rows = random.Random(9), []
