@@ -1,10 +1,11 @@
 """Quality rules: base rules and a hashed n-gram logistic regression with calibrated probability.
 
-Word 1- and 2-grams and byte 3-, 4- and 5-grams are hashed to ``2**BITS`` buckets; a document's
-logit is the mean weight of its word grams plus that of its byte grams. The fit runs in one task over
-at most ``FIT_ROWS`` labelled documents of at most ``FIT_BYTES`` bytes (both parameters); a fifth of
-them calibrates the probability (Platt). Every document is scored over its whole text, in Arrow
-batches, against fixed thresholds.
+Word 1- and 2-grams and character 3-, 4- and 5-grams are hashed to ``2**BITS`` buckets; a document's
+logit is the mean weight of its word grams plus that of its character grams. The fit runs in one task over
+at most ``fit_rows`` labelled documents of any length; of a text above ``fit_chars`` characters it sees
+``FIT_WINDOWS`` passages spread over the whole text. A fifth of the documents calibrates the probability
+(Platt). Of several rows with one id the smallest label and text count. Every document is scored over its
+whole text, in Arrow batches, against fixed thresholds.
 
 NULL text has no words and fails the base rules. Without labels of both kinds the model accepts
 everything, so the base rules alone decide. NULL ids and repeated rows are scored like any other row;
@@ -18,14 +19,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, byte_texts, slices
 
 BITS = 16
 FIT_ROWS = 2_000
-FIT_BYTES = 200_000
+FIT_CHARS, FIT_WINDOWS = 200_000, 50
+SLICE = 1 << 20  # text bytes scored at once; a character takes about 60 bytes of memory
 SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -61,8 +63,9 @@ def _bucket(codes: np.ndarray) -> np.ndarray:
 
 def gram_buckets(texts: list[bytes], words: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per family of grams: buckets, and each document's first and end position in them."""
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    whole = [t.decode("utf-8", "replace") for t in texts]
+    data = np.frombuffer("".join(whole).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(t) for t in whole], dtype=np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     out = []
     code = data * np.uint32(0x01000193)
@@ -91,14 +94,18 @@ def logits(texts: list[bytes], words: list[list[bytes]], weights: np.ndarray, bi
 
 def _fit(texts: list[bytes], labels: np.ndarray, rounds: int = 80, rate: float = 0.04, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the log loss; both classes weigh the same."""
-    words = [t.split() for t in texts]
-    families = []
-    size = 1 << BITS
-    for buckets, start, end in gram_buckets(texts, words):
-        keys = np.concatenate([np.unique(buckets[s:e]) for s, e in zip(start, end)])
-        counts = np.concatenate([np.unique(buckets[s:e], return_counts=True)[1] / max(e - s, 1) for s, e in zip(start, end)]) * SCALE
-        lengths = np.array([len(np.unique(buckets[s:e])) for s, e in zip(start, end)])
-        families.append((keys.astype(np.int64), counts, np.repeat(np.arange(len(texts)), lengths)))
+    size, cuts = 1 << BITS, np.cumsum([len(t) for t in texts]) // SLICE
+    found: list[list[tuple]] = []
+    for at in np.unique(cuts):  # runs of documents of about SLICE bytes
+        low, high = np.searchsorted(cuts, [at, at + 1])
+        run = texts[low:high]
+        for family, (buckets, start, end) in enumerate(gram_buckets(run, [t.split() for t in run])):
+            if family == len(found):
+                found.append([])
+            for doc, first, last in zip(range(low, high), start, end):
+                keys, counts = np.unique(buckets[first:last], return_counts=True)
+                found[family].append((keys.astype(np.int32), counts / max(last - first, 1) * SCALE, np.full(len(keys), doc, np.int32)))
+    families = [tuple(map(np.concatenate, zip(*parts))) for parts in found]
     weights, bias = np.zeros((len(families), size)), 0.0
     first, second = np.zeros((len(families), size)), np.zeros((len(families), size))
     share = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
@@ -130,17 +137,26 @@ def _calibrate(score: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a / spread), float(b - a * mid / spread)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
+def _passages(fit_chars: int) -> Column:
+    """A text, or of a longer one ``FIT_WINDOWS`` passages spread evenly over it, ``fit_chars`` characters together."""
+    width = max(fit_chars // FIT_WINDOWS, 1)
+    start = lambda k: (1 + F.floor(k * (F.length("text") - width) / (FIT_WINDOWS - 1))).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda k: F.substring("text", start(k), F.lit(width)))
+    return F.when(F.length("text") <= fit_chars, F.col("text")).otherwise(F.concat_ws("\n", spread))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> dict | None:
     """Weights and calibration; None without labelled rows of both kinds. Only these small arrays reach the driver."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(known, "doc_id", fit_rows)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= FIT_BYTES)
-    rows = rows.join(F.broadcast(chosen), "doc_id").join(known, "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", _passages(fit_chars).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = rows.join(known, "doc_id").select("doc_id", "text", "quality")
 
     def train(batches):
         found = [r for b in batches for r in b.to_pylist()]
-        found.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
+        found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
         texts = [r["text"].encode() for r in found]
         marks = np.array([r["quality"] for r in found])
         held = np.arange(len(found)) % 5 == 0
@@ -163,7 +179,7 @@ def judge_quality(docs: DataFrame, model: dict | None, min_probability: float =
     def score(batches):
         fitted = shared.value
         weights = fitted and np.frombuffer(fitted["weights"], np.float32).reshape(-1, 1 << BITS)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             texts = [t or b"" for t in byte_texts(batch.column("text"))]
             counts = [base_counts(t) for t in texts]
             words = [c[0] for c in counts]

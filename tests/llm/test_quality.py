@@ -52,3 +52,22 @@ def test_awkward_rows(spark, awkward, nothing):
     assert next(r for r in rows if r.doc_id == 2).n_words == 0
     assert quality.quality_rules(nothing, labels).count() == 0
     assert quality.quality_rules(awkward, labels.limit(0)).count() == awkward.count()
+
+
+def test_long_texts_alone_are_learned_from(spark):
+    """Every labelled text is above the fit's length; what tells them apart lies at their ends."""
+    lines = {1: "the river runs past quiet fields", 0: "click here buy now free offer"}
+    rows = [(k, f"start {k} " * 20 + f"{lines[k % 2]} w{k} " * 60) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (7, rows[7][1]), (None, "x")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels, fit_chars=400)
+    assert model == quality.fit_quality(docs.repartition(5), labels, fit_chars=400)
+    chances = {r.doc_id: r.quality for r in quality.judge_quality(docs, model).collect()}
+    assert min(chances[k] for k in range(1, 60, 2)) > max(chances[k] for k in range(0, 60, 2))
+
+
+def test_grams_are_of_characters():
+    """One more byte per letter leaves as many grams; those of one text do not reach into the next."""
+    for texts in (["abcdef", "xyz"], ["\u00e4bcd\u00e9f", "\u00fcyz"]):
+        found = quality.gram_buckets([t.encode() for t in texts], [[t.encode()] for t in texts])
+        assert [(end - start).tolist() for _, start, end in found] == [[4, 1], [3, 0], [2, 0], [1, 1], [0, 0]]
