@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, slices
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 END = 0
 TIERS = [128, 256, 512, 1024]
@@ -109,7 +109,7 @@ def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
-def _pack(path: str, pool_tokens: int):
+def _pack(path: str, pool_tokens: int, cache: int):
     def rows_of(pool: int, doc_ids: list, parts: list[bytes]) -> pa.RecordBatch:
         sequences = pack_lengths([len(p) // 4 for p in parts])
         sizes = [sum(p[2] for p in s) for s in sequences]
@@ -126,7 +126,7 @@ def _pack(path: str, pool_tokens: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     def pack(batches: Iterator[pa.RecordBatch]):
-        tokens, end = encoder(path, "byte"), np.array([END], "<u4").tobytes()
+        tokens, end = encoder(path, "byte", cache), np.array([END], "<u4").tobytes()
         pool, size = 0, 0
         doc_ids: list = []
         parts: list[bytes] = []
@@ -144,7 +144,10 @@ def _pack(path: str, pool_tokens: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pool_tokens: int = POOL) -> DataFrame:
-    """One row per piece, in place within its sequence. No shuffle: every task packs the documents it reads."""
+def pack_documents(docs: DataFrame, vocabulary: str, pool_tokens: int = POOL, cache: int = CACHE) -> DataFrame:
+    """One row per piece, in place within its sequence. No shuffle: every task packs the documents it reads.
+
+    ``cache`` bounds the word pieces that a Python worker keeps; it trades memory for time alone.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pack(vocabulary, pool_tokens), SCHEMA)
+    return rows.mapInArrow(_pack(vocabulary, pool_tokens, cache), SCHEMA)

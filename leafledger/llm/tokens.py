@@ -16,7 +16,7 @@ import regex
 
 from .common import worker_cache
 
-CACHE = 700_000
+CACHE = 700_000  # entries of each cache; a worker holds up to some 300 bytes for one
 # White space by Unicode, as the vocabularies' patterns see it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -40,7 +40,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """``encode(text)`` gives the ids of a whole text as bytes; ``kind`` is ``word`` or ``byte``."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,12 +50,13 @@ class Encoder:
         self.pattern = regex.compile(_WORD_PIECES if self.word else _BYTE_PIECES)
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
+        self.cache = cache
         outer = self
 
         class Chunks(dict):
             def __missing__(self, chunk):
                 ids = outer._chunk(chunk)
-                if len(self) >= CACHE:
+                if len(self) >= outer.cache:
                     self.clear()
                 self[chunk] = ids
                 return ids
@@ -84,7 +85,7 @@ class Encoder:
         if ids is None:
             found = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
             ids = struct.pack(f"<{len(found)}I", *found)
-            if len(self.pieces) >= CACHE:
+            if len(self.pieces) >= self.cache:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
@@ -100,6 +101,6 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, cache: int = CACHE) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    return worker_cache(f"encoder:{path}", lambda: Encoder(path, kind))
+    return worker_cache(f"encoder:{path}:{cache}", lambda: Encoder(path, kind, cache))
