@@ -21,6 +21,7 @@ from leafledger.llm.tier_packing import pack_documents
 from leafledger.session import prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+PACK_CACHE = 150_000  # word pieces; the executors' heaps are full of earlier stages by then
 PLACE_BITS = 32  # of a row number: more rows than a file can hold
 
 
@@ -89,7 +90,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences over all documents of the mix."""
-    return pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json", cache=PACK_CACHE)
 
 
 STAGES = [
