@@ -3,9 +3,12 @@ exist; both receive NULL for every value that a native expression can already an
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +21,32 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
+def _runs_of_marks(low: int, high: int) -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(low, high) if unicodedata.category(chr(c)) == "Mn") + "]+")
+
+
+# Two patterns, as a set with characters of both kinds is searched one by one.
+_MARKS, _HIGH_MARKS = _runs_of_marks(0, 0x10000), _runs_of_marks(0x10000, sys.maxunicode + 1)
+_HIGH = re.compile("[\U00010000-\U0010FFFF]")
+_FOLD_ROWS = 64
+
+
 def _strip_marks(text: str) -> str:
-    parts = unicodedata.normalize("NFD", text)
-    return "".join(c for c in parts if unicodedata.category(c) != "Mn").lower()
+    parts = _MARKS.sub("", unicodedata.normalize("NFD", text))
+    return (_HIGH_MARKS.sub("", parts) if _HIGH.search(parts) else parts).lower()
 
 
-@F.pandas_udf(T.StringType())
-def _fold(values: pd.Series) -> pd.Series:
-    return values.map(_strip_marks, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _fold(values: pa.Array) -> pa.Array:
+    """A few rows at a time are Python strings, the rest of the batch stays in Arrow."""
+    parts = [pa.array([], pa.string())]
+    for start in range(0, len(values), _FOLD_ROWS):
+        rows = values.slice(start, _FOLD_ROWS)
+        parts.append(
+            pa.nulls(len(rows), pa.string()) if rows.null_count == len(rows)
+            else pa.array([None if v is None else _strip_marks(v) for v in rows.to_pylist()], pa.string())
+        )
+    return pa.concat_arrays(parts)
 
 
 def nfc(value: Column) -> Column:
@@ -52,10 +73,11 @@ _LATIN_ONLY = "^[\\x{0000}-\\x{024F}\\x{2000}-\\x{206F}\\x{20AC}]*$"
 
 
 def fold(value: Column) -> Column:
-    """Search form: NFD without marks, lower case. Latin text is folded natively."""
+    """Search form: NFD without marks, lower case. Latin text is folded natively, ASCII text, known by its length alone, only lowered."""
+    ascii_only = F.octet_length(value) == F.char_length(value)
     latin = value.rlike(_LATIN_ONLY)
     native = F.lower(F.translate(value, _LATIN_FROM, _LATIN_TO))
-    return F.when(latin, native).otherwise(_fold(F.when(~latin, value)))
+    return F.when(ascii_only, F.lower(value)).when(latin, native).otherwise(_fold(F.when(~ascii_only & ~latin, value)))
 
 
 def path_key(path: Column) -> Column:
