@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
-from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +20,7 @@ from .unicode import _strip_marks
 TOKENS = 64  # of three characters each, so a window has two characters more
 MOST_POINTS = 1_024
 # Characters up to here fold to one character each, but for marks.
-_PLAIN = re.compile("^[\\x00-\\u02FF\\u2000-\\u206F\\u20AC]*$")
-
-
-@lru_cache(maxsize=4_096)
-def _folded_length(character: str) -> int:
-    return len(_strip_marks(character))
+_PLAIN = re.compile("[\\x00-\\u02FF\\u2000-\\u206F\\u20AC]*")
 
 
 def best_window(folded: str, phrase: str, width: int) -> int:
@@ -51,11 +44,22 @@ def best_window(folded: str, phrase: str, width: int) -> int:
 
 def original_span(content: str, start: int, end: int) -> tuple[int, int]:
     """The part of the original text that folds to ``start`` to ``end`` of the folded one, with the marks behind it."""
-    if _PLAIN.match(content):
+    plain = _PLAIN.match(content).end()
+    if end < plain or plain == len(content):
         return start, end
-    reached = list(accumulate(map(_folded_length, content)))
     # The first character whose folded form goes beyond a place is the one that stands there.
-    return bisect_right(reached, start), bisect_right(reached, end)
+    low, reached, known = start if start < plain else None, plain, {}
+    for at in range(plain, len(content)):
+        character = content[at]
+        size = known.get(character)
+        if size is None:
+            size = known[character] = len(_strip_marks(character))
+        reached += size
+        if low is None and reached > start:
+            low = at
+        if reached > end:
+            return low, at
+    return len(content) if low is None else low, len(content)
 
 
 def cut_snippet(content: str, folded: str, phrase: str, tokens: int = TOKENS) -> str:
@@ -70,10 +74,11 @@ def cut_snippet(content: str, folded: str, phrase: str, tokens: int = TOKENS) ->
     return (("…" if start else "") + content[low:high] + ("…" if end < len(folded) else ""))[:MOST_POINTS]
 
 
-@F.pandas_udf(T.StringType())
-def _snippets(content: pd.Series, folded: pd.Series, phrase: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _snippets(content: pa.Array, folded: pa.Array, phrase: pa.Array) -> pa.Array:
+    """One row's texts at a time are Python strings, the rest of the batch stays in Arrow."""
     rows = zip(content, folded, phrase)
-    return pd.Series([None if c is None or f is None or p is None else cut_snippet(c, f, p) for c, f, p in rows], dtype=object)
+    return pa.array([cut_snippet(c.as_py(), f.as_py(), p.as_py()) if c.is_valid and f.is_valid and p.is_valid else None for c, f, p in rows], pa.string())
 
 
 def snippet(content: Column, folded: Column, phrase: Column) -> Column:

@@ -67,3 +67,42 @@ def test_column_form_with_nulls(spark):
     rows = [("Señor x", "senor"), (None, "a"), ("text", None)]
     out = spark.createDataFrame(rows, "content string, phrase string").select(snippet(F.col("content"), fold(F.col("content")), F.col("phrase")).alias("s")).collect()
     assert [r.s for r in out] == ["Señor x", None, None]
+
+
+def test_worker_functions_hold_no_batch_of_strings_and_travel_by_value():
+    """Arrow in and out, one row at a time; the folder that holds this package need not be on a worker's path."""
+    import pickletools
+
+    from pyspark import cloudpickle
+    from pyspark.util import PythonEvalType
+
+    from leafledger.functions import snippets, unicode
+
+    for function in (snippets._snippets, unicode._fold):
+        assert function.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+        ops = list(pickletools.genops(cloudpickle.dumps(function.func)))
+        named = [(ops[i - 4][1], ops[i - 2][1]) for i, (op, _, _) in enumerate(ops) if op.name == "STACK_GLOBAL" and i > 3]
+        assert not any(str(part).startswith("leafledger") for pair in named for part in pair)
+
+
+def test_spans_in_mixed_text_equal_a_map_of_every_character():
+    import random
+    from bisect import bisect_right
+    from itertools import accumulate
+
+    from leafledger.functions.snippets import original_span
+
+    rng = random.Random(2)
+    for _ in range(300):
+        content = "".join(rng.choice("abé́한½😀ﬁ") for _ in range(rng.randrange(30)))
+        reached = list(accumulate(len(_strip_marks(c)) for c in content))
+        start = rng.randrange(20)
+        end = start + rng.randrange(20)
+        if end <= (reached[-1] if reached else 0):
+            assert original_span(content, start, end) == (bisect_right(reached, start), bisect_right(reached, end))
+
+
+def test_marks_are_those_of_their_category():
+    for text in ["éa", "निं्", "x\U000E0100y\U0001E8D0", "ΑΣ", "İ한"]:
+        parts = unicodedata.normalize("NFD", text)
+        assert _strip_marks(text) == "".join(c for c in parts if unicodedata.category(c) != "Mn").lower()
