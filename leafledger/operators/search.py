@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as K
+from ..functions.grams import gram_counts
 from ..functions.identity import format_etag
 from ..functions.snippets import snippet
 from ..functions.unicode import fold
-from ..session import spread
+from ..session import spread, written_table
 
 
 def indexed_notes(files: DataFrame) -> DataFrame:
@@ -44,11 +45,12 @@ def grams(text: Column) -> Column:
 
 
 def build_postings(notes: DataFrame) -> DataFrame:
-    """(vault_id, gram, path, tf). The aggregate combines inside each note's own task first,
-    and its key holds the path, so a frequent gram is spread like any other."""
-    return notes.select("vault_id", "path", F.explode(grams(F.col("folded"))).alias("gram")).groupBy(
-        "vault_id", "gram", "path"
-    ).agg(F.count(F.lit(1)).alias("tf"))
+    """(vault_id, gram, path, tf). The texts of a path meet once and are counted where they are, so the postings,
+    many times as many rows, are not shuffled to be added up."""
+    texts = notes.repartition("vault_id", "path").groupBy("vault_id", "path").agg(F.collect_list("folded").alias("texts"))
+    return texts.select("vault_id", "path", F.inline(gram_counts(F.col("texts")))).select(
+        "vault_id", "gram", "path", F.col("tf").cast("long").alias("tf")
+    )
 
 
 def update_postings(postings: DataFrame, changed: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,7 +83,8 @@ def literal_match(queries: DataFrame, notes: DataFrame, postings: DataFrame | No
     wanted = asked.select("vault_id", "query_id", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
     terms = wanted.select("vault_id", "gram").distinct()
     index = build_postings(notes) if postings is None else postings
-    used = index.join(terms, ["vault_id", "gram"], "left_semi").select("vault_id", "gram", "path")
+    # Read twice below; written down once, the index is not built again for it.
+    used = written_table(index.join(terms, ["vault_id", "gram"], "left_semi").select("vault_id", "gram", "path"), "asked-postings")
     frequency = used.groupBy("vault_id", "gram").agg(F.count(F.lit(1)).alias("notes"))
     rarest = (
         wanted.join(frequency, ["vault_id", "gram"], "left")
@@ -106,16 +109,18 @@ def bm25_phrase(tf: Column, tokens: Column, notes: Column, matched: Column, mean
 def search_notes(queries: DataFrame, files: DataFrame, epoch: str, postings: DataFrame | None = None) -> DataFrame:
     """Ranked hits of every valid query: score ascending, then binary path order.
 
-    Hits carry counts only; the texts of ranked rows are joined back for their snippets.
+    Hits carry counts only; the texts of ranked rows are joined back for their snippets. Notes are folded once, and
+    each text is compared with a phrase once: folded notes, hits and ranked rows are tables that later steps read.
     """
-    notes = indexed_notes(files)
-    asked = valid_queries(queries)
     tokens = F.greatest(F.char_length("folded") - 2, F.lit(0)).cast("long")
-    totals = notes.groupBy("vault_id").agg(F.count(F.lit(1)).alias("notes"), F.avg(tokens).alias("mean_tokens"))
-    hits = literal_match(asked, notes, postings).select(
+    notes = written_table(indexed_notes(files).withColumn("tokens", tokens), "search-notes")
+    asked = valid_queries(queries)
+    totals = notes.groupBy("vault_id").agg(F.count(F.lit(1)).alias("notes"), F.avg("tokens").alias("mean_tokens"))
+    found = literal_match(asked, notes, postings).select(
         "vault_id", "query_id", "path", "rev", "phrase", "result_limit", tokens.alias("tokens"),
         phrase_count(F.col("folded"), F.col("phrase")).alias("tf"),
     )
+    hits = written_table(found, "search-hits")
     matched = hits.groupBy("vault_id", "query_id").agg(F.count(F.lit(1)).alias("matched"))
     score = bm25_phrase(F.col("tf"), F.col("tokens"), F.col("notes"), F.col("matched"), F.col("mean_tokens"))
     scored = hits.join(matched, ["vault_id", "query_id"]).join(totals, "vault_id").withColumn("score", F.round(score, 6))
@@ -126,7 +131,8 @@ def search_notes(queries: DataFrame, files: DataFrame, epoch: str, postings: Dat
         .select("vault_id", "query_id", "rank", "path", "rev", "score", "phrase")
     )
     texts = notes.select("vault_id", "path", "content", "folded")
-    return ranked.join(texts, ["vault_id", "path"]).select(
+    # A page of rows per query: as a table of known size it is joined where the texts are.
+    return written_table(ranked, "search-ranked").join(texts, ["vault_id", "path"]).select(
         "vault_id", "query_id", "rank", "path", format_etag(F.lit(epoch), F.col("rev")).alias("etag"), "score",
         snippet(F.col("content"), F.col("folded"), F.col("phrase")).alias("snippet"),
     )
