@@ -17,6 +17,7 @@ import hashlib
 from collections import namedtuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -256,15 +257,26 @@ class _Component:
         }
 
 
-def _fold(live_limit, columns):
-    """Streams sorted rows; a component's state lives only while its rows pass."""
+def _fold(live_limit, columns, alike):
+    """Streams sorted rows; a component's state lives only while its rows pass. Columns of ``alike`` have the value given
+    there, or that of ``_more`` where a row brings one."""
     Row = namedtuple("Row", columns)
 
+    def column(batch, name):
+        if name not in alike:
+            c = batch.column(name)
+            return [None] * len(c) if c.null_count == len(c) else c.to_pylist()
+        more = batch.column("_more")
+        if more.null_count == len(more):
+            return [alike[name]] * len(more)
+        own = pc.struct_field(more, name).to_pylist()
+        return [value if given else alike[name] for value, given in zip(own, more.is_valid().to_pylist())]
+
     def run(batches):
         owner = component = None
         for batch in batches:
             out = []
-            values = ([None] * len(c) if c.null_count == len(c) else c.to_pylist() for c in batch.columns)
+            values = (column(batch, name) for name in columns)
             for row in map(Row._make, zip(*values)):
                 if (row.vault_id, row.component) != owner:
                     owner = (row.vault_id, row.component)
@@ -367,13 +379,13 @@ def apply_ops(
     todo = log.filter(F.col("reason").isNull()).drop("replay_of", "replay_status")
     todo = todo.withColumn("reason", F.when(~well_formed(), "invalid_request"))
     linked = "to_path" in ops.columns or "op_key" in ops.columns
-    outcomes = _run_components(todo, files, revisions, live_limit, max_group_ops, linked)
+    outcomes = _run_components(todo, files, revisions, live_limit, max_group_ops, linked, ops.columns)
     if receipts is None and claims is None and "reason" not in ops.columns:
         return outcomes.drop("component")
     return outcomes.unionByName(decided).drop("component")
 
 
-def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
+def _run_components(todo, files, revisions, live_limit, max_group_ops, linked, given):
     edges = _key_edges(todo.filter("reason IS NULL")) if linked else None
     labels = None if edges is None or edges.isEmpty() else cut_lineage(label_components(edges))
     stats = cut_lineage(_log_stats(todo, labels, files, live_limit))  # one row per vault
@@ -424,21 +436,22 @@ def _run_components(todo, files, revisions, live_limit, max_group_ops, linked):
         *[F.lit(None).cast(t).alias(c) for c, t in
           (("rev", "long"), ("deleted", "boolean"), ("hash", "string"), ("renamed_to", "string"), ("status", "int"))],
     )
+    alike = _alike(given, revisions)
     touched = placed.select("vault_id", "component").distinct()
     start = None if files is None else _state_rows(files, place, touched, narrow)
 
     if biggest <= max_group_ops:
-        return _fold_once(narrow, start, live_limit)
+        return _fold_once(narrow, start, live_limit, alike)
 
     ranked = cut_lineage(
-        arrival_rank(narrow, ["vault_id", "component"], "arrival", "_rank", max_group_ops)
+        arrival_rank(narrow.drop(*alike), ["vault_id", "component"], "arrival", "_rank", max_group_ops)
         .withColumn("_part", F.floor((F.col("_rank") - 1) / F.lit(max_group_ops)))
-    )
+    ).withColumns({c: F.lit(value).cast(narrow.schema[c].dataType) for c, value in alike.items()})
     done = None
     for part in range(-(-biggest // max_group_ops)):
-        rows = ranked.filter(F.col("_part") == part).drop("_rank", "_part")
+        rows = ranked.filter(F.col("_part") == part).select(narrow.columns)
         carried = start if done is None else _carry(done, ranked, start, rows)
-        result = cut_lineage(_fold_once(rows, carried, live_limit))
+        result = cut_lineage(_fold_once(rows, carried, live_limit, alike))
         done = result if done is None else done.unionByName(result)
     return done
 
@@ -488,8 +501,26 @@ def _carry(done, ranked, start, rows):
     return state.unionByName(keys).unionByName(past)
 
 
-def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int | None) -> DataFrame:
-    everything = rows if state is None else rows.unionByName(state)
+def _alike(given: list[str], revisions: DataFrame | None) -> dict:
+    """Columns that hold one value in every row of the log, as it does not bring them."""
+    none = [c for c in ("to_path", "client_id", "op_key", "fingerprint", "expected_rev", "size", "payload_hash", "heading", "source_rev", "as_conflict_copy") if c not in given]
+    if "to_path" not in given:
+        none.append("to_key")
+    if revisions is None:
+        none += ["source_hash", "source_size", "source_kind", "source_deleted", "source_content"]
+    if "content" not in given:
+        none.append("content")
+    alike = dict.fromkeys([*none, "rev", "deleted", "hash", "renamed_to", "status"])
+    return alike | ({} if "kind" in given else {"kind": "text"})
+
+
+def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int | None, alike: dict) -> DataFrame:
+    """Outcomes of ``rows`` after ``state``. What is alike in all rows of the log is neither shuffled nor sorted; rows of state bring it in ``_more``."""
+    more = F.struct(*alike)
+    slim = [c for c in rows.columns if c not in alike]
+    everything = rows.select(*slim, F.lit(None).cast(rows.select(more).schema[0].dataType).alias("_more"))
+    if state is not None:
+        everything = everything.unionByName(state.select(*slim, more.alias("_more")))
     # A fixed partition count: the fold is CPU work, so small inputs must not be coalesced to one task.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The partitioning key is an expression of its own: a planner that believes the union already
@@ -497,7 +528,7 @@ def _fold_once(rows: DataFrame, state: DataFrame | None, live_limit: int | None)
     return (
         everything.repartition(tasks, F.xxhash64("vault_id", "component"))
         .sortWithinPartitions("vault_id", "component", "role", "arrival")
-        .mapInArrow(_fold(live_limit, everything.columns), OUTCOME)
+        .mapInArrow(_fold(live_limit, rows.columns, alike), OUTCOME)
     )
 
 
