@@ -19,19 +19,19 @@ every probability is that of an untrained model over unseen words.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
-from array import array
-from collections import Counter
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, fold_of, fold_of_id, slices, stored
+from .common import fold_of, fold_of_id, slices, stored
 
 FOLDS = 10
 FREQUENT = 65_536
@@ -42,9 +42,11 @@ WINDOW = 32
 TASK_TOKENS, SMALL_EPOCHS = 400_000, 2  # a training task has at least so many tokens, if the corpus has
 SHARES, ROUNDS = 8, ((0, 1), (1, 2), (2, 4), (4, 8))  # one pass: every share once, more of them as the weights settle
 FAN_IN = 8
-SLICE = 12 << 20
+SLICE, SLICE_TOKENS = 12 << 20, 2_000_000
 END = b""  # no word is empty
 HEAD_CLASSES = MODEL_WORDS // CLASS_WORDS
+# The class of every stream id; the last entry, which -1 takes, is that of no token.
+_CLASS_OF = np.concatenate([np.repeat(np.arange(HEAD_CLASSES), CLASS_WORDS), np.arange(HEAD_CLASSES, HEAD_CLASSES + TAIL_CLASSES), [-1]]).astype(np.int16)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -72,42 +74,71 @@ def new_network(rng: np.random.Generator, head: np.ndarray) -> dict[str, np.ndar
     }
 
 
-def run_window(net: dict, ids: np.ndarray, start: np.ndarray, state: np.ndarray, learn: bool = False):
-    """All steps of a window. States are (feature, lane), so that every gate is one block of memory.
+class _Room:
+    """Arrays kept from window to window: new ones of this size would get their memory from the system each time."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind, *shape: int) -> np.ndarray:
+        size, flat = math.prod(shape), self.kept.get(name)
+        if flat is None or flat.size < size or flat.dtype != kind:
+            flat = self.kept[name] = np.empty(size, kind)
+        return flat[:size].reshape(shape)
+
+
+def _by_gate(weights: np.ndarray) -> np.ndarray:
+    """Columns of update, reset and fresh state as (gate, row, feature)."""
+    return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def run_window(net: dict, ids: np.ndarray, start: np.ndarray, state: np.ndarray, learn: bool = False, room: _Room | None = None):
+    """All steps of a window. States are (feature, lane) outside; within, every gate is one block of (lane, feature).
 
     ``ids`` and ``start`` are (step, lane). Returns the states after each step and, to learn from, those before it,
-    the gates, the fresh states and the carried parts of these.
+    the gates, the fresh states and the carried parts of these, as (step, ..., lane, feature). What it returns lies in ``room``.
     """
-    steps, lanes = ids.shape
-    table, carry = np.ascontiguousarray(net["input"].T), np.ascontiguousarray(net["carry"].T)
-    states = np.empty((steps, HIDDEN, lanes), state.dtype)
-    before, gates = np.empty_like(states), np.empty((steps, 2 * HIDDEN, lanes), state.dtype)
-    fresh, parts = np.empty_like(states), np.empty_like(states)
-    begins, given = start.any(axis=1), np.empty((3 * HIDDEN, lanes), state.dtype)
-    for t in range(steps):
-        if begins[t]:
-            state = np.where(start[t], state.dtype.type(0), state)
-        before[t] = state
-        np.take(table, ids[t], axis=1, out=given, mode="clip")
-        carried = carry @ state
-        gate = np.add(given[: 2 * HIDDEN], carried[: 2 * HIDDEN], out=gates[t])
-        gate *= 0.5  # the logistic function by tanh
-        np.tanh(gate, out=gate)
-        gate *= 0.5
-        gate += 0.5
-        parts[t] = carried[2 * HIDDEN :]
-        new = np.multiply(gate[HIDDEN:], parts[t], out=fresh[t])
-        new += given[2 * HIDDEN :]
-        np.tanh(new, out=new)
-        state = np.subtract(state, new, out=states[t])
-        state *= gate[:HIDDEN]
-        state += new
-    return states, (before, gates, fresh, parts) if learn else None
+    (steps, lanes), kind, room = ids.shape, state.dtype, room or _Room()
+    # The logistic function is 1 / (1 + exp(-x)) and tanh 2 / (1 + exp(-2x)) - 1; the factors go into the weights.
+    factor = np.repeat(np.array([-1, -1, -2], kind), HIDDEN)
+    table, carry = _by_gate(net["input"] * factor), _by_gate(net["carry"] * factor)
+    keep = steps if learn else 1
+    states, before = room("states", kind, steps, lanes, HIDDEN), room("before", kind, keep, lanes, HIDDEN)
+    gates, fresh = room("gates", kind, keep, 2, lanes, HIDDEN), room("fresh", kind, keep, lanes, HIDDEN)
+    parts, carried = room("parts", kind, keep, lanes, HIDDEN), room("carried", kind, 3, lanes, HIDDEN)
+    begins, ids, state = start.any(axis=1), ids.astype(np.intp), np.array(state.T, order="C")
+    with np.errstate(over="ignore"):  # an infinite exp is a closed gate
+        for t in range(steps):
+            at = t if learn else 0
+            if begins[t]:
+                state = np.where(start[t][:, None], kind.type(0), state)
+            if learn:
+                before[t] = state
+            np.matmul(state, carry, out=carried)
+            gate, new = gates[at], fresh[at]
+            for k, into in enumerate((gate[0], gate[1], new)):
+                np.take(table[k], ids[t], axis=0, out=into, mode="clip")
+            gate += carried[:2]
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            if learn:
+                np.multiply(carried[2], -0.5, out=parts[t])
+            carried[2] *= gate[1]
+            new += carried[2]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            state = np.subtract(state, new, out=states[t])
+            state *= gate[0]
+            state += new
+    return states.transpose(0, 2, 1), (before, gates, fresh, parts) if learn else None
 
 
 def step(net: dict, ids: np.ndarray, state: np.ndarray):
     """One step of all lanes, with states as (lane, feature)."""
-    states, kept = run_window(net, ids[None], np.zeros((1, len(ids)), bool), np.ascontiguousarray(state.T), True)
+    states, kept = run_window(net, ids[None], np.zeros((1, len(ids)), bool), state.T, True)
     return states[0].T, kept
 
 
@@ -132,87 +163,113 @@ def _peak(weights: np.ndarray) -> float:
     return float(np.abs(weights).sum(axis=-2).max())
 
 
-def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False):
+def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False, room: _Room | None = None):
     """Natural log of P(class) times, for frequent words, P(word | class); gradients too if ``learn``.
 
     Rows are sorted by class, so that a class is one run of them; biases are weights of a feature that is always 1.
+    A goal of -1 is none: its row gets 0 and adds nothing to the gradients.
     """
-    n, one = len(goal), np.ones((1, HEAD_CLASSES + TAIL_CLASSES), states.dtype)
-    cls = np.where(goal < MODEL_WORDS, goal // CLASS_WORDS, goal - MODEL_WORDS + HEAD_CLASSES).astype(np.int16)
+    room, kind, one = room or _Room(), states.dtype, np.ones((1, HEAD_CLASSES + TAIL_CLASSES), states.dtype)
+    cls = _CLASS_OF[goal]
     order = np.argsort(cls, kind="stable")
-    cls, goal = cls[order], goal[order]
-    rows = np.ones((n, HIDDEN + 1), states.dtype)
-    rows[:, :HIDDEN] = states[order]
+    cls = cls[order]
+    idle = int(np.searchsorted(cls, 0))
+    order, cls = order[idle:], cls[idle:]
+    n, goal = len(order), goal[order]
+    taken, rows = np.take(states, order, axis=0, out=room("taken", kind, n, HIDDEN), mode="clip"), room("rows", kind, n, HIDDEN + 1)
+    rows[:, :HIDDEN], rows[:, HIDDEN] = taken, 1
     classes = np.concatenate([net["classes"], one * net["class_bias"]])
     words = np.concatenate([net["words"], net["word_bias"][:, None]], axis=1)
     cuts = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+    head = cuts[-1]
     runs = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(cuts, cuts[1:])) if low < high]
-    exp = rows @ classes
+    exp = np.matmul(rows, classes, out=room("exp", kind, n, classes.shape[1]))
     logp, total, at = _softmax(exp, cls, _peak(classes))
-    within = np.empty((cuts[-1], CLASS_WORDS), states.dtype)
+    within = room("within", kind, head, CLASS_WORDS)
     for c, run in runs:
         np.matmul(rows[run], words[c], out=within[run])
-    word_logp, word_total, word_at = _softmax(within, goal[: cuts[-1]] % CLASS_WORDS, _peak(words))
-    logp[: cuts[-1]] += word_logp
+    word_logp, word_total, word_at = _softmax(within, goal[:head] % CLASS_WORDS, _peak(words))
+    logp[:head] += word_logp
     grads, back = {}, None
     if learn:
         # Scores' gradients are exp / total, less 1 at the goal; the division is left to the narrow sides of the products.
         exp.reshape(-1)[at] -= total
         within.reshape(-1)[word_at] -= word_total
-        class_grad = (rows / total[:, None]).T @ exp
-        inner = (exp @ net["classes"].T) / total[:, None]
-        shares, word_grad = rows[: cuts[-1]] / word_total[:, None], np.zeros_like(words)
-        word_back = np.empty((cuts[-1], HIDDEN), states.dtype)
+        part, word_part, shares = 1 / total, 1 / word_total, room("shares", kind, n, HIDDEN)
+        class_grad = np.multiply(taken, part[:, None], out=shares).T @ exp
+        inner, word_back = room("inner", kind, n + 1, HIDDEN), room("word_back", kind, head, HIDDEN)
+        np.matmul(exp, np.ascontiguousarray(net["classes"].T), out=inner[:n])
+        inner[:n] *= part[:, None]
+        np.multiply(taken[:head], word_part[:, None], out=shares[:head])
+        word_grad, bias_grad = np.zeros_like(net["words"]), np.zeros_like(net["word_bias"])
         for c, run in runs:
             np.matmul(shares[run].T, within[run], out=word_grad[c])
+            np.matmul(word_part[run], within[run], out=bias_grad[c])
             np.matmul(within[run], net["words"][c].T, out=word_back[run])
-        inner[: cuts[-1]] += word_back / word_total[:, None]
-        grads = {"classes": class_grad[:HIDDEN], "class_bias": class_grad[HIDDEN], "words": word_grad[:, :HIDDEN], "word_bias": word_grad[:, HIDDEN]}
-        back = np.empty_like(inner)
-        back[order] = inner
-    unsorted = np.empty_like(logp)
+        word_back *= word_part[:, None]
+        inner[:head] += word_back
+        inner[n] = 0
+        grads = {"classes": class_grad, "class_bias": part @ exp, "words": word_grad, "word_bias": bias_grad}
+        place = np.full(len(states), n)
+        place[order] = np.arange(n)
+        back = np.take(inner, place, axis=0, out=room("back", kind, len(states), HIDDEN), mode="clip")
+    unsorted = np.zeros(len(states), logp.dtype)
     unsorted[order] = logp
     return unsorted, grads, back
 
 
-def window_gradients(net: dict, given: np.ndarray, goal: np.ndarray, start: np.ndarray, state: np.ndarray):
+def _sums_by_word(words: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Adds to each word's row of ``out`` its rows of ``values``; runs of 1, 2, 4, ... rows are summed as one block."""
+    order, n = np.argsort(words, kind="stable"), np.bincount(words, minlength=len(out))
+    first = np.cumsum(n) - n
+    for bit in range(int(n.max()).bit_length()):
+        size = 1 << bit
+        has = np.flatnonzero(n & size)
+        rows = order[(first[has] + (n[has] & (size - 1)))[:, None] + np.arange(size)]
+        out[has] += values.take(rows, axis=0).sum(axis=1)
+
+
+def window_gradients(net: dict, given: np.ndarray, goal: np.ndarray, start: np.ndarray, state: np.ndarray, room: _Room | None = None):
     """Gradients of the summed loss over a window's live tokens, their number and the last states."""
-    steps, lanes = given.shape
-    states, (before, gates, fresh, parts) = run_window(net, given, start, state, True)
+    (steps, lanes), kind, room = given.shape, state.dtype, room or _Room()
+    states, (before, gates, fresh, parts) = run_window(net, given, start, state, True, room)
     flat = goal.reshape(-1)
-    live = np.flatnonzero(flat >= 0)
-    _, grads, back_live = output(net, _rows(states)[live], flat[live], True)
-    back = np.zeros((steps * lanes, HIDDEN), states.dtype)
-    back[live] = back_live
-    back = np.ascontiguousarray(back.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
-    update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    to_fresh = (1 - update) * (1 - fresh * fresh)
-    to_update = (before - fresh) * update * (1 - update)
-    to_reset = parts * reset * (1 - reset)
-    inputs, fresh_part = np.empty((steps, 3 * HIDDEN, lanes), states.dtype), np.empty_like(states)
-    carry, follow, begins = net["carry"], np.zeros((HIDDEN, lanes), states.dtype), start.any(axis=1)
+    _, grads, back = output(net, _rows(states), flat, True, room)
+    after, back = states.transpose(0, 2, 1), back.reshape(steps, lanes, HIDDEN)
+    # Gradients by step: of the fresh state, of update and reset gate, and of the fresh state's carried part.
+    inputs = room("inputs", kind, 4, steps, lanes, HIDDEN)
+    passed, rest, spare = room("passing", kind, 3, lanes, HIDDEN)
+    product, carry = room("product", kind, 3, lanes, HIDDEN), np.ascontiguousarray(_by_gate(net["carry"]).transpose(0, 2, 1))
+    begins, follow = start.any(axis=1), 0
     for t in range(steps - 1, -1, -1):
+        (update, reset), new = gates[t], fresh[t]
+        to_new, to_update, to_reset, to_part = inputs[:, t]
         d = back[t]
         d += follow
-        into = inputs[t]
-        np.multiply(d, to_update[t], out=into[:HIDDEN])
-        d_fresh = np.multiply(d, to_fresh[t], out=fresh_part[t])
-        np.multiply(d_fresh, to_reset[t], out=into[HIDDEN : 2 * HIDDEN])
-        np.multiply(d_fresh, reset[t], out=into[2 * HIDDEN :])
-        follow = carry @ into
-        d *= update[t]
-        follow += d
+        np.multiply(d, update, out=passed)
+        np.subtract(d, passed, out=rest)
+        np.subtract(after[t], new, out=to_update)  # (before - new) * update
+        to_update *= rest
+        np.multiply(new, new, out=spare)
+        np.subtract(1, spare, out=spare)
+        np.multiply(rest, spare, out=to_new)
+        np.multiply(to_new, reset, out=to_part)
+        np.subtract(1, reset, out=to_reset)
+        to_reset *= parts[t]
+        to_reset *= to_part
+        np.matmul(inputs[1:, t], carry, out=product)
+        follow = product[0]
+        follow += product[1]
+        follow += product[2]
+        follow += passed
         if begins[t]:
-            follow[:, start[t]] = 0
-    grads["carry"] = np.matmul(before, inputs.transpose(0, 2, 1)).sum(axis=0)
-    inputs[:, 2 * HIDDEN :] = fresh_part
-    words = given.reshape(-1).astype(np.int16)
-    order = np.argsort(words, kind="stable")
-    words = words[order]
-    cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            follow[start[t]] = 0
+    flows = inputs.reshape(4, -1, HIDDEN)
+    grads["carry"] = np.matmul(before.reshape(-1, HIDDEN).T, flows[1:]).transpose(1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
     grads["input"] = np.zeros_like(net["input"])
-    grads["input"][words[cut]] = np.add.reduceat(_rows(inputs)[order], cut, axis=0)
-    return grads, len(live), states[-1]
+    values = np.concatenate([flows[1], flows[2], flows[0]], axis=1, out=room("values", kind, steps * lanes, 3 * HIDDEN))
+    _sums_by_word(given.reshape(-1).astype(np.int16), values, grads["input"])
+    return grads, int((flat >= 0).sum()), states[-1].copy()
 
 
 def lanes_of(lengths: list[int], lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,6 +312,7 @@ def train_network(
     weights, ends = np.concatenate([v.reshape(-1) for v in net.values()]), np.cumsum([v.size for v in net.values()])
     net = {k: part.reshape(v.shape) for (k, v), part in zip(net.items(), np.split(weights, ends[:-1]))}
     first, second, moved, count, tokens = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), 0, 0
+    g, room = np.empty_like(weights), _Room()
     for streams in (part for whole in slices_of_streams for part in repeat(whole, epochs)):
         sizes = [len(s) for s in streams]
         tokens += sum(sizes)
@@ -265,13 +323,18 @@ def train_network(
         for low in range(0, len(goal), WINDOW):
             high = min(low + WINDOW, len(goal))
             busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
-            found, live, state = window_gradients(net, given[low:high, :busy], goal[low:high, :busy], start[low:high, :busy], state[:, :busy])
+            found, live, state = window_gradients(net, given[low:high, :busy], goal[low:high, :busy], start[low:high, :busy], state[:, :busy], room)
             count += 1
-            g = np.concatenate([found[k].reshape(-1) for k in net])
+            np.concatenate([found[k].reshape(-1) for k in net], out=g)
             g /= max(live, 1)
             np.clip(g, -1, 1, out=g)
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
+            np.subtract(g, first, out=moved)
+            moved *= 0.1
+            first += moved
+            np.multiply(g, g, out=g)
+            g -= second
+            g *= 0.01
+            second += g
             np.divide(second, 1 - 0.99**count, out=moved)
             np.sqrt(moved, out=moved)
             moved += 1e-7
@@ -287,47 +350,161 @@ def score_streams(net: dict, streams: list[np.ndarray], end: int, lanes: int = 2
     if not streams:
         return sums
     goal, given, start, owner = _grid(streams, lanes, end)
-    state = np.zeros((HIDDEN, goal.shape[1]), np.float32)
+    state, room = np.zeros((HIDDEN, goal.shape[1]), np.float32), _Room()
     for low in range(0, len(goal), WINDOW):
         high = min(low + WINDOW, len(goal))
         busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
-        states, _ = run_window(net, given[low:high, :busy], start[low:high, :busy], state[:, :busy])
-        state = states[-1]
-        flat = goal[low:high, :busy].reshape(-1)
-        live = np.flatnonzero(flat >= 0)
-        logp, _, _ = output(net, _rows(states)[live], flat[live])
-        sums += np.bincount(owner[low:high, :busy].reshape(-1)[live], logp, minlength=len(streams))
+        states, _ = run_window(net, given[low:high, :busy], start[low:high, :busy], state[:, :busy], room=room)
+        state = states[-1].copy()
+        logp, _, _ = output(net, _rows(states), goal[low:high, :busy].reshape(-1), room=room)
+        sums += np.bincount(owner[low:high, :busy].reshape(-1), logp, minlength=len(streams))
     return sums
 
 
 # ---- corpus ----------------------------------------------------------------
 
 
+def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of a slice, a number of these for each of its words, and the words of each text, without ends."""
+    texts = pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(texts, "")), " ", "")
+    parts = pc.ascii_split_whitespace(texts)  # at the same six characters; a last part that is empty, and a first one after space
+    flat, ends = parts.flatten(), np.cumsum(pc.list_value_length(parts).to_numpy())
+    real = pc.not_equal(pc.binary_length(flat), 0)
+    words = flat.filter(real).dictionary_encode()
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.dictionary.cast(pa.binary()), words.indices.to_numpy(), np.diff(before[np.concatenate([[0], ends])])
+
+
 def count_words(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(word, n) over all training documents, the end token included."""
 
     def count(batches):
-        found: Counter = Counter()
+        words, counts, held, docs = [], [], 0, 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
-            found.clear()
-            return out
+            found = pa.chunked_array([*words, pa.array([END], pa.binary())]).combine_chunks().dictionary_encode()
+            n = np.bincount(found.indices.to_numpy(), np.concatenate([*counts, [docs]])).astype(np.int64)
+            words.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays([found.dictionary, pa.array(n)], ["word", "n"])
 
         for batch in slices(batches, "text", SLICE):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text"))):
-                if fold_of_id(doc_id, folds) != 0:
-                    found.update(tokens_of(text))
-            if len(found) > 1_000_000:
+            known = [fold_of_id(doc_id, folds) != 0 for doc_id in batch.column("doc_id").to_pylist()]
+            if not any(known):
+                continue
+            distinct, at, _ = _words_of(batch.column("text").filter(pa.array(known)))
+            words.append(distinct)
+            counts.append(np.bincount(at, minlength=len(distinct)))
+            held, docs = held + len(distinct), docs + sum(known)
+            if held > 1_000_000:
                 yield flush()
-        if found:
+                held = docs = 0
+        if docs:
             yield flush()
 
     return docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _lookup(frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
-    return {word: at for at, (word, _) in enumerate(frequent)}
+CODED_SCHEMA = (
+    "uid long, word binary, posts binary, part int, first int, ids array<long>, n_tokens array<long>, known array<long>, logs array<double>, tails array<double>, stream binary"
+)
+_CODED = pa.schema([("uid", pa.int64()), ("word", pa.binary()), ("posts", pa.binary()), ("part", pa.int32()), ("first", pa.int32()), ("ids", pa.list_(pa.int64())),
+                    ("n_tokens", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64())), ("tails", pa.list_(pa.float64())),
+                    ("stream", pa.binary())])
+
+
+def _posts(distinct: pa.Array, at: np.ndarray, doc: np.ndarray, uid: int) -> pa.RecordBatch:
+    """One row per distinct word of ``at``: its (document, times) pairs."""
+    key, times = np.unique(at.astype(np.int64) << 32 | doc, return_counts=True)
+    pairs = np.stack([(key & 0xFFFFFFFF).astype("<u4"), times.astype("<u4")], axis=1)
+    word, n = np.unique(key >> 32, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
+    posts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(n), uid)), distinct.take(pa.array(word)), posts, *(pa.nulls(len(n), f.type) for f in list(_CODED)[3:])], schema=_CODED)
+
+
+def _code_slices(shared):
+    """The only pass that reads texts for the network. Per slice and part a row of its documents' sums and stream ids,
+    and one row per word whose count is not at hand."""
+
+    def code(batches):
+        model = shared.value
+        order = model["order"]
+        words, end = pa.array([w for w, _ in order], pa.binary()), model["end"]
+        # The entry after the last, which -1 takes, is that of a word whose count is not at hand.
+        known_log = np.append(np.log10(np.array([n for _, n in order]) + 0.1), 0.0)
+        has = np.append(np.array([n > 0 for _, n in order]), False)
+        stream_id = np.array([at if at < MODEL_WORDS else MODEL_WORDS + tail_class(w) for at, (w, _) in enumerate(order)] + [0], np.int16)
+        class_log = np.log10(model["tail_n"] + 0.1 * (model["tail_v"] + 1))
+        # Tail words' own logs, without those still to come, less their classes' totals.
+        tail_log = np.where(stream_id >= MODEL_WORDS, known_log - class_log[np.maximum(stream_id - MODEL_WORDS, 0)], 0.0)
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text", SLICE):
+            uid, number = (task << 24) | number, number + 1
+            part = batch.column("part").to_numpy()
+            turn = np.argsort(part, kind="stable")  # a part's documents are one run
+            batch, part = batch.take(pa.array(turn)), part[turn]
+            distinct, at, n_words = _words_of(batch.column("text"))
+            places = pc.fill_null(pc.index_in(distinct, words), -1).to_numpy()
+            ids, tails, rare = stream_id[places], tail_log[places], np.flatnonzero(places < 0)
+            ids[rare] = [MODEL_WORDS + tail_class(w) for w in distinct.take(pa.array(rare)).to_pylist()]
+            tails[rare] = -class_log[ids[rare] - MODEL_WORDS]
+            # Ends come after every text's words: as one more distinct word.
+            ends = np.cumsum(n_words)
+            at = np.insert(at, ends, len(distinct))
+            start = ends - n_words + np.arange(len(ends))
+            sums = lambda by_word, by_end: np.add.reduceat(np.append(by_word, by_end)[at], start)
+            known, logs = sums(has[places].astype(np.int64), int(has[end])), sums(known_log[places], known_log[end])
+            tails = sums(tails, 0.0)
+            stream = np.append(ids, end).astype("<i2")[at]
+            bounds = np.append(start, len(at))
+            for low, high in _runs(part):
+                doc = slice(low, high)
+                row = (uid, None, None, part[low], low, batch.column("doc_id")[doc].to_pylist(), n_words[doc] + 1, known[doc], logs[doc], tails[doc],
+                       stream[bounds[low] : bounds[high]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, _CODED)], schema=_CODED)
+            if len(rare):
+                is_rare = np.append(places < 0, False)[at]
+                yield _posts(distinct, at[is_rare], np.repeat(np.arange(len(ends)), n_words + 1)[is_rare], uid)
+
+    return code
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+    return list(zip(cuts.tolist(), cuts[1:].tolist()))
+
+
+def code_documents(docs: DataFrame, model: dict, folds: int, rounds) -> DataFrame:
+    """All documents as stream ids, written once. A training document's part is its round, any other's -1."""
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES))
+    turn = sum((share >= low).cast("int") for low, _ in rounds[1:]) if rounds[1:] else F.lit(0)
+    # NULL ids count as training documents, as in the word counts.
+    held = F.coalesce(fold_of(F.col("doc_id"), folds) == 0, F.lit(False))
+    rows = docs.select("doc_id", "text", F.when(held, -1).otherwise(turn).cast("int").alias("part"))
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("order", "end", "tail_n", "tail_v")})
+    coded = stored(rows.mapInArrow(_code_slices(shared), CODED_SCHEMA), "lm-slices")
+    shared.unpersist()
+    return coded
+
+
+def _gathered(batches):
+    """Rows with their documents' streams, as many together as hold ``SLICE_TOKENS`` tokens, or one."""
+    held, size = [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            stream = np.frombuffer(row.column("stream")[0].as_buffer(), "<i2")
+            if held and size + len(stream) > SLICE_TOKENS:
+                yield held
+                held, size = [], 0
+            ends = np.cumsum(row.column("n_tokens")[0].values.to_numpy())
+            held.append((row, np.split(stream, ends[:-1])))
+            size += len(stream)
+    if held:
+        yield held
 
 
 _NET_SCHEMA = "net binary, tokens long, steps long"
@@ -344,16 +521,7 @@ def _train_slices(shared, epochs: int, lanes: int):
 
     def train(batches):
         model = shared.value
-        place = {w: at if at < MODEL_WORDS else MODEL_WORDS + tail_class(w) for at, (w, _) in enumerate(model["order"])}
-
-        def stream_of(text):
-            tokens = tokens_of(text)
-            ids = np.fromiter(map(place.get, tokens, repeat(-1)), np.int32, len(tokens))
-            rare = ids < 0
-            ids[rare] = [MODEL_WORDS + tail_class(w) for w in compress(tokens, rare)]
-            return ids
-
-        found = ([stream_of(t) for t in byte_texts(b.column("text"))] for b in slices(batches, "text", SLICE))
+        found = ([stream for _, streams in rows for stream in streams] for rows in _gathered(batches))
         net, tokens, steps = train_network(model["net"], found, model["end"], epochs, lanes, model["steps"])
         if tokens:
             yield _net_row(net, tokens, steps)
@@ -373,18 +541,14 @@ def _mean_nets(batches):
         yield _net_row({k: (v / tokens).astype(np.float32) for k, v in sums.items()}, tokens, steps // tokens)
 
 
-def train_over(docs: DataFrame, model: dict, folds: int = FOLDS, task_tokens: int = TASK_TOKENS) -> tuple[dict, int]:
-    """The network after every training document of ``docs``, and the tokens that it has learned from."""
-    spark = docs.sparkSession
-    # NULL ids count as training documents, as in the word counts.
-    known = docs.filter(F.coalesce(fold_of(F.col("doc_id"), folds) != 0, F.lit(True)))
-    tasks = max(1, model["n"] // task_tokens)
-    rounds, epochs, lanes = (ROUNDS, 1, 256) if tasks > 1 else (((0, SHARES),), SMALL_EPOCHS, 64)
+def train_over(coded: DataFrame, model: dict, tasks: int, rounds, epochs: int, lanes: int) -> tuple[dict, int]:
+    """The network after every training document of ``coded``, and the tokens that it has learned from."""
+    spark = coded.sparkSession
     net, steps, learned = model["net"], 0, 0
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES))
-    for low, high in rounds:
-        shared = spark.sparkContext.broadcast({"order": model["order"], "end": model["end"], "net": net, "steps": steps})
-        nets = known.filter((share >= low) & (share < high)).select("text").coalesce(tasks).mapInArrow(_train_slices(shared, epochs, lanes), _NET_SCHEMA)
+    for turn in range(len(rounds)):
+        shared = spark.sparkContext.broadcast({"end": model["end"], "net": net, "steps": steps})
+        rows = coded.filter(F.col("part") == turn).select("n_tokens", "stream")
+        nets = rows.coalesce(tasks).mapInArrow(_train_slices(shared, epochs, lanes), _NET_SCHEMA)
         width = min(tasks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2))
         while width > 1:
             width = -(-width // FAN_IN)
@@ -396,7 +560,7 @@ def train_over(docs: DataFrame, model: dict, folds: int = FOLDS, task_tokens: in
 
 
 def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT, task_tokens: int = TASK_TOKENS) -> dict:
-    """Counts of the most frequent words, class totals and the trained network; its size is bounded by the parameters."""
+    """Counts of the most frequent words, class totals and the trained network, all bounded by the parameters, and the coded documents."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     # Sixteen steps per doubling: as many of the highest whole steps as hold at most ``frequent`` words.
     grade = F.floor(F.log2("n") * 16)
@@ -424,87 +588,60 @@ def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: i
     counts = np.array([n for _, n in head], np.float64)
     end = next(at for at, (w, _) in enumerate(head) if w == END)
     model = {"order": order, "net": new_network(np.random.default_rng(11), counts), "end": end, "tail_n": tail_n, "tail_v": tail_v, "n": total.n, "v": total.v}
-    model["net"], model["learned"] = train_over(docs, model, folds, task_tokens)
+    tasks = max(1, model["n"] // task_tokens)
+    rounds, epochs, lanes = (ROUNDS, 1, 256) if tasks > 1 else (((0, SHARES),), SMALL_EPOCHS, 64)
+    model["coded"] = code_documents(docs, model, folds, rounds)
+    model["net"], model["learned"] = train_over(model["coded"], model, tasks, rounds, epochs, lanes)
     return model
 
 
-PART_SCHEMA = (
-    "uid long, word binary, posts binary, ids array<long>, n_tokens array<long>, known array<long>, logs array<double>, tails array<double>, net array<double>"
-)
-_PART = pa.schema([("uid", pa.int64()), ("word", pa.binary()), ("posts", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())),
-                   ("known", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64())), ("tails", pa.list_(pa.float64())), ("net", pa.list_(pa.float64()))])
+PART_SCHEMA = "uid long, first int, ids array<long>, n_tokens array<long>, known array<long>, logs array<double>, tails array<double>, net array<double>"
 
 
 def _score_slices(shared):
-    """Per slice one row of document sums, and one row per word whose count is not at hand: (document, times) pairs."""
+    """The rows of documents, with the network's scores in place of the streams."""
 
     def score(batches):
         model = shared.value
-        order = model["order"]
-        place = _lookup(order)
-        known_log = np.log10(np.array([n for _, n in order]) + 0.1)
-        stream_id = np.array([at if at < MODEL_WORDS else MODEL_WORDS + tail_class(w) for at, (w, _) in enumerate(order)], np.int32)
-        class_log = np.log10(model["tail_n"] + 0.1 * (model["tail_v"] + 1))
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", SLICE):
-            uid, number = (part << 24) | number, number + 1
-            posts: dict[bytes, array] = {}
-            streams, n_tokens, known, logs, tails = [], [], [], [], []
-            for doc, text in enumerate(byte_texts(batch.column("text"))):
-                tokens = tokens_of(text)
-                at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
-                rare = at < 0
-                seen = at[~rare]
-                stream = np.empty(len(tokens), np.int32)
-                stream[~rare] = stream_id[seen]
-                others = list(compress(tokens, rare))
-                stream[rare] = [MODEL_WORDS + tail_class(w) for w in others]
-                for word, times in Counter(others).items():
-                    posts.setdefault(word, array("I")).extend((doc, times))
-                tail = stream >= MODEL_WORDS
-                streams.append(stream)
-                n_tokens.append(len(tokens))
-                has = known_log[seen] > -1  # log10(0.1) is a count of 0
-                known.append(int(has.sum()))
-                logs.append(float(known_log[seen].sum()))
-                # Tail words' own logs, without those still to come, less their classes' totals.
-                tails.append(float(known_log[seen[seen >= MODEL_WORDS]].sum() - class_log[stream[tail] - MODEL_WORDS].sum()))
-            net = score_streams(model["net"], streams, model["end"]) / np.log(10)
-            rows = [(uid, None, None, batch.column("doc_id").to_pylist(), n_tokens, known, logs, tails, net.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART)], schema=_PART)
-            if posts:
-                n, none = len(posts), [pa.nulls(len(posts), f.type) for f in list(_PART)[3:]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, uid)), pa.array(posts.keys(), pa.binary()), pa.array([p.tobytes() for p in posts.values()], pa.binary()), *none], schema=_PART)
+        for rows in _gathered(batches):
+            net = score_streams(model["net"], [stream for _, streams in rows for stream in streams], model["end"]) / np.log(10)
+            ends = np.cumsum([len(streams) for _, streams in rows])
+            for (row, _), part in zip(rows, np.split(net, ends[:-1])):
+                kept = row.drop_columns(["stream"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([part], pa.list_(pa.float64()))], [*kept.schema.names, "net"])
 
     return score
 
 
 def _rare_sums(batches):
     """Adds up each document's logs of joined counts, per slice, before anything is shuffled."""
-    found: dict[int, list] = {}
+    held, size = [], 0
 
     def flush():
-        rows = []
-        for uid, parts in found.items():
-            pairs = np.concatenate([np.frombuffer(p, "<u4").reshape(-1, 2) for p, _ in parts])
-            n = np.repeat([c for _, c in parts], [len(p) // 8 for p, _ in parts])
-            docs, at = np.unique(pairs[:, 0], return_inverse=True)
-            logs = np.bincount(at, pairs[:, 1] * np.log10(n + 0.1))
-            hits = np.bincount(at, pairs[:, 1] * (n > 0))
-            rows.append((uid, docs.astype("<u4").tobytes(), logs.astype("<f8").tobytes(), hits.astype("<f8").tobytes()))
-        found.clear()
+        uid, doc, times, n = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        uids, at = np.unique(uid, return_inverse=True)
+        key, at = np.unique(at << 32 | doc, return_inverse=True)
+        logs = np.bincount(at, times * np.log10(n + 0.1)).astype("<f8")
+        hits = np.bincount(at, times * (n > 0)).astype("<f8")
+        docs = (key & 0xFFFFFFFF).astype("<u4")
+        rows = [(uids[key[low] >> 32], docs[low:high].tobytes(), logs[low:high].tobytes(), hits[low:high].tobytes()) for low, high in _runs(key >> 32)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["uid", "docs", "rare_logs", "hits"])
 
-    held = 0
     for batch in batches:
-        for uid, posts, n in zip(*(batch.column(c).to_pylist() for c in ("uid", "posts", "n"))):
-            found.setdefault(uid, []).append((posts, n))
-            held += len(posts)
-        if held > 64 << 20:
+        posts = batch.column("posts")
+        if not len(posts):
+            continue
+        ends = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset : posts.offset + len(posts) + 1]
+        pairs = np.frombuffer(posts.buffers()[2], "<u4")[ends[0] // 4 : ends[-1] // 4].reshape(-1, 2)
+        times = np.diff(ends) // 8
+        uid, n = (np.repeat(batch.column(c).to_numpy(), times) for c in ("uid", "n"))
+        held.append((uid, pairs[:, 0].astype(np.int64), pairs[:, 1].copy(), n))
+        size += len(pairs)
+        if size > 2_000_000:
             yield flush()
-            held = 0
-    if found:
+            size = 0
+    if held:
         yield flush()
 
 
@@ -515,22 +652,23 @@ def _finish(n: int, v: int, folds: int):
     names = [part.split()[0] for part in SCORE_SCHEMA.split(", ")]
 
     def finish(batches):
-        current, main, rest = None, None, []
+        current, main, rest = None, [], []
 
         def settle():
-            if main is None:
+            if not main:
                 return None
-            known, logs, tails = (np.array(main[k]) for k in ("known", "logs", "tails"))
+            main.sort(key=lambda row: row["first"])
+            known, logs, tails, tokens, net = (np.concatenate([row[k] for row in main]) for k in ("known", "logs", "tails", "n_tokens", "net"))
+            ids = [i for row in main for i in row["ids"]]
             for docs, rare_logs, hits in rest:
                 at = np.frombuffer(docs, "<u4")
                 logs[at] += np.frombuffer(rare_logs, "<f8")
                 tails[at] += np.frombuffer(rare_logs, "<f8")
                 known[at] += np.frombuffer(hits, "<f8").astype(np.int64)
-            tokens = np.array(main["n_tokens"])
             base = logs - tokens * np.log10(n + 0.1 * (v + 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array(main["ids"], pa.int64()), pa.array([fold_of_id(i, folds) == 0 for i in main["ids"]]), pa.array(tokens), pa.array(known),
-                 pa.array(np.full(len(tokens), n)), pa.array(base), pa.array(np.array(main["net"]) + tails)], names)
+                [pa.array(ids, pa.int64()), pa.array([fold_of_id(i, folds) == 0 for i in ids]), pa.array(tokens), pa.array(known),
+                 pa.array(np.full(len(tokens), n)), pa.array(base), pa.array(net + tails)], names)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -538,9 +676,9 @@ def _finish(n: int, v: int, folds: int):
                     out = settle()
                     if out:
                         yield out
-                    current, main, rest = row["uid"], None, []
+                    current, main, rest = row["uid"], [], []
                 if row["ids"] is not None:
-                    main = row
+                    main.append(row)
                 else:
                     rest.append((row["docs"], row["rare_logs"], row["hits"]))
         out = settle()
@@ -557,9 +695,10 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, frequent: int = FREQUEN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = stored(count_words(rows, folds), "lm-words")
     model = fit_model(rows, words, folds, frequent)
-    scored = stored(rows.mapInArrow(_score_slices(spark.sparkContext.broadcast(model)), PART_SCHEMA), "lm-slices")
-    rare = scored.filter("word IS NOT NULL").select("uid", "word", "posts").join(words, "word", "left").select("uid", "posts", F.coalesce("n", F.lit(0)).alias("n"))
+    coded = model["coded"]
+    rare = coded.filter("word IS NOT NULL").select("uid", "word", "posts").join(words, "word", "left").select("uid", "posts", F.coalesce("n", F.lit(0)).alias("n"))
     sums = rare.mapInArrow(_rare_sums, "uid long, docs binary, rare_logs binary, hits binary")
-    mains = scored.filter("word IS NULL").drop("word", "posts")
+    shared = spark.sparkContext.broadcast({"net": model["net"], "end": model["end"]})
+    mains = coded.filter("word IS NULL").drop("word", "posts", "part").mapInArrow(_score_slices(shared), PART_SCHEMA)
     both = mains.unionByName(sums, allowMissingColumns=True)
     return both.repartition(parts, "uid").sortWithinPartitions("uid").mapInArrow(_finish(model["n"], model["v"], folds), SCORE_SCHEMA)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafledger.llm import gru_lm
@@ -147,3 +148,53 @@ def test_gradients_through_time_by_differences():
             low = loss()
             weights[at] = kept
             assert (high - low) / 2e-5 == pytest.approx(grads[name][at], rel=1e-3, abs=1e-6), name
+
+
+def test_words_of_a_slice_are_those_of_its_texts():
+    texts = [" A  b\tC\x0b\x0cd\r\n", "", None, "  ", "x", "\u00e9\u00a0\u00c9\u0085q\x1cz \u2003 ", "a b a"]
+    distinct, at, n_words = gru_lm._words_of(pa.array(texts, pa.string()))
+    want = [gru_lm.tokens_of((t or "").encode())[:-1] for t in texts]
+    assert n_words.tolist() == [len(w) for w in want]
+    assert [distinct[int(k)].as_py() for k in at] == [w for words in want for w in words]
+
+
+@pytest.mark.parametrize("task_tokens", [2_000, gru_lm.TASK_TOKENS])
+def test_texts_are_coded_once(spark, documents, awkward, task_tokens):
+    """Training and scoring read stream ids; every document is in the one round that trains on it, or in none."""
+    rows = documents.select("doc_id", "text").union(awkward.select("doc_id", "text")).repartition(6)
+    words = gru_lm.stored(gru_lm.count_words(rows), "t-words")
+    model = gru_lm.fit_model(rows, words, task_tokens=task_tokens)
+    coded = model["coded"].filter("word IS NULL").collect()
+    place = {w: k if k < gru_lm.MODEL_WORDS else gru_lm.MODEL_WORDS + gru_lm.tail_class(w) for k, (w, _) in enumerate(model["order"])}
+    want, got = Counter(), Counter()
+    for doc_id, text in rows.collect():
+        tokens = gru_lm.tokens_of((text or "").encode())
+        ids = np.array([place[t] if t in place else gru_lm.MODEL_WORDS + gru_lm.tail_class(t) for t in tokens], "<i2")
+        want[doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0, ids.tobytes()] += 1
+    for row in coded:
+        assert set(row.n_tokens) and sum(row.n_tokens) * 2 == len(row.stream)
+        for doc_id, low, n in zip(row.ids, np.cumsum([0] + row.n_tokens), row.n_tokens):
+            got[doc_id, row.part == -1, bytes(row.stream[2 * low : 2 * (low + n)])] += 1
+    assert got == want
+    assert {r.part for r in coded} == ({-1, 0, 1, 2, 3} if task_tokens == 2_000 else {-1, 0})
+
+
+def test_sums_by_word():
+    rng = np.random.default_rng(4)
+    words, values = np.minimum(rng.zipf(1.3, 3_000), 400).astype(np.int16), rng.normal(0, 1, (3_000, 5))
+    got, want = np.zeros((410, 5)), np.zeros((410, 5))
+    gru_lm._sums_by_word(words, values, got)
+    np.add.at(want, words, values)
+    assert np.allclose(got, want)
+
+
+def test_idle_lanes_add_nothing():
+    rng = np.random.default_rng(8)
+    net = gru_lm.new_network(rng, np.ones(gru_lm.MODEL_WORDS))
+    states, goal = rng.normal(0, 0.5, (6, gru_lm.HIDDEN)).astype(np.float32), np.array([3, -1, 1_060, -1, 40, 41])
+    live = goal >= 0
+    logp, grads, back = gru_lm.output(net, states, goal, True)
+    logp_live, grads_live, back_live = gru_lm.output(net, states[live], goal[live], True)
+    assert not logp[~live].any() and not back[~live].any()
+    assert np.allclose(logp[live], logp_live) and np.allclose(back[live], back_live)
+    assert all(np.allclose(grads[k], grads_live[k]) for k in grads)
