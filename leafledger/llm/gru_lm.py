@@ -7,7 +7,8 @@ word has its smoothed share of the class's counts, so unseen words have a probab
 
 The network learns by truncated backpropagation over every training document, whatever its length. Documents are
 dealt to the rounds of one pass by a hash; in a round each task trains on its share from the common weights, and the
-tasks' weights are averaged by tokens through a tree. A corpus for one task gets ``SMALL_EPOCHS`` epochs in one
+tasks' weights are averaged by tokens through a tree. A round has as many tasks as get enough documents to fill the lanes
+beside the longest ones. A corpus for one task gets ``SMALL_EPOCHS`` epochs in one
 round. Scoring runs documents side by side in lanes, window by window, the state
 carried on to the document's end. Counts of the ``FREQUENT`` most frequent words travel with the model
 (bounded); those of all other words meet their documents in a join on the word.
@@ -40,9 +41,10 @@ TAIL_CLASSES, TAIL_BYTES = 64, 3
 HIDDEN = 24
 WINDOW = 32
 TASK_TOKENS, SMALL_EPOCHS = 400_000, 2  # a training task has at least so many tokens, if the corpus has
+ROUND_TASK = 10  # a round deals a task so many times these tokens, if it has them: with fewer, long documents leave most lanes empty
 SHARES, ROUNDS = 8, ((0, 1), (1, 2), (2, 4), (4, 8))  # one pass: every share once, more of them as the weights settle
 FAN_IN = 8
-SLICE, SLICE_TOKENS = 12 << 20, 2_000_000
+SLICE, SLICE_TOKENS = 12 << 20, 4_000_000
 END = b""  # no word is empty
 HEAD_CLASSES = MODEL_WORDS // CLASS_WORDS
 # The class of every stream id; the last entry, which -1 takes, is that of no token.
@@ -62,10 +64,10 @@ def tail_class(word: bytes) -> int:
 
 
 def new_network(rng: np.random.Generator, head: np.ndarray) -> dict[str, np.ndarray]:
-    """Random weights; word biases start at the log counts."""
+    """Random weights; word biases start at the log counts. Those of inputs lie by gate: update, reset, fresh state."""
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return {
-        "input": draw(MODEL_WORDS + TAIL_CLASSES, 3 * HIDDEN),
+        "input": _by_gate(draw(MODEL_WORDS + TAIL_CLASSES, 3 * HIDDEN)),
         "carry": draw(HIDDEN, 3 * HIDDEN),
         "classes": draw(HIDDEN, HEAD_CLASSES + TAIL_CLASSES),
         "class_bias": np.zeros(HEAD_CLASSES + TAIL_CLASSES, np.float32),
@@ -96,44 +98,40 @@ def run_window(net: dict, ids: np.ndarray, start: np.ndarray, state: np.ndarray,
     """All steps of a window. States are (feature, lane) outside; within, every gate is one block of (lane, feature).
 
     ``ids`` and ``start`` are (step, lane). Returns the states after each step and, to learn from, those before it,
-    the gates, the fresh states and the carried parts of these, as (step, ..., lane, feature). What it returns lies in ``room``.
+    the gates with the fresh states and the carried parts of these, by gate as (step, lane, feature). What it returns lies in ``room``.
     """
     (steps, lanes), kind, room = ids.shape, state.dtype, room or _Room()
-    # The logistic function is 1 / (1 + exp(-x)) and tanh 2 / (1 + exp(-2x)) - 1; the factors go into the weights.
-    factor = np.repeat(np.array([-1, -1, -2], kind), HIDDEN)
-    table, carry = _by_gate(net["input"] * factor), _by_gate(net["carry"] * factor)
-    keep = steps if learn else 1
-    states, before = room("states", kind, steps, lanes, HIDDEN), room("before", kind, keep, lanes, HIDDEN)
-    gates, fresh = room("gates", kind, keep, 2, lanes, HIDDEN), room("fresh", kind, keep, lanes, HIDDEN)
-    parts, carried = room("parts", kind, keep, lanes, HIDDEN), room("carried", kind, 3, lanes, HIDDEN)
-    begins, ids, state = start.any(axis=1), ids.astype(np.intp), np.array(state.T, order="C")
+    # The logistic function is 1 / (1 + exp(-x)); the signs of both gates are turned for the whole window at once.
+    signs = np.repeat(np.array([-1, -1, 1], kind), HIDDEN)
+    carry = _by_gate(net["carry"] * signs)
+    acts, states = room("acts", kind, 3, steps, lanes, HIDDEN), room("states", kind, steps, lanes, HIDDEN)
+    np.take(net["input"], ids.reshape(-1), axis=1, out=acts.reshape(3, -1, HIDDEN), mode="clip")
+    np.negative(acts[:2], out=acts[:2])
+    carried, spare = room("carried", kind, steps if learn else 1, 3, lanes, HIDDEN), room("spare", kind, lanes, HIDDEN)
+    begins, first = start.any(axis=1).tolist(), np.array(state.T, order="C")
+    state = first
     with np.errstate(over="ignore"):  # an infinite exp is a closed gate
         for t in range(steps):
-            at = t if learn else 0
             if begins[t]:
                 state = np.where(start[t][:, None], kind.type(0), state)
-            if learn:
-                before[t] = state
-            np.matmul(state, carry, out=carried)
-            gate, new = gates[at], fresh[at]
-            for k, into in enumerate((gate[0], gate[1], new)):
-                np.take(table[k], ids[t], axis=0, out=into, mode="clip")
-            gate += carried[:2]
+            gate, new, parts = acts[:2, t], acts[2, t], carried[t if learn else 0]
+            np.matmul(state, carry, out=parts)
+            gate += parts[:2]
             np.exp(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
-            if learn:
-                np.multiply(carried[2], -0.5, out=parts[t])
-            carried[2] *= gate[1]
-            new += carried[2]
-            np.exp(new, out=new)
-            new += 1
-            np.divide(2, new, out=new)
-            new -= 1
+            np.multiply(parts[2], gate[1], out=spare)
+            new += spare
+            np.tanh(new, out=new)
             state = np.subtract(state, new, out=states[t])
             state *= gate[0]
             state += new
-    return states.transpose(0, 2, 1), (before, gates, fresh, parts) if learn else None
+    if not learn:
+        return states.transpose(0, 2, 1), None
+    before = room("before", kind, steps, lanes, HIDDEN)
+    before[0], before[1:] = first, states[:-1]
+    before[start] = 0
+    return states.transpose(0, 2, 1), (before, acts, carried[:, 2])
 
 
 def step(net: dict, ids: np.ndarray, state: np.ndarray):
@@ -176,8 +174,8 @@ def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False,
     idle = int(np.searchsorted(cls, 0))
     order, cls = order[idle:], cls[idle:]
     n, goal = len(order), goal[order]
-    taken, rows = np.take(states, order, axis=0, out=room("taken", kind, n, HIDDEN), mode="clip"), room("rows", kind, n, HIDDEN + 1)
-    rows[:, :HIDDEN], rows[:, HIDDEN] = taken, 1
+    rows = room("rows", kind, n, HIDDEN + 1)
+    rows[:, :HIDDEN], rows[:, HIDDEN] = np.take(states, order, axis=0, out=room("taken", kind, n, HIDDEN), mode="clip"), 1
     classes = np.concatenate([net["classes"], one * net["class_bias"]])
     words = np.concatenate([net["words"], net["word_bias"][:, None]], axis=1)
     cuts = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
@@ -195,21 +193,20 @@ def output(net: dict, states: np.ndarray, goal: np.ndarray, learn: bool = False,
         # Scores' gradients are exp / total, less 1 at the goal; the division is left to the narrow sides of the products.
         exp.reshape(-1)[at] -= total
         within.reshape(-1)[word_at] -= word_total
-        part, word_part, shares = 1 / total, 1 / word_total, room("shares", kind, n, HIDDEN)
-        class_grad = np.multiply(taken, part[:, None], out=shares).T @ exp
+        part, word_part, shares = 1 / total, 1 / word_total, room("shares", kind, n, HIDDEN + 1)
+        class_grad = np.multiply(rows, part[:, None], out=shares).T @ exp
         inner, word_back = room("inner", kind, n + 1, HIDDEN), room("word_back", kind, head, HIDDEN)
         np.matmul(exp, np.ascontiguousarray(net["classes"].T), out=inner[:n])
         inner[:n] *= part[:, None]
-        np.multiply(taken[:head], word_part[:, None], out=shares[:head])
-        word_grad, bias_grad = np.zeros_like(net["words"]), np.zeros_like(net["word_bias"])
+        np.multiply(rows[:head], word_part[:, None], out=shares[:head])
+        word_grad, words_back = np.zeros_like(words), net["words"].transpose(0, 2, 1)
         for c, run in runs:
             np.matmul(shares[run].T, within[run], out=word_grad[c])
-            np.matmul(word_part[run], within[run], out=bias_grad[c])
-            np.matmul(within[run], net["words"][c].T, out=word_back[run])
+            np.matmul(within[run], words_back[c], out=word_back[run])
         word_back *= word_part[:, None]
         inner[:head] += word_back
         inner[n] = 0
-        grads = {"classes": class_grad, "class_bias": part @ exp, "words": word_grad, "word_bias": bias_grad}
+        grads = {"classes": class_grad[:HIDDEN], "class_bias": class_grad[HIDDEN], "words": word_grad[:, :HIDDEN], "word_bias": word_grad[:, HIDDEN]}
         place = np.full(len(states), n)
         place[order] = np.arange(n)
         back = np.take(inner, place, axis=0, out=room("back", kind, len(states), HIDDEN), mode="clip")
@@ -232,43 +229,44 @@ def _sums_by_word(words: np.ndarray, values: np.ndarray, out: np.ndarray) -> Non
 def window_gradients(net: dict, given: np.ndarray, goal: np.ndarray, start: np.ndarray, state: np.ndarray, room: _Room | None = None):
     """Gradients of the summed loss over a window's live tokens, their number and the last states."""
     (steps, lanes), kind, room = given.shape, state.dtype, room or _Room()
-    states, (before, gates, fresh, parts) = run_window(net, given, start, state, True, room)
+    states, (before, acts, parts) = run_window(net, given, start, state, True, room)
     flat = goal.reshape(-1)
     _, grads, back = output(net, _rows(states), flat, True, room)
     after, back = states.transpose(0, 2, 1), back.reshape(steps, lanes, HIDDEN)
-    # Gradients by step: of the fresh state, of update and reset gate, and of the fresh state's carried part.
-    inputs = room("inputs", kind, 4, steps, lanes, HIDDEN)
-    passed, rest, spare = room("passing", kind, 3, lanes, HIDDEN)
-    product, carry = room("product", kind, 3, lanes, HIDDEN), np.ascontiguousarray(_by_gate(net["carry"]).transpose(0, 2, 1))
-    begins, follow = start.any(axis=1), 0
+    update, reset, new = acts
+    # What each step's gradient is multiplied by, for all steps at once: for the update and the reset gate, for the fresh
+    # state's carried part, and for the fresh state.
+    flows, to_new, spare = room("flows", kind, 3, steps, lanes, HIDDEN), room("to_new", kind, steps, lanes, HIDDEN), room("spares", kind, steps, lanes, HIDDEN)
+    to_update, to_reset, to_part = flows
+    np.subtract(1, update, out=spare)
+    np.subtract(after, new, out=to_update)  # (before - new) * update
+    to_update *= spare
+    np.multiply(new, new, out=to_new)
+    np.subtract(1, to_new, out=to_new)
+    to_new *= spare
+    np.multiply(to_new, reset, out=to_part)
+    np.subtract(1, reset, out=to_reset)
+    to_reset *= parts
+    to_reset *= to_part
+    follow, product = room("follow", kind, lanes, HIDDEN), room("product", kind, 3, lanes, HIDDEN)
+    carry, begins = np.ascontiguousarray(_by_gate(net["carry"]).transpose(0, 2, 1)), start.any(axis=1).tolist()
+    follow[:] = 0
     for t in range(steps - 1, -1, -1):
-        (update, reset), new = gates[t], fresh[t]
-        to_new, to_update, to_reset, to_part = inputs[:, t]
-        d = back[t]
+        d, flow = back[t], flows[:, t]
         d += follow
-        np.multiply(d, update, out=passed)
-        np.subtract(d, passed, out=rest)
-        np.subtract(after[t], new, out=to_update)  # (before - new) * update
-        to_update *= rest
-        np.multiply(new, new, out=spare)
-        np.subtract(1, spare, out=spare)
-        np.multiply(rest, spare, out=to_new)
-        np.multiply(to_new, reset, out=to_part)
-        np.subtract(1, reset, out=to_reset)
-        to_reset *= parts[t]
-        to_reset *= to_part
-        np.matmul(inputs[1:, t], carry, out=product)
-        follow = product[0]
-        follow += product[1]
-        follow += product[2]
-        follow += passed
+        flow *= d
+        np.matmul(flow, carry, out=product)
+        np.multiply(d, update[t], out=follow)
+        for part in product:
+            follow += part
         if begins[t]:
             follow[start[t]] = 0
-    flows = inputs.reshape(4, -1, HIDDEN)
-    grads["carry"] = np.matmul(before.reshape(-1, HIDDEN).T, flows[1:]).transpose(1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
-    grads["input"] = np.zeros_like(net["input"])
-    values = np.concatenate([flows[1], flows[2], flows[0]], axis=1, out=room("values", kind, steps * lanes, 3 * HIDDEN))
-    _sums_by_word(given.reshape(-1).astype(np.int16), values, grads["input"])
+    flat_flows = flows.reshape(3, -1, HIDDEN)
+    grads["carry"] = np.matmul(before.reshape(-1, HIDDEN).T, flat_flows).transpose(1, 0, 2).reshape(HIDDEN, 3 * HIDDEN)
+    np.multiply(to_new, back, out=to_part)  # from here on the flow into the fresh state
+    values, sums = room("values", kind, steps * lanes, 3 * HIDDEN), np.zeros((net["input"].shape[1], 3 * HIDDEN), kind)
+    _sums_by_word(given.reshape(-1).astype(np.int16), np.concatenate(list(flat_flows), axis=1, out=values), sums)
+    grads["input"] = _by_gate(sums)
     return grads, int((flat >= 0).sum()), states[-1].copy()
 
 
@@ -285,19 +283,31 @@ def lanes_of(lengths: list[int], lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return lane, first
 
 
-def _grid(streams: list[np.ndarray], lanes: int, end: int):
-    """Goals, inputs, first-token flags and document numbers by step and lane; -1 where a lane is empty."""
-    lane, first = lanes_of([len(s) for s in streams], lanes)
-    loads = np.bincount(lane, [len(s) for s in streams]).astype(np.int64)
+def _grid(streams: list[np.ndarray], lanes: int):
+    """Goals by step and lane, -1 where a lane is empty, first-token flags, and the documents by lane and step.
+
+    No more lanes than fill up beside the longest document: a grid holds at most about twice its tokens.
+    """
+    sizes = [len(s) for s in streams]
+    lane, first = lanes_of(sizes, min(lanes, -(-sum(sizes) // max(sizes))))
+    loads = np.bincount(lane, sizes).astype(np.int64)
     lane = np.argsort(np.argsort(-loads, kind="stable"), kind="stable")[lane]  # fullest lanes first, so that idle ones are cut off
-    width, height = int(lane.max()) + 1, int(max(f + len(s) for f, s in zip(first, streams)))
-    goal, given = np.full((height, width), -1, np.int32), np.full((height, width), end, np.int32)
-    start, owner = np.zeros((height, width), bool), np.zeros((height, width), np.int32)
+    goal, start = np.full((int(loads.max()), len(loads)), -1, np.int16), np.zeros((int(loads.max()), len(loads)), bool)
     for doc, stream in enumerate(streams):
-        low, high, at = first[doc], first[doc] + len(stream), lane[doc]
-        goal[low:high, at], owner[low:high, at], start[low, at] = stream, doc, True
-        given[low + 1 : high, at] = stream[:-1]
-    return goal, given, start, owner
+        low, at = first[doc], lane[doc]
+        goal[low : low + len(stream), at], start[low, at] = stream, True
+    return goal, start, np.lexsort((first, lane))
+
+
+def _windows(goal: np.ndarray, start: np.ndarray, end: int):
+    """Inputs, goals and first-token flags, window by window, without the lanes that are empty."""
+    for low in range(0, len(goal), WINDOW):
+        busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
+        goals, begins = goal[low : low + WINDOW, :busy], start[low : low + WINDOW, :busy]
+        given = np.empty(goals.shape, np.int16)
+        given[0], given[1:] = goal[low - 1, :busy], goals[:-1]
+        given[begins | (given < 0)] = end
+        yield given, goals, begins
 
 
 def train_network(
@@ -311,35 +321,29 @@ def train_network(
     # All weights are views of one vector, so that an update is a few passes over it.
     weights, ends = np.concatenate([v.reshape(-1) for v in net.values()]), np.cumsum([v.size for v in net.values()])
     net = {k: part.reshape(v.shape) for (k, v), part in zip(net.items(), np.split(weights, ends[:-1]))}
+    # Both moments without their factors 1 - 0.9 and 1 - 0.99.
     first, second, moved, count, tokens = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), 0, 0
     g, room = np.empty_like(weights), _Room()
     for streams in (part for whole in slices_of_streams for part in repeat(whole, epochs)):
-        sizes = [len(s) for s in streams]
-        tokens += sum(sizes)
-        # No more lanes than fill up beside the longest document: a grid holds at most about twice its tokens.
-        width = min(lanes, -(-sum(sizes) // max(sizes)))
-        goal, given, start, _ = _grid([streams[k] for k in rng.permutation(len(streams))], width, end)
+        tokens += sum(len(s) for s in streams)
+        goal, start, _ = _grid([streams[k] for k in rng.permutation(len(streams))], lanes)
         state = np.zeros((HIDDEN, goal.shape[1]), weights.dtype)
-        for low in range(0, len(goal), WINDOW):
-            high = min(low + WINDOW, len(goal))
-            busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
-            found, live, state = window_gradients(net, given[low:high, :busy], goal[low:high, :busy], start[low:high, :busy], state[:, :busy], room)
+        for given, goals, begins in _windows(goal, start, end):
+            found, live, state = window_gradients(net, given, goals, begins, state[:, : goals.shape[1]], room)
             count += 1
             np.concatenate([found[k].reshape(-1) for k in net], out=g)
             g /= max(live, 1)
             np.clip(g, -1, 1, out=g)
-            np.subtract(g, first, out=moved)
-            moved *= 0.1
-            first += moved
+            first *= 0.9
+            first += g
             np.multiply(g, g, out=g)
-            g -= second
-            g *= 0.01
+            second *= 0.99
             second += g
-            np.divide(second, 1 - 0.99**count, out=moved)
-            np.sqrt(moved, out=moved)
-            moved += 1e-7
+            scale = math.sqrt(0.01 / (1 - 0.99**count))
+            np.sqrt(second, out=moved)
+            moved += 1e-7 / scale
             np.divide(first, moved, out=moved)
-            moved *= rate / (1 + 0.003 * (done + count)) / (1 - 0.9**count)
+            moved *= 0.1 / scale * rate / (1 + 0.003 * (done + count)) / (1 - 0.9**count)
             weights -= moved
     return {k: v.copy() for k, v in net.items()}, tokens, count
 
@@ -349,15 +353,18 @@ def score_streams(net: dict, streams: list[np.ndarray], end: int, lanes: int = 2
     sums = np.zeros(len(streams))
     if not streams:
         return sums
-    goal, given, start, owner = _grid(streams, lanes, end)
-    state, room = np.zeros((HIDDEN, goal.shape[1]), np.float32), _Room()
-    for low in range(0, len(goal), WINDOW):
-        high = min(low + WINDOW, len(goal))
-        busy = int((goal[low] >= 0).sum())  # lanes are sorted by their ends
-        states, _ = run_window(net, given[low:high, :busy], start[low:high, :busy], state[:, :busy], room=room)
+    goal, start, turn = _grid(streams, lanes)
+    state, room, by_turn = np.zeros((HIDDEN, goal.shape[1]), np.float32), _Room(), np.zeros(len(streams))
+    at = np.cumsum(np.append(0, start.sum(axis=0)))[:-1] - 1  # the document of each lane, of those by lane and step
+    for given, goals, begins in _windows(goal, start, end):
+        busy = goals.shape[1]
+        states, _ = run_window(net, given, begins, state[:, :busy], room=room)
         state = states[-1].copy()
-        logp, _, _ = output(net, _rows(states), goal[low:high, :busy].reshape(-1), room=room)
-        sums += np.bincount(owner[low:high, :busy].reshape(-1), logp, minlength=len(streams))
+        logp, _, _ = output(net, _rows(states), goals.reshape(-1), room=room)
+        docs = np.cumsum(begins, axis=0) + at[:busy]
+        at = docs[-1]
+        by_turn += np.bincount(docs.reshape(-1), logp, minlength=len(streams))
+    sums[turn] = by_turn
     return sums
 
 
@@ -541,11 +548,17 @@ def _mean_nets(batches):
         yield _net_row({k: (v / tokens).astype(np.float32) for k, v in sums.items()}, tokens, steps // tokens)
 
 
-def train_over(coded: DataFrame, model: dict, tasks: int, rounds, epochs: int, lanes: int) -> tuple[dict, int]:
+def round_tasks(n: int, low: int, high: int, task_tokens: int) -> int:
+    """Tasks of the round that takes the shares from ``low`` to ``high`` of ``n`` tokens."""
+    return max(1, n * (high - low) // (SHARES * ROUND_TASK * task_tokens))
+
+
+def train_over(coded: DataFrame, model: dict, task_tokens: int, rounds, epochs: int, lanes: int) -> tuple[dict, int]:
     """The network after every training document of ``coded``, and the tokens that it has learned from."""
     spark = coded.sparkSession
     net, steps, learned = model["net"], 0, 0
-    for turn in range(len(rounds)):
+    for turn, (low, high) in enumerate(rounds):
+        tasks = round_tasks(model["n"], low, high, task_tokens)
         shared = spark.sparkContext.broadcast({"end": model["end"], "net": net, "steps": steps})
         rows = coded.filter(F.col("part") == turn).select("n_tokens", "stream")
         nets = rows.coalesce(tasks).mapInArrow(_train_slices(shared, epochs, lanes), _NET_SCHEMA)
@@ -591,7 +604,7 @@ def fit_model(docs: DataFrame, words: DataFrame, folds: int = FOLDS, frequent: i
     tasks = max(1, model["n"] // task_tokens)
     rounds, epochs, lanes = (ROUNDS, 1, 256) if tasks > 1 else (((0, SHARES),), SMALL_EPOCHS, 64)
     model["coded"] = code_documents(docs, model, folds, rounds)
-    model["net"], model["learned"] = train_over(model["coded"], model, tasks, rounds, epochs, lanes)
+    model["net"], model["learned"] = train_over(model["coded"], model, task_tokens, rounds, epochs, lanes)
     return model
 
 

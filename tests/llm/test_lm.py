@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -198,3 +199,57 @@ def test_idle_lanes_add_nothing():
     assert not logp[~live].any() and not back[~live].any()
     assert np.allclose(logp[live], logp_live) and np.allclose(back[live], back_live)
     assert all(np.allclose(grads[k], grads_live[k]) for k in grads)
+
+
+def test_rounds_deal_enough_tokens_to_fill_lanes():
+    """An eighth of 128 million tokens went to 32 tasks of a file scan; beside texts of 20,000 words they fill 25 of 256 lanes."""
+    tasks = [gru_lm.round_tasks(128_000_000, low, high, gru_lm.TASK_TOKENS) for low, high in gru_lm.ROUNDS]
+    assert tasks == [4, 4, 8, 16]
+    assert [gru_lm.round_tasks(n, 0, gru_lm.SHARES, gru_lm.TASK_TOKENS) for n in (0, 2 * gru_lm.TASK_TOKENS, 8_000_000)] == [1, 1, 2]
+
+
+def test_a_long_text_keeps_the_grid_of_scoring_small():
+    """Beside it a grid of all lanes would hold its length 256 times."""
+    rng = np.random.default_rng(6)
+    net = gru_lm.new_network(rng, np.ones(gru_lm.MODEL_WORDS))
+    streams = [rng.integers(0, gru_lm.MODEL_WORDS, n).astype(np.int16) for n in [20_000] + [5] * 400]
+    tracemalloc.start()
+    together = gru_lm.score_streams(net, streams, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert together[[0, 1, 400]] == pytest.approx([gru_lm.score_streams(net, [streams[k]], 7)[0] for k in (0, 1, 400)], rel=1e-4)
+
+
+def test_inputs_are_the_goals_one_step_later():
+    streams = [np.arange(k, k + n, dtype=np.int16) for k, n in ((10, 70), (100, 3), (200, 40), (300, 1))]
+    goal, start, turn = gru_lm._grid(streams, 2)
+    pairs = {}
+    for given, goals, begins in gru_lm._windows(goal, start, 7):
+        assert (given >= 0).all() and (goals[0] >= 0).all()
+        for before, after, begin in zip(given.ravel().tolist(), goals.ravel().tolist(), begins.ravel().tolist()):
+            if after >= 0:
+                pairs[after] = 7 if begin else before
+                assert before == pairs[after]
+    assert pairs == {int(t): int(s[k - 1]) if k else 7 for s in streams for k, t in enumerate(s)}
+    assert sorted(turn.tolist()) == [0, 1, 2, 3] and goal.size <= 2 * sum(map(len, streams))
+
+
+def test_updates_are_those_of_adam():
+    rng = np.random.default_rng(12)
+    net = gru_lm.new_network(rng, np.ones(gru_lm.MODEL_WORDS))
+    streams = [rng.integers(0, gru_lm.MODEL_WORDS + gru_lm.TAIL_CLASSES, 120).astype(np.int16)]
+    got, tokens, steps = gru_lm.train_network(net, [streams], 7, done=3)
+    want, state = {k: v.copy() for k, v in net.items()}, np.zeros((gru_lm.HIDDEN, 1), np.float32)
+    first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
+    goal, start, _ = gru_lm._grid(streams, 256)
+    for count, window in enumerate(gru_lm._windows(goal, start, 7), 1):
+        grads, live, state = gru_lm.window_gradients(want, *window, state)
+        for k, grad in grads.items():
+            grad = np.clip(grad / live, -1, 1)
+            first[k], second[k] = 0.9 * first[k] + 0.1 * grad, 0.99 * second[k] + 0.01 * grad**2
+            rate = 0.01 / (1 + 0.003 * (3 + count))
+            want[k] -= rate * first[k] / (1 - 0.9**count) / (np.sqrt(second[k] / (1 - 0.99**count)) + 1e-7)
+    assert (tokens, steps) == (120, 4)
+    for k in net:
+        assert np.abs(got[k] - want[k]).mean() < 1e-5 < np.abs(got[k] - net[k]).mean(), k
